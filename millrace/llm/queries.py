@@ -61,3 +61,24 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = token_files(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=1)
     return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query(
+    r"""
+    WITH parts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+    idx AS (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM parts),
+    l AS (SELECT doc_id, i, ls[i] AS line,
+                 translate(trim(ls[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+          FROM idx),
+    o AS (SELECT k, max(doc_id) AS owner FROM l WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
+    m AS (SELECT l.doc_id, l.i, l.line, o.owner IS NOT NULL AND o.owner <> l.doc_id AS gone FROM l LEFT JOIN o ON l.k = o.k)
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+    FROM m GROUP BY doc_id
+    """
+)
+def op6_line_dedup_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.line_dedup import line_dedup
+
+    rows = line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
