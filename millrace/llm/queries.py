@@ -82,3 +82,10 @@ def op6_line_dedup_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query()
+def op9_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.near_dedup import near_dedup
+
+    return near_dedup(_table(spark, sf_dir, "documents"))
