@@ -89,3 +89,10 @@ def op9_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.near_dedup import near_dedup
 
     return near_dedup(_table(spark, sf_dir, "documents"))
+
+
+@query()
+def op2_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.importance import resample
+
+    return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
