@@ -96,3 +96,13 @@ def op2_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.importance import resample
 
     return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@query()
+def op7_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.warc import archive, urn_page
+
+    rows = archive(_table(spark, sf_dir, "pages"))
+    return rows.select(
+        urn_page(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", urn_page(F.col("refers_to")).alias("refers_to")
+    )
