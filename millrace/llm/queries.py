@@ -106,3 +106,10 @@ def op7_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         urn_page(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", urn_page(F.col("refers_to")).alias("refers_to")
     )
+
+
+@query()
+def op3_brown_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.brown_lm import lm_scores
+
+    return lm_scores(_table(spark, sf_dir, "documents"))
