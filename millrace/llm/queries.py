@@ -113,3 +113,10 @@ def op3_brown_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.brown_lm import lm_scores
 
     return lm_scores(_table(spark, sf_dir, "documents"))
+
+
+@query()
+def op8_soft_membership_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.mixing import mix
+
+    return mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), {"clean": 0.8, "low": 0.15, "toxic": 0.05})
