@@ -15,6 +15,7 @@ import hashlib
 from collections.abc import Iterable, Iterator
 from itertools import chain, islice
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -289,36 +290,55 @@ def loaded(path: str, pattern: str) -> ByteBPE:
     return _LOADED[path, pattern]
 
 
-def encode_documents(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
-    """One row per input row: ``id_col``, n_tokens, ids_sha256, decoded_sha256 and, if ``with_ids``, ids and decoded text.
+def encode_documents(
+    df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, with_text: bool = False, batch_ids: int = 1 << 20
+) -> DataFrame:
+    """One row per input row: ``id_col``, n_tokens, ids_sha256, decoded_sha256; ``with_ids`` adds ids, ``with_text`` the decoded text.
 
     A null text counts as empty: no tokens, hashes of no bytes. Rows pass in their own order
-    within a partition, without any shuffle; repeated rows give repeated results; a null
-    identifier stays null; an empty table gives no rows; further columns are left out.
+    within a partition, without any shuffle, and leave in batches of some ``batch_ids`` ids;
+    repeated rows give repeated results; a null identifier stays null; an empty table gives no
+    rows; further columns are left out.
     """
-    schema = pa.schema([(id_col, pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + ([("ids", pa.list_(pa.int32())), ("decoded", pa.string())] if with_ids else []))
-    ddl = f"`{id_col}` long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")
+    fields = [(id_col, pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
+    ddl = f"`{id_col}` long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    if with_ids:
+        fields.append(("ids", pa.list_(pa.int32())))
+        ddl += ", ids array<int>"
+    if with_text:
+        fields.append(("decoded", pa.string()))
+        ddl += ", decoded string"
+    schema = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path, pattern)
         decimal = [str(i) for i in range(max(bpe.bytes_of) + 1)].__getitem__
+        rows, held = [], 0
         for batch in batches:
-            out: list[list] = [[] for _ in schema.names]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 n, ids_hash, text_hash, stream, ids, decoded = 0, hashlib.sha256(), hashlib.sha256(), Utf8Stream(), [], []
                 for slab in bpe.encode_slabs(text):
                     if slab:
-                        ids_hash.update(((",") * (n > 0) + ",".join(map(decimal, slab))).encode())
+                        ids_hash.update((("," if n else "") + ",".join(map(decimal, slab))).encode())
                         n += len(slab)
                     data = bpe.decode_bytes(slab)
                     text_hash.update(data)
                     if with_ids:
-                        ids += slab
+                        ids.append(np.array(slab, np.int32))
+                    if with_text:
                         decoded.append(stream.feed(data))
-                row = [doc, n, ids_hash.hexdigest(), text_hash.hexdigest()] + ([ids, "".join(decoded) + stream.finish()] if with_ids else [])
-                for column, value in zip(out, row):
-                    column.append(value)
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
+                row = [doc, n, ids_hash.hexdigest(), text_hash.hexdigest()]
+                if with_ids:
+                    row.append(np.concatenate(ids) if ids else np.zeros(0, np.int32))
+                if with_text:
+                    row.append("".join(decoded) + stream.finish())
+                rows.append(row)
+                held += n + 100
+                if held > batch_ids:
+                    yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                    rows, held = [], 0
+        if rows:
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     base = df.select(F.col(id_col).cast("long").alias(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     return base.mapInArrow(run, ddl)
