@@ -2,7 +2,7 @@
 
 A shard holds documents in ascending order of identifier. File layout (little-endian):
 
-    data blocks   zlib of entries; each entry: shared key bytes (u16), own key bytes (u16),
+    data blocks   zstd of entries; each entry: shared key bytes (u16), own key bytes (u16),
                   value bytes (u32), own key bytes, value
     Bloom filter  bits, then nothing
     block index   per block: first key (u16 length, bytes), offset (u64), bytes (u32), entries (u32)
@@ -25,6 +25,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -67,9 +68,11 @@ def sstable(rows: Iterable[tuple[int | None, bytes]], block_bytes: int = 1 << 16
     keys: list[bytes] = []
     block, block_size, first, before, n = [], 0, b"", b"", 0
 
+    packer = zstandard.ZstdCompressor(level=1)
+
     def close() -> bytes:
         nonlocal at
-        data = zlib.compress(b"".join(block), 1)
+        data = packer.compress(b"".join(block))
         index.append((first, at, len(data), n))
         at += len(data)
         return data
@@ -126,7 +129,7 @@ class SSTable:
 
     def _block(self, k: int) -> Iterator[tuple[bytes, bytes]]:
         _, at, size, _ = self.blocks[k]
-        data, pos, key = zlib.decompress(self.file.read_at(size, at)), 0, b""
+        data, pos, key = zstandard.decompress(self.file.read_at(size, at)), 0, b""
         while pos < len(data):
             shared, own, n = struct.unpack_from("<HHI", data, pos)
             key = key[:shared] + data[pos + 8 : pos + 8 + own]
@@ -160,9 +163,12 @@ class WordEncoder:
     """Whole texts through a tokenizer that lower-cases and never looks across ASCII white space.
 
     The tokenizers library encodes each distinct run between spaces; its packed ids are kept for
-    later texts, two generations of ``most`` runs.
+    later texts, two generations of ``most`` runs. New runs go through the library together,
+    with a mark of a single id between them that none of them holds.
     """
 
+    MARK = "\u2022"
+
     def __init__(self, path: str, most: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -170,12 +176,27 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.most, self.new, self.old = most, {}, {}
+        mark = self._ids(self.MARK)
+        self.mark = mark[0] if len(mark) == 1 else None
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _learn(self, runs: list[bytes]) -> None:
-        for k in range(0, len(runs), 4096):
-            some = runs[k : k + 4096]
-            found = self.tokenizer.encode_batch_fast([r.decode() for r in some], add_special_tokens=False)
-            self.new.update(zip(some, [struct.pack(f"<{len(x)}I", *x) for x in (f.ids for f in found)]))
+        for k in range(0, len(runs), 1024):
+            some = runs[k : k + 1024]
+            text = b" ".join(some).decode()
+            if self.mark is not None and self.MARK not in text:
+                ids = np.array(self._ids(text.replace(" ", f" {self.MARK} ")), "<u4")
+                cuts = np.flatnonzero(ids == self.mark)
+                if len(cuts) == len(some) - 1:
+                    data, cuts = ids.tobytes(), (4 * cuts).tolist()
+                    starts = [0, *[c + 4 for c in cuts]]
+                    self.new.update(zip(some, [data[a:b] for a, b in zip(starts, [*cuts, len(data)])]))
+                    continue
+            for run in some:
+                ids = self._ids(run.decode())
+                self.new[run] = struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: bytes) -> bytes:
         """Ids of a text in UTF-8 as little-endian unsigned 32-bit integers."""
@@ -187,7 +208,8 @@ class WordEncoder:
             known = {r for r in missing if r in self.old}
             for run in known:
                 self.new[run] = self.old[run]
-            self._learn(sorted(missing - known))
+            if len(known) < len(missing):
+                self._learn(list(missing - known))
         return b"".join(map(self.new.__getitem__, runs))
 
 
