@@ -120,3 +120,10 @@ def op8_soft_membership_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.mixing import mix
 
     return mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), {"clean": 0.8, "low": 0.15, "toxic": 0.05})
+
+
+@query()
+def op1_rotation_code_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.embedding_dedup import embedding_dedup
+
+    return embedding_dedup(_table(spark, sf_dir, "embeddings"))
