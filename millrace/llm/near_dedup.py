@@ -88,7 +88,7 @@ def _p(x: np.ndarray) -> np.ndarray:
     return -np.log1p(-np.clip(x, 0.0, 1.0) * (BASE - 1) / BASE) / np.log(BASE)
 
 
-def may_reach(plus: np.ndarray, minus: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, threshold: float, ratio: float = 16.0) -> np.ndarray:
+def may_reach(plus: np.ndarray, minus: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, threshold: float, ratio: float = 10.0) -> np.ndarray:
     """Whether similarity >= threshold stays possible for pairs with these register counts and set sizes.
 
     Joint log-likelihood of the similarity J: plus * log p(u - vJ) + minus * log p(v - uJ) +
@@ -158,36 +158,63 @@ def _estimate(threshold: float):
     return run
 
 
-def _blocks(threshold: float):
-    """Rows in order of (bucket, i, j), side: pairs between components of a bucket's block, or of two blocks."""
+def _blocks(hundredths: int):
+    """Rows in order of (bucket, i, j), side -> links between components of a bucket's block, or of two blocks.
 
-    def pairs(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        ids, comp, n = (np.array([r[k] for r in rows], np.int64) for k in (0, 1, 2))
+    A pair is compared in the first band only where it shares a bucket; links that join what a
+    block has joined before are left out, so at most one row per member comes out.
+    """
+    threshold = hundredths / 100
+
+    def links(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+        ids, root, n, side = (np.array([r[k] for r in rows], np.int64) for k in (0, 1, 2, 5))
+        band = rows[0][6]
         regs = np.frombuffer(b"".join(r[3] for r in rows), np.uint16).reshape(-1, M)
-        side = np.array([r[4] for r in rows])
-        left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side.any() else (np.arange(len(ids)), np.arange(len(ids)))
-        for x in left.tolist():
-            other = right[(comp[right] != comp[x]) & (4 * np.minimum(n[right], n[x]) >= 4 * threshold * np.maximum(n[right], n[x]))]
-            if left is not right and not side.any():
-                other = other[other > x]
+        keys = regs.view(np.uint64)
+        sets = [np.frombuffer(r[4], np.uint64) for r in rows]
+        two = bool(side.any())
+        order = np.arange(len(ids))
+        code = owner = None
+        for x in np.flatnonzero(side == 0).tolist():
+            ok = (root != root[x]) & (100 * np.minimum(n, n[x]) >= hundredths * np.maximum(n, n[x])) & (side == 1 if two else order > x)
+            other = np.flatnonzero(ok)
+            if len(other) and band:
+                other = other[~(keys[other, :band] == keys[x, :band]).any(1)]
+            if len(other):
+                other = other[may_reach((regs[x] > regs[other]).sum(1), (regs[x] < regs[other]).sum(1), np.full(len(other), float(n[x])), n[other].astype(float), threshold)]
             if not len(other):
                 continue
-            ok = may_reach((regs[x] > regs[other]).sum(1), (regs[x] < regs[other]).sum(1), np.full(len(other), float(n[x])), n[other].astype(float), threshold)
-            found = other[ok]
-            if len(found):
-                yield pa.record_batch([pa.array(np.minimum(ids[x], ids[found])), pa.array(np.maximum(ids[x], ids[found]))], schema=PAIR)
+            if len(other) < 16:
+                common = np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for y in other.tolist()])
+            else:
+                if code is None:
+                    values, code = np.unique(np.concatenate(sets), return_inverse=True)
+                    owner = np.repeat(order, n)
+                    mine, ends = np.zeros(len(values), bool), np.cumsum(n)
+                own = code[ends[x] - n[x] : ends[x]]
+                mine[own] = True
+                common = np.bincount(owner[mine[code]], minlength=len(ids))[other]
+                mine[own] = False
+            for y in other[100 * common >= hundredths * (n[x] + n[other] - common)].tolist():
+                if root[y] != root[x]:
+                    root[root == root[y]] = root[x]
+                    yield int(min(ids[x], ids[y])), int(max(ids[x], ids[y]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held = None, []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            found = list(links(held)) if len(held) > 1 else []
+            if found:
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found)], schema=PAIR)
+
         for batch in batches:
-            for bucket, i, j, *row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "i", "j", "id", "component", "n", "registers", "side"))):
+            for bucket, i, j, *row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "i", "j", "id", "component", "n", "registers", "shingles", "side", "band"))):
                 if (bucket, i, j) != current:
-                    if len(held) > 1:
-                        yield from pairs(held)
+                    yield from done()
                     current, held = (bucket, i, j), []
                 held.append(row)
-        if len(held) > 1:
-            yield from pairs(held)
+        yield from done()
 
     return run
 
@@ -228,7 +255,8 @@ def near_dedup(
     profile = materialise(base.mapInArrow(_profile(shingle), "id long, n long, set_key binary, registers binary"), "profiles")
     classes = materialise(profile.where("n > 0").groupBy("set_key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("registers").alias("registers")), "classes")
     wide = classes.where("id IS NOT NULL").select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.substring(F.col("registers"), k * 8 + 1, F.lit(8)))).alias("band", "key"))
-    member = wide.select(F.xxhash64("band", "key").alias("bucket"), "id")
+    # the band in the low bits: a bucket tells its band
+    member = wide.select((F.shiftleft(F.xxhash64("band", "key"), 5) + F.col("band")).alias("bucket"), "id")
     buckets = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("center")).where("size > 1 AND center IS NOT NULL")
     member = materialise(member.join(buckets, "bucket").where(F.col("id") != F.col("center")), "members")
 
@@ -242,33 +270,31 @@ def near_dedup(
             .mapInArrow(_estimate(threshold), "a long, b long")
         )
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "verify-ids")
+    def sets_of(ids: DataFrame) -> DataFrame:
+        ids = materialise(ids.distinct(), "set-ids")
         few = F.broadcast(ids) if ids.count() <= broadcast_ids else ids
-        sets = materialise(base.join(few, "id", "left_semi").mapInArrow(_sets(shingle), "id long, shingles binary"), "sets")
-        return materialise(
-            pairs.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a").mapInArrow(_verify(hundredths), "a long, b long"), "links"
-        )
+        return materialise(base.join(few, "id", "left_semi").mapInArrow(_sets(shingle), "id long, shingles binary"), "sets")
 
     star = materialise(sized(member.select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()), "star-pairs")
-    links = verified(star)
-    first = materialise(components(links), "first-components")
+    sets = sets_of(star.select(F.explode(F.array("a", "b")).alias("id")))
+    both = star.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a")
+    links = materialise(both.mapInArrow(_verify(hundredths), "a long, b long"), "links")
+    found = materialise(components(links), "first-components")
 
     # what the stars left open: members of one bucket, the center apart, in different components
-    labelled = member.where("size > 2").join(first, "id", "left").select("bucket", "id", "size", F.coalesce("component", "id").alias("component"))
-    open_ = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    rest = labelled.join(open_, "bucket").join(known, "id")
-    parts = F.ceil(F.col("size") / F.lit(block)).cast("int")
-    own = F.pmod(F.xxhash64("id"), parts).cast("int")
-    cells = F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j"), (F.col("own") > k).cast("int").alias("side")))
-    dealt = rest.withColumn("own", own).withColumn("cell", F.explode(cells)).select("bucket", "cell.i", "cell.j", "cell.side", "id", "component", "n", "registers")
-    second = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side").mapInArrow(_blocks(threshold), "a long, b long").distinct()
-    second = materialise(second, "open-pairs")
+    labelled = member.where("size > 2").join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component")).join(classes.select("id", "n"), "id")
+    open_ = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("all")).where("lo < hi")
+    parts = F.greatest(F.ceil(F.col("size") / F.lit(block)), F.ceil(F.col("all") / F.lit(block * 2000))).cast("int")
+    rest = materialise(labelled.drop("n").join(open_.select("bucket", parts.alias("parts")), "bucket"), "open-members")
+    own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j"), (F.col("own") > k).cast("int").alias("side")))
+    full = rest.withColumn("own", own).join(known, "id").join(sets_of(rest.select("id")), "id").withColumn("band", F.pmod("bucket", F.lit(BANDS)).cast("int"))
+    dealt = full.withColumn("cell", F.explode(cells)).select("bucket", "cell.i", "cell.j", "cell.side", "id", "component", "n", "registers", "shingles", "band")
+    second = materialise(dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side").mapInArrow(_blocks(hundredths), "a long, b long"), "open-links")
     if not second.isEmpty():
-        links = links.union(verified(second))
-        first = materialise(components(links), "components")
+        found = materialise(components(links.union(second)), "components")
 
-    of_class = classes.select("set_key", F.col("id").alias("head")).join(first.withColumnRenamed("id", "head"), "head", "left").select("set_key", F.coalesce("component", "head").alias("component"))
+    of_class = classes.select("set_key", F.col("id").alias("head")).join(found.withColumnRenamed("id", "head"), "head", "left").select("set_key", F.coalesce("component", "head").alias("component"))
     return profile.select("id", "n", F.when(F.col("n") > 0, F.col("set_key")).alias("set_key")).join(of_class, "set_key", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"),
