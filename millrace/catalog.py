@@ -21,3 +21,13 @@ def query(sql: str | None = None, name: str | None = None):
         return f
 
     return register
+
+
+def _load() -> None:
+    import importlib
+
+    for name in ("corpus",):
+        importlib.import_module(f"millrace.plans.{name}")
+
+
+_load()
