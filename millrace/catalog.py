@@ -26,7 +26,7 @@ def query(sql: str | None = None, name: str | None = None):
 def _load() -> None:
     import importlib
 
-    for name in ("corpus",):
+    for name in ("corpus", "packing", "chat", "evals", "monitor"):
         importlib.import_module(f"millrace.plans.{name}")
 
 
