@@ -1,6 +1,6 @@
 """Soft-membership mixing of documents to target weights, in DataFrame and SQL functions only.
 
-A naive Bayes classifier over hashed words, fitted on labelled rows, gives each document a
+A naive Bayes classifier over marker words, fitted on labelled rows, gives each document a
 posterior over domains. Projected gradient descent then fits a nonnegative rate per document, from
 1 on, so that expected domain tokens (sum of rate * tokens * posterior) come to the targets in
 least squares, each domain's deviation measured against its own weight in the corpus. Per step
@@ -28,52 +28,60 @@ def _words(text: Column) -> Column:
     return F.split(F.btrim(F.coalesce(text.cast("string"), F.lit("")), F.lit(SPACE)), r"[\x20\x09-\x0D]+")
 
 
-def _bucket(word: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(buckets)).cast("int")
+def fit_classifier(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample: int, terms: int, least_z: float, least_ratio: float, least_share: float) -> tuple[DataFrame, list[float], list[float]]:
+    """Marker words with their log odds against the first domain; log priors; log odds of having no marker.
 
-
-def fit_classifier(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample: int, buckets: int, shrink: float) -> tuple[DataFrame, list[float]]:
-    """Log odds against the first domain by bucket, a row each, and the log priors of domains.
-
-    Uses at most ``sample`` labelled rows, by hash of identifier, which bounds what is broadcast;
-    the model has ``buckets`` entries whatever the input. Each bucket's share in a domain is
-    shrunk towards its share in all by ``shrink`` times the domain's tokens.
+    Uses at most ``sample`` labelled rows, by hash of identifier, which bounds what is broadcast. A
+    word is a marker of a domain if the number of its documents that hold it is ``least_z``
+    standard deviations above what the word's share in all would give, and its share there
+    ``least_ratio`` times that in the first domain and at least ``least_share``, so that words of a
+    language, a topic or a group of near copies don't add up; the ``terms`` clearest are kept, so the model has a fixed size whatever the input.
     """
-    spark = df.sparkSession
     known = labels.select(F.col("doc_id").cast("long").alias("__mr_label"), domain_of_label().alias("domain")).where("__mr_label IS NOT NULL AND domain IS NOT NULL")
     known = known.dropDuplicates(["__mr_label"]).orderBy(F.xxhash64("__mr_label"), "__mr_label").limit(sample)
     texts = df.select(F.col(id_col).cast("long").alias("__mr_id"), F.col(text_col).alias("__mr_text"))
-    tagged = materialise(texts.join(F.broadcast(known), F.col("__mr_id") == F.col("__mr_label")).select("domain", F.explode(_words(F.col("__mr_text"))).alias("word")).where("word <> ''").groupBy("domain", _bucket(F.col("word"), buckets).alias("bucket")).agg(F.count(F.lit(1)).alias("n")), "mix-counts")
-    size = dict(known.groupBy("domain").count().collect())
-    tokens = dict(tagged.groupBy("domain").agg(F.sum("n")).collect())
-    total = sum(tokens.values())
-    priors = [float(np.log((size.get(d, 0) + 1) / (sum(size.values()) + len(DOMAINS)))) for d in DOMAINS]
-    counts = tagged.groupBy("bucket").agg(F.sum("n").alias("all"), *(F.sum(F.when(F.col("domain") == d, F.col("n")).otherwise(0)).alias(d) for d in DOMAINS))
-    dense = spark.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").fillna(0)
-    base = (F.col("all") + 0.5) / (total + 0.5 * buckets)
+    once = texts.join(F.broadcast(known), F.col("__mr_id") == F.col("__mr_label")).dropDuplicates(["__mr_text", "domain"])  # copies of a text count once
+    held = once.select("__mr_id", "domain", F.explode(F.array_distinct(_words(F.col("__mr_text")))).alias("word")).where("word <> ''")
+    held = materialise(held, "mix-words")
+    size = dict(held.groupBy("domain").agg(F.countDistinct("__mr_id")).collect())
+    n = {d: float(size.get(d, 0)) for d in DOMAINS}
+    total = max(1.0, sum(n.values()))
+    priors = [float(np.log((n[d] + 1) / (sum(n.values()) + len(DOMAINS)))) for d in DOMAINS]
+    counts = held.groupBy("word").agg(F.count(F.lit(1)).alias("all"), *(F.count_if(F.col("domain") == d).alias(d) for d in DOMAINS)).where("all >= 5")
+
+    def z(d: str) -> Column:
+        expected = F.col("all") * (n[d] / total)
+        return (F.col(d) - expected) / F.sqrt(expected + 0.5)
+
+    def odds(d: str) -> Column:
+        found = F.log((F.col(d) + 0.5) / (n[d] + 1)) - F.log((F.col(DOMAINS[0]) + 0.5) / (n[DOMAINS[0]] + 1))
+        common = F.col(d) >= least_share * n[d]
+        return F.when(common & (z(d) >= least_z) & (found >= float(np.log(least_ratio))), found).otherwise(0.0)
+
+    strength = F.greatest(*(F.when(odds(d) > 0, z(d)).otherwise(0.0) for d in DOMAINS[1:]))
+    model = counts.where(strength >= least_z).orderBy(F.desc(strength), "word").limit(terms).select("word", *(odds(d).alias(d) for d in DOMAINS[1:]))
+    model = materialise(model, "mix-model")
+    marked = held.join(F.broadcast(model), "word", "left").groupBy("__mr_id", "domain").agg(*(F.max(F.coalesce(F.col(d) > 0, F.lit(False))).alias(d) for d in DOMAINS[1:]))
+    without = {r["domain"]: r for r in marked.groupBy("domain").agg(*(F.count_if(~F.col(d)).alias(d) for d in DOMAINS[1:])).collect()}
 
-    def share(d: str) -> Column:
-        n = float(tokens.get(d, 0))
-        return (F.col(d) + (shrink * n + 1.0) * base) / (n + shrink * n + 1.0)
+    def none(d: str, of: str) -> float:
+        return float(np.log(((without[of][d] if of in without else 0) + 0.5) / (n[of] + 1)))
 
-    odds = [F.log(share(d) / share(DOMAINS[0])).alias(d) for d in DOMAINS[1:]]
-    return materialise(dense.select("bucket", *odds), "mix-model"), priors
+    return model, priors, [none(d, d) - none(d, DOMAINS[0]) if n[d] else 0.0 for d in DOMAINS[1:]]
 
 
-def posteriors(df: DataFrame, model: DataFrame, priors: list[float], id_col: str, text_col: str, temper: float) -> DataFrame:
+def posteriors(df: DataFrame, model: DataFrame, priors: list[float], absent: list[float], id_col: str, text_col: str) -> DataFrame:
     """__mr_id, __mr_tokens and __mr_p_<domain> of each row, from all words of its text.
 
     Words are exploded and joined with the model, a table of fixed size; sums come together within
-    each input partition, so a row per text crosses the shuffle. ``temper`` divides the summed
-    log odds: words of a document are not independent.
+    each input partition, so a row per text crosses the shuffle.
     """
-    buckets = model.count()
     numbered = df.select(F.monotonically_increasing_id().alias("__mr_row"), F.col(id_col).cast("long").alias("__mr_id"), F.col(text_col).alias("__mr_text"))
     rows = numbered.select("__mr_row", "__mr_id", F.explode(_words(F.col("__mr_text"))).alias("word"))
-    known = rows.withColumn("bucket", _bucket(F.col("word"), buckets)).join(F.broadcast(model), "bucket")
-    real = F.when(F.col("word") != "", 1).otherwise(0)
-    out = known.groupBy("__mr_row", "__mr_id").agg(F.sum(real).alias("__mr_tokens"), *(F.sum(F.col(d) * real).alias(d) for d in DOMAINS[1:]))
-    logs = [F.lit(priors[0])] + [F.col(d) / temper + priors[k + 1] for k, d in enumerate(DOMAINS[1:])]
+    found = rows.join(F.broadcast(model), "word", "left")
+    sums = [F.sum(F.coalesce(d, F.lit(0.0))).alias(d) for d in DOMAINS[1:]] + [F.max(F.coalesce(F.col(d) > 0, F.lit(False))).alias(f"any_{d}") for d in DOMAINS[1:]]
+    out = found.groupBy("__mr_row", "__mr_id").agg(F.count_if(F.col("word") != "").alias("__mr_tokens"), *sums)
+    logs = [F.lit(priors[0])] + [F.col(d) + priors[k + 1] + F.when(F.col(f"any_{d}") | (F.col("__mr_tokens") == 0), 0.0).otherwise(absent[k]) for k, d in enumerate(DOMAINS[1:])]
     top = F.greatest(*logs)
     parts = [F.exp(x - top) for x in logs]
     norm = sum(parts[1:], parts[0])
@@ -112,15 +120,17 @@ def fit_rates(rows: DataFrame, targets: dict[str, float], max_rate: float, steps
     return rows
 
 
-def copies(rate: Column, ident: Column, seed: int) -> Column:
-    """A whole number of copies with this mean: the floor, and one more where a hash of the identifier falls below the rest."""
+def copies(rate: Column, ident: Column, seed: int, draw: bool = True) -> Column:
+    """A whole number of copies with this mean: the floor, and one more where a hash of the identifier falls below the rest; or, without ``draw``, the nearest."""
+    if not draw:
+        return F.round(rate).cast("int")
     u = (F.pmod(F.xxhash64(ident, F.lit(seed)), F.lit(1 << 30)) + F.lit(0.5)) / F.lit(float(1 << 30))
     return (F.floor(rate) + F.when(u < rate - F.floor(rate), 1).otherwise(0)).cast("int")
 
 
 def mix(
     df: DataFrame, labels: DataFrame, weights: dict[str, float], id_col: str = "doc_id", text_col: str = "text", total: float | None = None, max_rate: float = 4.0,
-    anchor: str | None = None, sample: int = 20_000, buckets: int = 1 << 16, shrink: float = 1.0, temper: float = 1.0, seed: int = 29, rows_out: bool = False,
+    anchor: str | None = None, sample: int = 20_000, terms: int = 20_000, least_z: float = 6.0, least_ratio: float = 20.0, least_share: float = 0.02, seed: int = 29, draw: bool = True, rows_out: bool = False,
 ) -> DataFrame:
     """Rates that bring the corpus to ``weights`` (shares by domain of clean, low, toxic).
 
@@ -132,20 +142,20 @@ def mix(
     its own fixed number; repeated rows draw alike. Without labels the priors are even and rates only
     follow tokens. An empty table gives no rows.
     """
-    model, priors = fit_classifier(df, labels, id_col, text_col, sample, buckets, shrink)
+    model, priors, absent = fit_classifier(df, labels, id_col, text_col, sample, terms, least_z, least_ratio, least_share)
     ident = F.col(id_col).cast("long")
-    rows = materialise(posteriors(df, model, priors, id_col, text_col, temper), "mix-posteriors")
+    rows = materialise(posteriors(df, model, priors, absent, id_col, text_col), "mix-posteriors")
     found = rows.agg(*(F.sum(F.col("__mr_tokens") * F.col(f"__mr_p_{d}")) for d in DOMAINS)).first()
     have = {d: float(x or 0.0) for d, x in zip(DOMAINS, found)}
     scale = sum(weights.values())
     if total is None:
         total = 1.02 * have[anchor] * scale / weights[anchor] if anchor else sum(have.values())
     rates = fit_rates(rows, {d: total * weights[d] / scale for d in DOMAINS}, max_rate)
-    rates = rates.withColumn("__mr_copies", copies(F.col("__mr_rate"), F.col("__mr_id"), seed))
+    rates = rates.withColumn("__mr_copies", copies(F.col("__mr_rate"), F.col("__mr_id"), seed, draw))
     if not rows_out:
         return rates.select(F.col("__mr_id").alias(id_col), F.col("__mr_tokens").alias("n_tokens"), *(F.col(f"__mr_p_{d}").alias(f"p_{d}") for d in DOMAINS), F.col("__mr_rate").alias("rate"), F.col("__mr_copies").alias("copies"))
     # an identifier that repeats has a number of copies for each of its texts: the mean decides for all
-    chosen = rates.groupBy("__mr_id").agg(F.avg("__mr_rate").alias("__mr_rate")).withColumn("__mr_copies", copies(F.col("__mr_rate"), F.col("__mr_id"), seed)).where("__mr_copies > 0").select("__mr_id", "__mr_copies")
+    chosen = rates.groupBy("__mr_id").agg(F.avg("__mr_rate").alias("__mr_rate")).withColumn("__mr_copies", copies(F.col("__mr_rate"), F.col("__mr_id"), seed, draw)).where("__mr_copies > 0").select("__mr_id", "__mr_copies")
     kept = df.join(chosen, ident.eqNullSafe(F.col("__mr_id")))
     if max_rate > 1:
         kept = kept.withColumn("__mr_copy", F.explode(F.sequence(F.lit(1), F.col("__mr_copies"))))
