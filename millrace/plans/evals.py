@@ -222,12 +222,12 @@ def index_coverage(D):
 # templates over the benchmark texts
 @both
 def cloze_templates(D):
-    return "SELECT item_id, concat('Question: ', text, chr(10), 'Answer:') AS ctx, concat(' ', substring(text, 1, 20)) AS cont, CAST(length(substring(text, 1, 20)) AS BIGINT) AS n FROM benchmark"
+    return "SELECT item_id, concat('Question: ', text, chr(10), 'Answer:') AS ctx, concat(' ', text) AS cont, CAST(length(text) AS BIGINT) AS n FROM benchmark"
 
 
 @both
 def hellaswag_query(D):
-    raw = "trim(concat('Topic: ', substring(text, 1, 60), ' [title] ', upper(substring(text, 61, 1)), lower(substring(text, 62, 60)), ' [substeps] end'))"
+    raw = "trim(concat('Topic: ', substring(text, 1, 60), ' [title] ', upper(substring(text, 61, 1)), lower(substring(text, 62)), ' [substeps] end'))"
     return f"SELECT item_id, replace(regexp_replace(replace({raw}, ' [title]', '. '), '\\\\[[^\\n]*?\\\\]', ''), '  ', ' ') AS q FROM benchmark" if D.nan[0] != "'" else f"SELECT item_id, replace(regexp_replace(replace({raw}, ' [title]', '. '), '\\[[^\\n]*?\\]', '', 'g'), '  ', ' ') AS q FROM benchmark"
 
 
@@ -240,7 +240,7 @@ def bracket_cleanup(D):
 
 @both
 def winogrande_split(D):
-    s = "SELECT item_id, concat(substring(text, 1, 30), '_', substring(text, 31, 40)) AS s FROM benchmark WHERE item_id % 4 <> 0 UNION ALL SELECT item_id, text FROM benchmark WHERE item_id % 4 = 0"
+    s = "SELECT item_id, concat(substring(text, 1, 30), '_', substring(text, 31)) AS s FROM benchmark WHERE item_id % 4 <> 0 UNION ALL SELECT item_id, text FROM benchmark WHERE item_id % 4 = 0"
     at = D.find("'_'", "s")
     return f"SELECT item_id, concat(substring(s, 1, CAST({at} - 1 AS INT)), 'option') AS ctx, concat(' ', trim(substring(s, CAST({at} + 1 AS INT)))) AS cont FROM ({s}) x WHERE {at} > 0"
 
@@ -253,7 +253,7 @@ def lettered_choice(D):
 @both
 def encode_pair(D):
     """White space at the end of a context moves to the continuation."""
-    c = "SELECT item_id, concat(substring(text, 1, 40), '  ') AS ctx, substring(text, 41, 20) AS cont FROM benchmark"
+    c = "SELECT item_id, concat(substring(text, 1, 40), '  ') AS ctx, substring(text, 41) AS cont FROM benchmark"
     return f"SELECT item_id, rtrim(ctx) AS ctx, concat(substring(ctx, length(rtrim(ctx)) + 1), cont) AS cont FROM ({c}) c"
 
 
