@@ -31,7 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.files import open_fs, write_atomic
-from millrace.session import shared_path
+from millrace.llm.wordhash import spans
+from millrace.session import bounded_batches, shared_path
 
 MAGIC = b"MRSST001"
 FOOTER = struct.Struct("<6QI8s")
@@ -162,55 +163,129 @@ class SSTable:
 class WordEncoder:
     """Whole texts through a tokenizer that lower-cases and never looks across ASCII white space.
 
-    The tokenizers library encodes each distinct run between spaces; its packed ids are kept for
-    later texts, two generations of ``most`` runs. New runs go through the library together,
-    with a mark of a single id between them that none of them holds.
+    The tokenizers library encodes each distinct run between spaces; its ids are kept in one pool,
+    found by the run's 64-bit hash in a sorted table, and texts are put together from the pool
+    by array operations. New runs go through the library together, with a mark of a single id
+    between them that none of them holds. At ``most`` runs all are forgotten.
     """
 
     MARK = "\u2022"
+    #: Marks at the end of a run that the tokenizer always takes apart from letters before them.
+    ENDS = ".,!?;:|$%&*#)"
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 1_500_000, recent: int = 60_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.most, self.new, self.old = most, {}, {}
+        self.most, self.recent = most, recent
         mark = self._ids(self.MARK)
         self.mark = mark[0] if len(mark) == 1 else None
+        self.ends: dict[str, np.ndarray] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.table, self.entry = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # hashes in order, their entries
+        self.late: dict[int, int] = {}  # hashes not yet in the table
+        self.pool, self.used = np.zeros(1 << 20, np.uint32), 0
+        self.start, self.size, self.n = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int32), 0
 
     def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def _learn(self, runs: list[bytes]) -> None:
+    def _library(self, runs: list[str]) -> list[np.ndarray]:
+        """Ids of each run, from the library."""
+        out = []
         for k in range(0, len(runs), 1024):
             some = runs[k : k + 1024]
-            text = b" ".join(some).decode()
+            text = " ".join(some)
             if self.mark is not None and self.MARK not in text:
-                ids = np.array(self._ids(text.replace(" ", f" {self.MARK} ")), "<u4")
+                ids = np.array(self._ids(f" {self.MARK} ".join(some)), np.uint32)
                 cuts = np.flatnonzero(ids == self.mark)
                 if len(cuts) == len(some) - 1:
-                    data, cuts = ids.tobytes(), (4 * cuts).tolist()
-                    starts = [0, *[c + 4 for c in cuts]]
-                    self.new.update(zip(some, [data[a:b] for a, b in zip(starts, [*cuts, len(data)])]))
+                    ends = [*cuts.tolist(), len(ids)]
+                    starts = [0, *(c + 1 for c in ends[:-1])]
+                    out += [ids[a:b] for a, b in zip(starts, ends)]
                     continue
-            for run in some:
-                ids = self._ids(run.decode())
-                self.new[run] = struct.pack(f"<{len(ids)}I", *ids)
-
-    def encode(self, text: bytes) -> bytes:
-        """Ids of a text in UTF-8 as little-endian unsigned 32-bit integers."""
-        runs = text.lower().split()  # bytes: ASCII letters and white space only
-        missing = set(runs).difference(self.new)
-        if missing:
-            if self.new and len(self.new) + len(missing) > self.most:
-                self.old, self.new, missing = self.new, {}, set(runs)
-            known = {r for r in missing if r in self.old}
-            for run in known:
-                self.new[run] = self.old[run]
-            if len(known) < len(missing):
-                self._learn(list(missing - known))
-        return b"".join(map(self.new.__getitem__, runs))
+            out += [np.array(self._ids(run), np.uint32) for run in some]
+        return out
+
+    def _learn(self, hashes: list[int], runs: list[bytes]) -> None:
+        asked, ends = [], []
+        for run in runs:
+            text = run.decode()
+            word = text.rstrip(self.ENDS)
+            apart = len(word) < len(text) and word and word[-1].isalpha() and word[-1] == word[-1].lower() < "\u0250"
+            asked.append(word if apart else text)
+            ends.append(text[len(word) :] if apart else "")
+        new = sorted({e for e in ends if e} - self.ends.keys())
+        if len(self.ends) > 10_000:
+            self.ends, new = {}, sorted({e for e in ends if e})
+        self.ends.update(zip(new, self._library(new)))
+        found = [np.concatenate([a, self.ends[e]]) if e else a for a, e in zip(self._library(asked), ends)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        total = int(sizes.sum())
+        while self.used + total > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.uint32)])
+        while self.n + len(found) > len(self.start):
+            self.start, self.size = (np.concatenate([x, np.zeros(len(x), x.dtype)]) for x in (self.start, self.size))
+        self.pool[self.used : self.used + total] = np.concatenate(found) if found else 0
+        self.start[self.n : self.n + len(found)] = self.used + np.cumsum(sizes) - sizes
+        self.size[self.n : self.n + len(found)] = sizes
+        self.late.update(zip(hashes, range(self.n, self.n + len(found))))
+        self.used += total
+        self.n += len(found)
+
+    def _find(self, own: np.ndarray) -> np.ndarray:
+        """Entry of each hash, -1 where it is unknown."""
+        out = np.full(len(own), -1)
+        if len(self.table):
+            at = np.minimum(np.searchsorted(self.table, own), len(self.table) - 1)
+            hit = self.table[at] == own
+            out[hit] = self.entry[at[hit]]
+        if self.late:
+            rest = np.flatnonzero(out < 0)
+            out[rest] = [self.late.get(h, -1) for h in own[rest].tolist()]
+        return out
+
+    def _some(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        if self.n > self.most:
+            self._forget()
+        data, start, end, hashes, doc = spans(texts)
+        own, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        entry = self._find(own)
+        new = np.flatnonzero(entry < 0)
+        if len(new):
+            raw = data.tobytes()
+            self._learn(own[new].tolist(), [raw[a:b] for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist())])
+            entry[new] = np.arange(self.n - len(new), self.n)
+            if len(self.late) > self.recent:
+                late = np.fromiter(self.late, np.uint64, len(self.late))
+                table, at = np.concatenate([self.table, late]), np.concatenate([self.entry, np.fromiter(self.late.values(), np.int64, len(self.late))])
+                order = np.argsort(table, kind="stable")
+                self.table, self.entry, self.late = table[order], at[order], {}
+        of = entry[back]
+        sizes = self.size[of].astype(np.int64)
+        ends = np.cumsum(sizes)
+        ids = self.pool[np.repeat(self.start[of] - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(doc, weights=sizes, minlength=len(texts)))]).astype(np.int64).tolist()
+        yield from (ids[a:b] for a, b in zip(cuts, cuts[1:]))
+
+    def encode_all(self, texts: Iterable[bytes]) -> Iterator[np.ndarray]:
+        """For each text in UTF-8 its ids."""
+        held, size = [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text)
+            if size >= 1 << 20:
+                yield from self._some(held)
+                held, size = [], 0
+        if held:
+            yield from self._some(held)
+
+    def encode(self, text: bytes) -> np.ndarray:
+        return next(self.encode_all([text]))
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -226,6 +301,7 @@ def write_shards(df: DataFrame, tokenizer: str, folder: str, id_col: str = "doc_
     first, repeated identifiers keep one entry each (in order of text), further columns are
     ignored and an empty table gives no shards. A task that runs again replaces its file whole.
     """
+    bounded_batches(df.sparkSession)
     base = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = base.repartitionByRange(n, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "body")
@@ -233,15 +309,16 @@ def write_shards(df: DataFrame, tokenizer: str, folder: str, id_col: str = "doc_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer not in _ENCODERS:
             _ENCODERS[tokenizer] = WordEncoder(tokenizer)
-        encoder, end = _ENCODERS[tokenizer], struct.pack("<I", end_id)
+        encoder, end = _ENCODERS[tokenizer], np.uint32(end_id)
         seen: list = []
 
         def rows():
             for batch in batches:
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
+                docs = batch.column(0).to_pylist()
+                for doc, ids in zip(docs, encoder.encode_all(batch.column(1).cast(pa.binary()).to_pylist())):
                     if not seen:
                         seen.append(doc)
-                    yield doc, pack(np.frombuffer(encoder.encode(text) + end, "<u4"))
+                    yield doc, pack(np.append(ids, end))
 
         totals: list = []
 

@@ -60,11 +60,12 @@ def slabs(texts: list[bytes | None], most: int = 1 << 21) -> Iterator[tuple[int,
         yield first, held
 
 
-def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, text number and hash of the last four bytes of each word, A-Z lower-cased, split at ASCII white space."""
+def spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts as one array of bytes, A-Z lower-cased, and start, end, hash and text number of each word."""
     data = _LOWER[np.frombuffer(b"\n".join([*texts, b""]), np.uint8)]
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        none = np.zeros(0, np.int64)
+        return data, none, none, np.zeros(0, np.uint64), none
     edge = np.diff(np.concatenate([[1], _SPACE[data].view(np.int8), [1]]))
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     up, down = _tables(len(data) + 1)
@@ -72,9 +73,15 @@ def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     np.cumsum(_BYTES[data] * up[: len(data)], out=total[1:])
     hashes = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
     hashes[hashes == END] = 1
+    first = np.cumsum([0, *[len(t) + 1 for t in texts]])
+    return data, start, end, hashes, np.searchsorted(first, start, side="right") - 1
+
+
+def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, text number and hash of the last four bytes of each word, A-Z lower-cased, split at ASCII white space."""
+    data, start, end, hashes, doc = spans(texts)
     tail = np.zeros(len(start), np.uint64)
     for back in range(1, 5):
         at = end - back
         tail = (tail << np.uint64(8)) | np.where(at >= start, data[np.maximum(at, 0)], 0).astype(np.uint64)
-    first = np.cumsum([0, *[len(t) + 1 for t in texts]])
-    return hashes, np.searchsorted(first, start, side="right") - 1, mix(tail + np.uint64(1))
+    return hashes, doc, mix(tail + np.uint64(1))
