@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from millrace.llm.files import open_fs, write_atomic
 from millrace.llm.wordhash import spans
 from millrace.session import bounded_batches, shared_path
+from millrace.llm.worker import cache, owns
 
 MAGIC = b"MRSST001"
 FOOTER = struct.Struct("<6QI8s")
@@ -288,7 +289,16 @@ class WordEncoder:
         return next(self.encode_all([text]))
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[str, WordEncoder] = cache()
+
+
+def encoder_of(path: str) -> WordEncoder:
+    """One encoder per Python worker, kept between tasks (a closure would carry its own empty cache)."""
+    if path not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
+
 
 WRITTEN = pa.schema([("path", pa.string()), ("first", pa.int64()), ("empty_key", pa.bool_()), ("docs", pa.int64()), ("tokens", pa.int64())])
 
@@ -307,9 +317,8 @@ def write_shards(df: DataFrame, tokenizer: str, folder: str, id_col: str = "doc_
     dealt = base.repartitionByRange(n, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _ENCODERS:
-            _ENCODERS[tokenizer] = WordEncoder(tokenizer)
-        encoder, end = _ENCODERS[tokenizer], np.uint32(end_id)
+        owns("shards")
+        encoder, end = encoder_of(tokenizer), np.uint32(end_id)
         seen: list = []
 
         def rows():
@@ -356,6 +365,7 @@ def read_shards(written: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owns("shards")
         for batch in batches:
             for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 table = SSTable(path)

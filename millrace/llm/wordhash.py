@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
+from millrace.llm.worker import cache
+
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -20,7 +22,7 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out
 
 
-_CACHE: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_CACHE: dict[int, tuple[np.ndarray, np.ndarray]] = cache()
 
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
