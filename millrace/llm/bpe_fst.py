@@ -21,6 +21,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.session import bounded_batches
+from millrace.llm.worker import cache, owns
+
 
 def load_ranks(path: str) -> dict[bytes, int]:
     """Ranks of a tiktoken file: base64 token and rank per line."""
@@ -31,11 +34,11 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Merges:
     """The merges that a rank table implies: the parts of each token, and which neighbours are stable."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], most: int = 150_000):
+        self.ranks, self.most = ranks, most
         self.bytes_of = {r: t for t, r in ranks.items()}
         self._parts: dict[int, tuple[int, int] | None] = {}
-        self._stable: dict[tuple[int, int], bool] = {}
+        self._stable: dict[int, bool] = {}
 
     def merge(self, data: bytes, below: float = float("inf")) -> list[int]:
         """Plain BPE, lowest rank and then leftmost first, with merges of rank under ``below``."""
@@ -69,7 +72,7 @@ class Merges:
         when the later of both was made until one of them is merged away, and a merge of both
         fires in that time iff its rank comes first (the left of two equal ranks goes first).
         """
-        key = (left, right)
+        key = left << 32 | right
         known = self._stable.get(key)
         if known is not None:
             return known
@@ -87,7 +90,7 @@ class Merges:
                 end_a, a = a, pa_[1]
             else:
                 end_b, b = b, pb[0]
-        if len(self._stable) > 2_000_000:
+        if len(self._stable) >= self.most:
             self._stable.clear()
         self._stable[key] = ok
         return ok
@@ -102,7 +105,7 @@ class Transducer:
     chains of all guesses agree, so at most ``slab`` bytes and the longest token are held.
     """
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 300_000, slab: int = 1 << 14):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 180_000, slab: int = 1 << 14):
         self.merges = Merges(ranks)
         self.max_states, self.slab = max_states, slab
         self.trie: list[dict[int, int]] = [{}]
@@ -228,9 +231,9 @@ class Utf8Stream:
 class _Memo(dict):
     """Token ids of matches seen before, two generations of ``most`` each; a miss runs the transducer."""
 
-    def __init__(self, ranks: dict[bytes, int], most: int):
+    def __init__(self, ranks: dict[bytes, int], most: int, states: int):
         super().__init__()
-        self.ranks, self.most, self.fst, self.old = ranks, most, Transducer(ranks), {}
+        self.ranks, self.most, self.fst, self.old = ranks, most, Transducer(ranks, states), {}
 
     def __missing__(self, match: str) -> tuple[int, ...]:
         ids = self.old.get(match)
@@ -250,10 +253,10 @@ class _Memo(dict):
 class ByteBPE:
     """Encoder and decoder of a rank file, each match of the pattern on its own, without special tokens."""
 
-    def __init__(self, path: str, pattern: str, memo: int = 200_000):
+    def __init__(self, path: str, pattern: str, memo: int = 150_000, states: int = 180_000):
         ranks = load_ranks(path)
         self.pattern = regex.compile(pattern)
-        self.memo = _Memo(ranks, memo)
+        self.memo = _Memo(ranks, memo, states)
         self.bytes_of = {r: t for t, r in ranks.items()}
 
     def encode_slabs(self, text: str, matches: int = 200_000) -> Iterator[list[int]]:
@@ -279,27 +282,31 @@ class ByteBPE:
         yield stream.finish()
 
 
-_LOADED: dict[tuple, ByteBPE] = {}
+_LOADED: dict[tuple, ByteBPE] = cache()
 
 
-def loaded(path: str, pattern: str) -> ByteBPE:
+def loaded(path: str, pattern: str, memo: int = 150_000, states: int = 180_000) -> ByteBPE:
     """One encoder per Python worker, kept between tasks."""
-    if (path, pattern) not in _LOADED:
+    key = (path, pattern, memo, states)
+    if key not in _LOADED:
         _LOADED.clear()
-        _LOADED[path, pattern] = ByteBPE(path, pattern)
-    return _LOADED[path, pattern]
+        _LOADED[key] = ByteBPE(path, pattern, memo, states)
+    return _LOADED[key]
 
 
 def encode_documents(
-    df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, with_text: bool = False, batch_ids: int = 1 << 20
+    df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, with_text: bool = False, batch_ids: int = 1 << 19,
+    memo: int = 150_000, states: int = 180_000,
 ) -> DataFrame:
     """One row per input row: ``id_col``, n_tokens, ids_sha256, decoded_sha256; ``with_ids`` adds ids, ``with_text`` the decoded text.
 
     A null text counts as empty: no tokens, hashes of no bytes. Rows pass in their own order
     within a partition, without any shuffle, and leave in batches of some ``batch_ids`` ids;
+    ``memo`` matches and ``states`` states are kept per worker (less memory, more time);
     repeated rows give repeated results; a null identifier stays null; an empty table gives no
     rows; further columns are left out.
     """
+    bounded_batches(df.sparkSession)
     fields = [(id_col, pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
     ddl = f"`{id_col}` long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     if with_ids:
@@ -311,7 +318,8 @@ def encode_documents(
     schema = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(path, pattern)
+        owns("bpe")
+        bpe = loaded(path, pattern, memo, states)
         decimal = [str(i) for i in range(max(bpe.bytes_of) + 1)].__getitem__
         rows, held = [], 0
         for batch in batches:

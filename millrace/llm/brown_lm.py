@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from millrace.llm.files import list_files, open_fs
 from millrace.llm.wordhash import END, slabs, words
-from millrace.session import materialise, shared_path
+from millrace.session import bounded_batches, materialise, shared_path
+from millrace.llm.worker import cache, owns
 
 ALPHA = 0.1
 
@@ -43,6 +44,7 @@ def _stream(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(body) -> (h, c), summed for a few million tokens at a time."""
+    owns("lm")
 
     def out(held: list[np.ndarray]) -> pa.RecordBatch:
         values, counts = np.unique(np.concatenate(held), return_counts=True)
@@ -80,6 +82,7 @@ def _pair_counts(units: Units):
     """(body) -> per unit: packed counts of the units after it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owns("lm")
         table = np.zeros(units.n * units.n, np.int64)
         for batch in batches:
             for _, texts in slabs(batch.column(0).cast(pa.binary()).to_pylist()):
@@ -100,6 +103,7 @@ def _pair_sums(n: int):
     """Rows of one unit, in order, to one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owns("lm")
         current, total = None, np.zeros(n, np.int64)
 
         def out() -> pa.RecordBatch:
@@ -175,7 +179,7 @@ def exchange(pairs: np.ndarray, classes: int, sweeps: int = 12) -> np.ndarray:
     return cls
 
 
-_FREQUENT: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+_FREQUENT: dict[str, tuple[np.ndarray, np.ndarray]] = cache()
 
 
 def _frequent(uri: str) -> tuple[np.ndarray, np.ndarray]:
@@ -202,6 +206,7 @@ def _score(uri: str, units: Units, cls: np.ndarray, lift: np.ndarray, all_listed
     """(id, body) -> a row per text with its sums, and one per token whose count the file lacks (h set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owns("lm")
         listed, counts = _frequent(uri)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
@@ -246,6 +251,7 @@ def lm_scores(
     scores equal base scores. ``head``, ``groups`` and ``classes`` are the model's size, ``frequent`` bounds
     the file of counts. Further columns are ignored; an empty table gives no rows.
     """
+    bounded_batches(df.sparkSession)
     spark = df.sparkSession
     base = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
     held_out = F.crc32(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")) % folds == 0

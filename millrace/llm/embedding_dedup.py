@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.graph import components
-from millrace.session import materialise
+from millrace.session import bounded_batches, materialise
+from millrace.llm.worker import owns
 
 EPS = 5.5
 PLANES = 4
@@ -100,6 +101,7 @@ def _vectors(values: list) -> list[np.ndarray | None]:
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, embedding) -> (id, key, vector): key and vector are null where the vector links with nothing."""
+    owns("vectors")
     for batch in batches:
         found = _vectors(batch.column(1).to_pylist())
         data = [None if v is None else v.tobytes() for v in found]
@@ -118,6 +120,7 @@ def _by_dim(data: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 def _members(seed: int, bits: int, bands: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owns("vectors")
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             data = batch.column(1).to_pylist()
@@ -133,6 +136,7 @@ def _members(seed: int, bits: int, bands: int):
 
 def _codes(seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owns("vectors")
         for batch in batches:
             data = batch.column("vector").to_pylist()
             codes: list = [None] * len(data)
@@ -201,6 +205,7 @@ def _compare(threshold: float, seed: int, bits: int, bands: int):
                     yield int(ids[a]), int(ids[b])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owns("vectors")
         current, held, totals, links = None, [], {}, []
 
         def out() -> pa.RecordBatch:
@@ -235,6 +240,7 @@ def embedding_dedup(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     identifier is one node of the graph, its rows are counted each. Rows of null identifier
     link with equal vectors only. An empty table gives no rows; further columns are ignored.
     """
+    bounded_batches(df.sparkSession)
     rows = materialise(df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).mapInArrow(_keys, "id long, key binary, vector binary"), "vectors")
     classes = rows.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("many"), F.first("vector").alias("vector"))
     classes = materialise(classes.mapInArrow(_codes(seed), "key binary, id long, many long, vector binary, code binary, factor double"), "codes")

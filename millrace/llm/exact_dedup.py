@@ -21,6 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.session import bounded_batches
+from millrace.llm.worker import owns
+
 
 class Node:
     """Children by first byte as (label, node); ``value`` is the terminal's payload or None."""
@@ -190,6 +193,7 @@ def _local(budget: int):
             yield len(body), int.from_bytes(digest[:8], "big", signed=True), digest, body, lo, hi, n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owns("exact")
         trie = PatriciaTrie(_merge, 1 << 62)
         for batch in batches:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
@@ -206,6 +210,7 @@ def _owner(budget: int):
     """Owner of (length, hash): equality is decided on full byte strings in the trie."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owns("exact")
         trie = PatriciaTrie(_merge, budget)
         for batch in batches:
             for body, lo, hi, n in zip(*(batch.column(c).to_pylist() for c in ("body", "lo", "hi", "n"))):
@@ -229,6 +234,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     repeat both identifier and text share their flag. Empty tables give no rows; further
     columns are ignored, whatever their names.
     """
+    bounded_batches(df.sparkSession)
     base = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
     parts = base.mapInArrow(_local(trie_bytes), PART_DDL).repartition("n_bytes", "content_hash")
     owners = parts.mapInArrow(_owner(trie_bytes), OWNER_DDL)

@@ -20,7 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.session import materialise
+from millrace.session import bounded_batches, materialise
+from millrace.llm.worker import owns
 
 BYTE_BUCKETS = 1 << 14
 BUCKETS = BYTE_BUCKETS + 64
@@ -53,7 +54,7 @@ def _grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return chars, char_doc, reps, rep_doc
 
 
-def _slices(texts: list[bytes | None], most: int = 1 << 22) -> Iterator[tuple[int, list[bytes]]]:
+def _slices(texts: list[bytes | None], most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
     """(first row, texts) of some bytes each; one longer text stands alone."""
     held, size, first = [], 0, 0
     for k, text in enumerate(texts):
@@ -68,6 +69,7 @@ def _slices(texts: list[bytes | None], most: int = 1 << 22) -> Iterator[tuple[in
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(body, good) -> n-gram counts of the partition: bucket, raw, target."""
+    owns("quality")
     raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     for batch in batches:
         good = np.array(batch.column(1).to_pylist(), bool)
@@ -108,6 +110,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
 
 def _score(weights: np.ndarray, text_col: str, names: list[str], standard: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owns("quality")
         for batch in batches:
             scores = np.zeros(batch.num_rows)
             for first, texts in _slices(batch.column(text_col).cast(pa.binary()).to_pylist()):
@@ -190,6 +193,7 @@ def resample(
     texts weigh 0. Rows that repeat an identifier draw the same noise; rows equal to the k-th
     key all stay. An empty table gives no rows. Clashing names of further columns don't matter.
     """
+    bounded_batches(df.sparkSession)
     weights = fit(df, labels, id_col, text_col, sample)
     slim = df.select(F.col(id_col).cast("long").alias(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias(text_col))
     scores = materialise(with_weight(slim, weights, text_col, standard).select(id_col, "__mr_weight").withColumn("__mr_key", gumbel_key(id_col, seed)), "weights")

@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.files import list_files, open_fs
-from millrace.session import materialise, shared_path
+from millrace.session import bounded_batches, materialise, shared_path
+from millrace.llm.worker import cache, owns
 
 SEGMENTS = 256
 HASHES = 4
@@ -45,7 +46,7 @@ def _positions(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
     return [((a + np.uint64(i) * b) & np.uint64(bits - 1)).astype(np.int64) for i in range(HASHES)]
 
 
-def _collect(least: int, flush: int = 1 << 20):
+def _collect(least: int, flush: int = 1 << 18):
     """Distinct line hashes of a partition by segment; ``again`` holds those that several documents of a flush have."""
     schema = pa.schema([("segment", pa.int32()), ("seen", pa.binary()), ("again", pa.binary())])
 
@@ -63,6 +64,7 @@ def _collect(least: int, flush: int = 1 << 20):
         return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owns("lines")
         held: list[int] = []
         for batch in batches:
             for text in batch.column(0).cast(pa.binary()).to_pylist():
@@ -80,6 +82,7 @@ def _filters(bits: int):
     """Per segment, in order: the twice-seen filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owns("lines")
         current, once, twice = None, None, None
 
         def done() -> pa.RecordBatch:
@@ -104,7 +107,7 @@ def _filters(bits: int):
     return run
 
 
-_LOADED: dict[str, np.ndarray] = {}
+_LOADED: dict[str, np.ndarray] = cache()
 
 
 def _load(uri: str, bits: int) -> np.ndarray:
@@ -125,6 +128,7 @@ def _suspects(least: int, uri: str, bits: int):
     schema = pa.schema([("id", pa.int64()), ("line", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owns("lines")
         table = _load(uri, bits)
         for batch in batches:
             ids, keys = [], []
@@ -149,6 +153,7 @@ def _suspects(least: int, uri: str, bits: int):
 
 def _rewrite(least: int, columns: list[str], text_col: str, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owns("lines")
         for batch in batches:
             texts, n_lines, n_dropped = [], [], []
             drops = batch.column("__mr_drops").to_pylist()
@@ -183,6 +188,7 @@ def line_dedup(
     that existing columns n_lines and n_dropped are replaced where ``counts`` is set. An empty
     table gives no rows.
     """
+    bounded_batches(df.sparkSession)
     spark = df.sparkSession
     base = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
     n_bytes = base.agg(F.coalesce(F.sum(F.octet_length("body").cast("long")), F.lit(0))).first()[0]
@@ -209,5 +215,6 @@ def line_dedup(
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    owns("lines")
     for batch in batches:
         yield pa.record_batch([batch.column(0), pa.array(list(map(xxhash.xxh3_128_digest, batch.column(1).to_pylist())), pa.binary())], names=["id", "digest"])

@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.graph import components
-from millrace.session import materialise
+from millrace.session import bounded_batches, materialise
+from millrace.llm.worker import owns
 
 M = 128
 BANDS = 32
@@ -116,6 +117,7 @@ def _profile(size: int):
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("set_key", pa.binary()), ("registers", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owns("near")
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
@@ -131,6 +133,7 @@ def _sets(size: int):
     schema = pa.schema([("id", pa.int64()), ("shingles", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owns("near")
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
@@ -147,6 +150,7 @@ def _estimate(threshold: float):
     """(a, b, n_a, n_b, registers of both) -> pairs that may reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owns("near")
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -201,6 +205,7 @@ def _blocks(hundredths: int):
                     yield int(min(ids[x], ids[y])), int(max(ids[x], ids[y]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owns("near")
         current, held = None, []
 
         def done() -> Iterator[pa.RecordBatch]:
@@ -223,6 +228,7 @@ def _verify(hundredths: int):
     """(a, b, sa, sb) -> links by exact intersection of the full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owns("near")
         for batch in batches:
             keep = []
             for sa, sb in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist()):
@@ -250,6 +256,7 @@ def near_dedup(
     to pick the documents whose sets are needed; beyond, a shuffle join does it. Further
     columns are ignored.
     """
+    bounded_batches(df.sparkSession)
     threshold = hundredths / 100
     base = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
     profile = materialise(base.mapInArrow(_profile(shingle), "id long, n long, set_key binary, registers binary"), "profiles")

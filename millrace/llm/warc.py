@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual
 
 from millrace.llm.files import list_files, open_fs, write_atomic
-from millrace.session import materialise, shared_path
+from millrace.session import bounded_batches, materialise, shared_path
+from millrace.llm.worker import owns
 
 SUFFIX = ".warc.gz"
 #: Fixed values of the format: version line and the profile of revisits with an identical payload.
@@ -236,12 +237,14 @@ def write_warc(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str
     payload has no other, and then its rows are responses. Equality is by SHA-256 and length.
     An empty table writes nothing; further columns are ignored.
     """
+    bounded_batches(df.sparkSession)
     base = df.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("body"))
     keyed = base.withColumn("digest", F.unhex(F.sha2("body", 256)))
     owners = base.select("id", F.unhex(F.sha2("body", 256)).alias("digest")).groupBy("digest").agg(F.min("id").alias("owner"))
     rows = keyed.join(owners, "digest").select("id", "url", "body", "owner")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owns("warc")
         context = TaskContext.get()
         records = ((i, u, b, o) for batch in batches for i, u, b, o in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist()))
         ahead, part = next(records, None), 0
