@@ -1,15 +1,17 @@
 """LM scoring by a Brown class-based bigram model.
 
-Units are the most frequent words and, for all others, groups by ending, so that every word,
-unseen ones too, has a unit. Exchange clustering moves units between classes as long as the
-class-bigram likelihood of the training text rises. A word's probability is
+Units are the most frequent words and, for all others, groups by ending. Exchange clustering
+moves units between classes as long as the class-bigram likelihood of the training text rises.
+Then every other training word goes to the class under which its own occurrences, between the
+classes before and after them, are likeliest; only words that training lacks keep the class of
+their ending. A word's probability is
 
     P(w | previous) = mix * P(class | class before) * P(w | class) + (1 - mix) * P(w)
 
-with P(w | class) = (c + 0.1) / (tokens of class + 0.1 * (words of class + 1)) and class
-transitions smoothed towards class frequencies. Counts of words, of units side by side
-and the vocabulary cover every training document; words are 64-bit hashes. Counts of the most frequent
-words (at most ``frequent``) reach the scoring pass as a file; those of all others by a join.
+with P(w | class) = (c + 0.1) / (tokens of class + 0.1 * (words of class + 1)), words of a class counted,
+and class transitions smoothed towards class frequencies. Counts of words, of classes side by side
+and the vocabulary cover every training document; words are 64-bit hashes. Counts and classes of the most
+frequent words (at most ``frequent``) reach the later passes as a file; those of all others by a join.
 """
 
 from __future__ import annotations
@@ -179,62 +181,189 @@ def exchange(pairs: np.ndarray, classes: int, sweeps: int = 12) -> np.ndarray:
     return cls
 
 
-_FREQUENT: dict[str, tuple[np.ndarray, np.ndarray]] = cache()
+def _neighbour_counts(units: Units, cls: np.ndarray, classes: int):
+    """(body) -> (h, at, cell, c) of each word in no unit of its own: at is the class of its ending, cell is the class before it, the class after it plus the number of classes, or twice that number where the word follows itself."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owns("lm")
+
+        def out(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            every, own, cell = (np.concatenate(x) for x in zip(*held))
+            h, first, at = np.unique(every, return_index=True, return_inverse=True)
+            keys, c = np.unique(at * (2 * classes + 1) + cell, return_counts=True)
+            word = keys // (2 * classes + 1)
+            return pa.record_batch([_signed(h[word]), pa.array(own[first][word].astype(np.int32)), pa.array((keys % (2 * classes + 1)).astype(np.int32)), pa.array(c.astype(np.int64))], names=["h", "at", "cell", "c"])
+
+        held, size = [], 0
+        for batch in batches:
+            for _, texts in slabs(batch.column(0).cast(pa.binary()).to_pylist()):
+                found, _, ending = _stream(texts)
+                unit = units.of(found, ending)
+                of, at = cls[unit], np.flatnonzero(unit > len(units.head))
+                before = np.where(at > 0, found[at - 1], END)
+                same, again = before == found[at], found[at + 1] == found[at]  # a text ends with an end, so there is a next one
+                held.append((found[at], of[at], np.where(same, 2 * classes, np.where(at > 0, of[at - 1], cls[0]))))
+                held.append((found[at[~again]], of[at[~again]], classes + of[at[~again] + 1]))
+                size += 2 * len(at)
+                if size > 3_000_000:
+                    yield out(held)
+                    held, size = [], 0
+        if size:
+            yield out(held)
+
+    return run
+
+
+def likeliest(fwd: np.ndarray, back: np.ndarray, own: np.ndarray, at: np.ndarray, table: np.ndarray, weight: float) -> np.ndarray:
+    """Class of each word from counts of the classes after and before it and of itself after itself.
+
+    A word's occurrences in class b have the log likelihood sum(back * log P(b | before)) + c * log P(w | b)
+    + sum(fwd * log P(after | b)). Its own counts are taken out of ``at``, the class they are in so far. Class 0 is the end's alone.
+    """
+    size, c = table.sum(0), back.sum(1) + own
+    prior = (size + 0.5) / (size + 0.5).sum()
+    step = np.log((table + weight * prior) / (table.sum(1, keepdims=True) + weight))
+    score = fwd @ step.T + back @ step + own[:, None] * np.diag(step) - c[:, None] * np.log(size + np.maximum(c, 1)[:, None])
+    rows = np.arange(len(at))
+    out_of, in_to = fwd.copy(), back.copy()
+    out_of[rows, at] += back[rows, at] + own
+    in_to[rows, at] += fwd[rows, at] + own
+    prior_at = prior[at][:, None]
+    after = np.log(np.maximum(table[at] - out_of, 0) + weight * prior) - np.log(np.maximum(table.sum(1)[at] - fwd.sum(1) - own, 0) + weight)[:, None]
+    before = np.log(np.maximum(table.T[at] - in_to, 0) + weight * prior_at) - np.log(table.sum(1) + weight)
+    score[rows, at] = (fwd * after).sum(1) + (back * before).sum(1) + own * after[rows, at] - c * np.log(np.maximum(size[at], 1))
+    score[:, 0] = -np.inf
+    return score.argmax(1)
+
+
+def _assign(table: np.ndarray, weight: float):
+    """(h, at, cells, counts) -> (h, k): the class of each word by its neighbours."""
+    classes = len(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owns("lm")
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 4096):
+                part = batch.slice(lo, 4096)
+                cells, counts = part.column(2), part.column(3)
+                n = len(part)
+                full = np.zeros((n, 2 * classes + 1))
+                word = np.repeat(np.arange(n), np.diff(cells.offsets.to_numpy()))
+                full[word, cells.flatten().to_numpy()] = counts.flatten().to_numpy()
+                k = likeliest(full[:, classes : 2 * classes], full[:, :classes], full[:, -1], part.column(1).to_numpy(), table, weight)
+                yield pa.record_batch([part.column(0), pa.array(k.astype(np.int32))], names=["h", "k"])
+
+    return run
+
+
+class Classes:
+    """Classes of words: from units for the end and head words, from the file for listed ones; for others by ending, and open."""
 
-def _frequent(uri: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes in order and counts of the frequent words, kept per Python worker."""
+    def __init__(self, uri: str, units: Units, cls: np.ndarray):
+        self.units, self.cls = units, cls
+        self.listed, self.counts, self.classes = _frequent(uri)
+
+    def of(self, found: np.ndarray, ending: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Class, whether it is open, count and whether the file has the word."""
+        unit = self.units.of(found, ending)
+        of, c, hit = self.cls[unit], np.zeros(len(found), np.int64), np.zeros(len(found), bool)
+        if len(self.listed):
+            at = np.minimum(np.searchsorted(self.listed, found), len(self.listed) - 1)
+            hit = self.listed[at] == found
+            c[hit] = self.counts[at[hit]]
+            of = np.where(hit & (self.classes[at] >= 0), self.classes[at], of)
+        return of, ~hit & (unit > len(self.units.head)), c, hit
+
+
+def _class_pairs(uri: str, units: Units, cls: np.ndarray, n: int):
+    """(body) -> (hp, kp, hc, kc, c): classes side by side; hp and hc are words whose class is open."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owns("lm")
+        known = Classes(uri, units, cls)
+        table = np.zeros(n * n, np.int64)
+        for batch in batches:
+            for _, texts in slabs(batch.column(0).cast(pa.binary()).to_pylist()):
+                found, _, ending = _stream(texts)
+                of, open_, _, _ = known.of(found, ending)
+                before, was_open, word = np.concatenate([[cls[0]], of[:-1]]), np.concatenate([[False], open_[:-1]]), np.concatenate([[END], found[:-1]])
+                loose = open_ | was_open
+                table += np.bincount((before * n + of)[~loose], minlength=n * n)
+                if loose.any():
+                    yield pa.record_batch(
+                        [pa.array(word[loose].view(np.int64), mask=~was_open[loose]), pa.array(before[loose].astype(np.int32)), pa.array(found[loose].view(np.int64), mask=~open_[loose]), pa.array(of[loose].astype(np.int32)), pa.array(np.ones(int(loose.sum()), np.int64))],
+                        names=["hp", "kp", "hc", "kc", "c"],
+                    )
+        cells = np.flatnonzero(table)
+        yield pa.record_batch([pa.nulls(len(cells), pa.int64()), pa.array((cells // n).astype(np.int32)), pa.nulls(len(cells), pa.int64()), pa.array((cells % n).astype(np.int32)), pa.array(table[cells])], names=["hp", "kp", "hc", "kc", "c"])
+
+    return run
+
+
+def _closed(rows: DataFrame, word: str, k: str, words_: DataFrame, count: str | None = None) -> DataFrame:
+    """``rows`` with the class in ``k`` of the words in ``word`` from ``words_`` (h, c, k), and their count as ``count``; rows without a word skip the join."""
+    found = words_.select(F.col("h").alias("__h"), F.col("k").alias("__k"), F.col("c").alias("__c"))
+    names = [c for c in rows.columns if c != k]
+    more = [F.col("__c").alias(count)] if count else []
+    met = rows.where(F.col(word).isNotNull()).join(found, F.col(word) == F.col("__h"), "left").select(*names, F.coalesce(F.when(F.col("__k") >= 0, F.col("__k")), F.col(k)).alias(k), *more)
+    none = rows.where(F.col(word).isNull()).select(*names, k, *([F.lit(None).cast("long").alias(count)] if count else []))
+    return met.unionByName(none)
+
+
+_FREQUENT: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = cache()
+
+
+def _frequent(uri: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes in order, counts and classes (-1 for words that are units) of the frequent words, kept per Python worker."""
     if uri not in _FREQUENT:
         parts = []
         for path, _ in list_files(uri, ".parquet"):
             system, name = open_fs(path)
             with system.open_input_file(name) as f:
-                parts.append(pq.ParquetFile(f).read(["h", "c"]))
-        table = pa.concat_tables(parts) if parts else pa.table({"h": pa.array([], pa.int64()), "c": pa.array([], pa.int64())})
-        h, c = table["h"].to_numpy().view(np.uint64), table["c"].to_numpy()
+                parts.append(pq.ParquetFile(f).read(["h", "c", "k"]))
+        table = pa.concat_tables(parts) if parts else pa.table({"h": pa.array([], pa.int64()), "c": pa.array([], pa.int64()), "k": pa.array([], pa.int32())})
+        h, c, k = table["h"].to_numpy().view(np.uint64), table["c"].to_numpy(), table["k"].to_numpy()
         order = np.argsort(h)
         _FREQUENT.clear()
-        _FREQUENT[uri] = h[order], c[order]
+        _FREQUENT[uri] = h[order], c[order], k[order].astype(np.int16)
     return _FREQUENT[uri]
 
 
-ROW = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("h", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("counted", pa.float64()), ("lift", pa.float64())])
-ROW_DDL = "row long, id long, h long, n_tokens long, n_known long, counted double, lift double"
+ROW = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("h", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("counted", pa.float64()), ("lift", pa.float64()), ("hp", pa.int64()), ("kp", pa.int32()), ("kc", pa.int32())])
+ROW_DDL = "row long, id long, h long, n_tokens long, n_known long, counted double, lift double, hp long, kp int, kc int"
 
 
 def _score(uri: str, units: Units, cls: np.ndarray, lift: np.ndarray, all_listed: bool):
-    """(id, body) -> a row per text with its sums, and one per token whose count the file lacks (h set)."""
+    """(id, body) -> a row per text with its sums, and one (kp set) per pair in which a word is neither listed nor a unit: h and hp are those words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owns("lm")
-        listed, counts = _frequent(uri)
+        known = Classes(uri, units, cls)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for first, texts in slabs(batch.column(1).cast(pa.binary()).to_pylist()):
                 found, doc, ending = _stream(texts)
                 n = len(texts)
-                of = cls[units.of(found, ending)]
-                before = np.concatenate([[cls[0]], of[:-1]])
-                lifts = np.bincount(doc, weights=lift[before, of], minlength=n)
-                c = np.zeros(len(found), np.int64)
-                hit = np.zeros(len(found), bool)
-                if len(listed):
-                    at = np.minimum(np.searchsorted(listed, found), len(listed) - 1)
-                    hit = listed[at] == found
-                    c[hit] = counts[at[hit]]
+                of, open_, c, hit = known.of(found, ending)
                 if all_listed:
-                    hit[:] = True
+                    hit, open_ = np.ones(len(found), bool), np.zeros(len(found), bool)
+                before, was_open, word = np.concatenate([[cls[0]], of[:-1]]), np.concatenate([[False], open_[:-1]]), np.concatenate([[END], found[:-1]])
+                loose = open_ | was_open
+                lifts = np.bincount(doc, weights=np.where(loose, 0.0, lift[before, of]), minlength=n)
                 logs = np.where(hit, np.log10(c + ALPHA), 0.0)
                 own = ids[first : first + n]
                 yield pa.record_batch(
-                    [pa.array(np.arange(row, row + n)), pa.array(own, pa.int64()), pa.nulls(n, pa.int64()), pa.array(np.bincount(doc, minlength=n)), pa.array(np.bincount(doc, weights=hit & (c > 0), minlength=n).astype(np.int64)), pa.array(np.bincount(doc, weights=logs, minlength=n)), pa.array(lifts)],
+                    [pa.array(np.arange(row, row + n)), pa.array(own, pa.int64()), pa.nulls(n, pa.int64()), pa.array(np.bincount(doc, minlength=n)), pa.array(np.bincount(doc, weights=hit & (c > 0), minlength=n).astype(np.int64)), pa.array(np.bincount(doc, weights=logs, minlength=n)), pa.array(lifts), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32())],
                     schema=ROW,
                 )
-                rest = np.flatnonzero(~hit)
+                rest = np.flatnonzero(loose | ~hit)
                 if len(rest):
                     zero, m = np.zeros(len(rest)), len(rest)
-                    yield pa.record_batch([pa.array(row + doc[rest]), pa.nulls(m, pa.int64()), _signed(found[rest]), pa.array(zero.astype(np.int64)), pa.array(zero.astype(np.int64)), pa.array(zero), pa.array(zero)], schema=ROW)
+                    yield pa.record_batch(
+                        [pa.array(row + doc[rest]), pa.nulls(m, pa.int64()), pa.array(found[rest].view(np.int64), mask=hit[rest]), pa.array(zero.astype(np.int64)), pa.array(zero.astype(np.int64)), pa.array(zero), pa.array(np.where(loose, 0.0, 1.0)[rest]), pa.array(word[rest].view(np.int64), mask=~was_open[rest]), pa.array(before[rest].astype(np.int32)), pa.array(of[rest].astype(np.int32))],
+                        schema=ROW,
+                    )
                 row += n
 
     return run
@@ -265,8 +394,6 @@ def lm_scores(
         if listed + n > frequent:
             break
         least, listed = bin_, listed + n
-    uri = shared_path(spark, "frequent-words")
-    counts.where(bin_of >= (least if least is not None else 1 << 30)).write.parquet(uri)
     top = [r["h"] for r in counts.where(F.col("h") != int(END)).orderBy(F.desc("c"), "h").limit(head).collect()]
 
     units = Units(top, groups)
@@ -276,14 +403,26 @@ def lm_scores(
         pairs[unit, np.frombuffer(after, np.uint16)] = np.frombuffer(found, np.uint64).astype(np.int64)  # a table of fixed size
     cls = exchange(pairs, classes)
 
-    # words of each class: head words are one each; the rest of the vocabulary is spread over the groups by their tokens
+    # every other training word by its own neighbours; so far it has the class of its ending
     one = np.eye(classes)[cls]
-    table = one.T @ pairs @ one
+    first = one.T @ pairs @ one
+    near = train.mapInArrow(_neighbour_counts(units, cls, classes), "h long, at int, cell int, c long").repartition("h")
+    near = near.groupBy("h", "cell").agg(F.max("at").alias("at"), F.sum("c").alias("c")).groupBy("h").agg(F.max("at").alias("at"), F.collect_list(F.struct("cell", "c")).alias("g"))
+    assigned = near.select("h", "at", F.col("g.cell").alias("cells"), F.col("g.c").alias("counts")).mapInArrow(_assign(first, weight), "h long, k int")
+    counts = materialise(counts.join(assigned, "h", "left").select("h", "c", F.coalesce("k", F.lit(-1)).alias("k")), "word-classes")
+    uri = shared_path(spark, "frequent-words")
+    counts.where(bin_of >= (least if least is not None else 1 << 30)).write.parquet(uri)
+    side = train.mapInArrow(_class_pairs(uri, units, cls, classes), "hp long, kp int, hc long, kc int, c long")
+    if listed < distinct:
+        side = materialise(side, "class-pairs")
+        side = _closed(_closed(side, "hp", "kp", counts), "hc", "kc", counts)
+    table = np.zeros((classes, classes))
+    for r in side.groupBy("kp", "kc").agg(F.sum("c").alias("c")).collect():
+        table[r["kp"], r["kc"]] = r["c"]
     tokens = table.sum(0)
-    rest = max(0, distinct - 1 - len(top))
-    share = pairs.sum(0).astype(float)
-    share[: 1 + len(top)] = 0
-    words_of = one.T @ np.where(np.arange(units.n) <= len(top), 1.0, rest * share / max(1.0, share.sum()))
+    words_of = np.bincount(cls[: 1 + len(top)], minlength=classes).astype(float)
+    for r in counts.where("k >= 0").groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect():
+        words_of[r["k"]] += r["n"]
     lift = np.zeros((classes, classes))
     if total:
         prior = (tokens + 0.5) / (tokens + 0.5).sum()
@@ -292,12 +431,16 @@ def lm_scores(
         lift = np.log10(mix * follows * uniform / (tokens + ALPHA * (words_of + 1)) + (1 - mix))
 
     rows = materialise(base.mapInArrow(_score(uri, units, cls, lift, listed >= distinct), ROW_DDL), "lm-rows")
-    rare = rows.where("h IS NOT NULL").select("row", "h").join(counts.withColumnRenamed("h", "word"), F.col("h") == F.col("word"), "left")
-    rare = rare.groupBy("row").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + F.lit(ALPHA))).alias("rare"), F.count("c").alias("rare_known"))
+    lifts = spark.createDataFrame([(i, j, float(lift[i, j])) for i in range(classes) for j in range(classes)], "kp int, kc int, value double")
+    loose = rows.where("kp IS NOT NULL").select("row", "h", "hp", "kp", "kc", F.col("lift").alias("done"))
+    loose = _closed(_closed(loose, "hp", "kp", counts), "h", "kc", counts, "n").join(F.broadcast(lifts), ["kp", "kc"])
+    rare = loose.groupBy("row").agg(
+        F.sum(F.when(F.col("h").isNotNull(), F.log10(F.coalesce("n", F.lit(0)) + F.lit(ALPHA))).otherwise(0.0)).alias("rare"), F.count("n").alias("rare_known"), F.sum(F.when(F.col("done") == 0, F.col("value")).otherwise(0.0)).alias("rare_lift")
+    )
     scale = float(np.log10(total + ALPHA * (distinct + 1))) if total or distinct else float(np.log10(ALPHA))
     base_score = F.col("counted") + F.coalesce("rare", F.lit(0.0)) - F.col("n_tokens") * F.lit(scale)
-    return rows.where("h IS NULL").drop("h").join(rare, "row", "left").select(
+    return rows.where("kp IS NULL").drop("h", "hp", "kp", "kc").join(rare, "row", "left").select(
         F.col("id").alias(id_col), held_out.alias("held_out"), "n_tokens",
         (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
-        base_score.alias("base_score"), (base_score + F.col("lift")).alias("score"),
+        base_score.alias("base_score"), (base_score + F.col("lift") + F.coalesce("rare_lift", F.lit(0.0))).alias("score"),
     )

@@ -149,6 +149,23 @@ def test_language_model_beats_the_base_on_held_out_text(spark):
     assert held[0] > held[1]
 
 
+def test_words_beyond_the_head_get_classes_from_their_own_neighbours(spark):
+    from millrace.llm.brown_lm import lm_scores
+
+    rng, rows = random.Random(4), []
+    for i in range(400):
+        k = i % 20
+        rows.append((i, " ".join(rng.choice([f"aa xx{k}ing bb", f"cc yy{k}ing dd", "aa hx bb", "cc hy dd"]) for _ in range(8))))
+    rows += [(10_000 + j, f"{a} {w}{k}ing {b}") for j, (a, w, k, b) in enumerate((a, w, k, b) for a, b in (("aa", "bb"), ("cc", "dd")) for w in ("xx", "yy") for k in range(20))]
+    of = {r.doc_id: r for r in lm_scores(frame(spark, rows), head=6, groups=1, classes=8).collect()}
+    for frequent in (3, 20):  # the same scores by file and by join
+        for r in lm_scores(frame(spark, rows), head=6, groups=1, classes=8, frequent=frequent).collect():
+            assert r.score == pytest.approx(of[r.doc_id].score, rel=1e-9)
+    gain = {i: r.score - r.base_score for i, r in of.items()}
+    right, wrong = [gain[10_000 + j] for j in (*range(20), *range(60, 80))], [gain[10_000 + j] for j in range(20, 60)]
+    assert min(right) > max(wrong)
+
+
 def test_exchange_separates_two_languages():
     from millrace.llm.brown_lm import exchange
 
