@@ -59,7 +59,7 @@ def op5_exact_dedup_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.sstable import token_files
 
-    rows = token_files(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=1)
+    rows = token_files(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=1, added=True)
     return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 

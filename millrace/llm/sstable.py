@@ -19,8 +19,10 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import struct
 import zlib
+from collections import deque
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -168,18 +170,26 @@ class WordEncoder:
     found by the run's 64-bit hash in a sorted table, and texts are put together from the pool
     by array operations. New runs go through the library together, with a mark of a single id
     between them that none of them holds. At ``most`` runs all are forgotten.
+
+    With ``added``, the file's added tokens are found in the bytes as they came, before lower-casing, and become
+    their ids, as the library does by itself; without, their letters are text like any other.
     """
 
     MARK = "\u2022"
     #: Marks at the end of a run that the tokenizer always takes apart from letters before them.
     ENDS = ".,!?;:|$%&*#)"
 
-    def __init__(self, path: str, most: int = 1_500_000, recent: int = 60_000):
+    def __init__(self, path: str, most: int = 1_500_000, recent: int = 60_000, added: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = True  # runs are lower-cased: what looks like an added token there need not be one
+        tokens = self.tokenizer.get_added_tokens_decoder() if added else {}
+        if any(t.normalized or t.single_word or t.lstrip or t.rstrip for t in tokens.values()):
+            raise ValueError(f"{path} has added tokens that aren't matched literally")
+        self.added = {t.content.encode(): np.array([i], np.uint32) for i, t in tokens.items()}
+        self.added_re = re.compile(b"(" + b"|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) + b")") if tokens else None
         self.most, self.recent = most, recent
         mark = self._ids(self.MARK)
         self.mark = mark[0] if len(mark) == 1 else None
@@ -275,6 +285,24 @@ class WordEncoder:
 
     def encode_all(self, texts: Iterable[bytes]) -> Iterator[np.ndarray]:
         """For each text in UTF-8 its ids."""
+        if self.added_re is None:
+            yield from self._encode_all(texts)
+            return
+        cut: deque[list[bytes]] = deque()  # per text begun, its pieces and, between them, its added tokens
+
+        def pieces() -> Iterator[bytes]:
+            for text in texts:
+                cut.append(self.added_re.split(text))
+                yield from cut[-1][::2]
+
+        found = self._encode_all(pieces())
+        for ids in found:
+            parts = cut.popleft()
+            if len(parts) > 1:
+                ids = np.concatenate([ids, *(x for t in parts[1::2] for x in (self.added[t], next(found)))])
+            yield ids
+
+    def _encode_all(self, texts: Iterable[bytes]) -> Iterator[np.ndarray]:
         held, size = [], 0
         for text in texts:
             held.append(text)
@@ -289,27 +317,27 @@ class WordEncoder:
         return next(self.encode_all([text]))
 
 
-_ENCODERS: dict[str, WordEncoder] = cache()
+_ENCODERS: dict[tuple[str, bool], WordEncoder] = cache()
 
 
-def encoder_of(path: str) -> WordEncoder:
+def encoder_of(path: str, added: bool = False) -> WordEncoder:
     """One encoder per Python worker, kept between tasks (a closure would carry its own empty cache)."""
-    if path not in _ENCODERS:
+    if (path, added) not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+        _ENCODERS[path, added] = WordEncoder(path, added=added)
+    return _ENCODERS[path, added]
 
 
 WRITTEN = pa.schema([("path", pa.string()), ("first", pa.int64()), ("empty_key", pa.bool_()), ("docs", pa.int64()), ("tokens", pa.int64())])
 
 
-def write_shards(df: DataFrame, tokenizer: str, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, partitions: int | None = None) -> DataFrame:
+def write_shards(df: DataFrame, tokenizer: str, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, partitions: int | None = None, added: bool = False) -> DataFrame:
     """Encode every text, append ``end_id``, write shards to ``folder``; returns one row per shard, in key order: path, docs, tokens, start.
 
     Documents are dealt by ranges of identifier and sorted, so that the order of shards is the
     order of identifiers. Null texts count as empty (only the end id), null identifiers come
     first, repeated identifiers keep one entry each (in order of text), further columns are
-    ignored and an empty table gives no shards. A task that runs again replaces its file whole.
+    ignored and an empty table gives no shards. ``added``: see WordEncoder. A task that runs again replaces its file whole.
     """
     bounded_batches(df.sparkSession)
     base = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
@@ -318,7 +346,7 @@ def write_shards(df: DataFrame, tokenizer: str, folder: str, id_col: str = "doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owns("shards")
-        encoder, end = encoder_of(tokenizer), np.uint32(end_id)
+        encoder, end = encoder_of(tokenizer, added), np.uint32(end_id)
         seen: list = []
 
         def rows():
@@ -400,9 +428,9 @@ def lookup(paths: list[tuple[str, int | None]], doc: int | None) -> np.ndarray |
     return None
 
 
-def token_files(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, folder: str | None = None) -> DataFrame:
+def token_files(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, folder: str | None = None, added: bool = False) -> DataFrame:
     """Write the shards, then read them back; see write_shards and read_shards."""
     from millrace.session import materialise
 
-    written = materialise(write_shards(df, tokenizer, folder or shared_path(df.sparkSession, "tokens"), id_col, text_col, end_id), "shards")
+    written = materialise(write_shards(df, tokenizer, folder or shared_path(df.sparkSession, "tokens"), id_col, text_col, end_id, added=added), "shards")
     return read_shards(written)

@@ -77,6 +77,25 @@ def test_word_encoder_equals_the_library():
         assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
+def test_added_tokens_as_the_library_by_itself(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from millrace.llm.queries import op10_token_shards
+    from millrace.llm.sstable import WordEncoder
+
+    library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    own, rng = WordEncoder(P.path("word_bpe_49k.json"), most=200, recent=20, added=True), random.Random(3)
+    parts = ["a", "One", " ", "\n", "!", "\u0301", "é", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|end", "oftext|>", "<", "|>"]
+    texts = ["one <|endoftext|> two", *("".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(3000))]
+    for text, ids in zip(texts, own.encode_all(t.encode() for t in texts), strict=True):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, text
+    frame(spark, [(1, texts[0]), (2, "b")]).write.parquet(str(tmp_path / "documents.parquet"))
+    found = op10_token_shards(spark, str(tmp_path)).orderBy("doc_id").collect()
+    for r, t, start in zip(found, (texts[0], "b"), (0, 4), strict=True):
+        ids = [*library.encode(t, add_special_tokens=False).ids, 1]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
 def test_token_shards_round_trip(spark, tmp_path):
     from tokenizers import Tokenizer
 
