@@ -37,10 +37,15 @@ def signatures(df: DataFrame, permutations: int = 64) -> DataFrame:
     return flat.groupBy("doc_id").agg(*minima).select("doc_id", F.array(*(f"m{k}" for k in range(permutations))).alias("sig"))
 
 
+def lsh_buckets(df: DataFrame, bands: int = 16, rows: int = 4) -> DataFrame:
+    """(doc_id, bucket): a row per document and band."""
+    signed = signatures(df, bands * rows)
+    return signed.select("doc_id", F.explode(F.array(*(F.xxhash64(F.lit(b), F.slice("sig", b * rows + 1, rows)) for b in range(bands)))).alias("bucket"))
+
+
 def lsh_pairs(df: DataFrame, bands: int = 16, rows: int = 4) -> DataFrame:
     """(a, b) with a < b for each member of a band bucket and the bucket's smallest member: links, not all pairs."""
-    signed = signatures(df, bands * rows)
-    wide = signed.select("doc_id", F.explode(F.array(*(F.xxhash64(F.lit(b), F.slice("sig", b * rows + 1, rows)) for b in range(bands)))).alias("bucket"))
+    wide = lsh_buckets(df, bands, rows)
     heads = wide.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     return wide.join(heads, "bucket").where(F.col("a") < F.col("doc_id")).select("a", F.col("doc_id").alias("b")).distinct()
 
@@ -57,16 +62,33 @@ def jaccard(df: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def first_wins(nodes: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """Identifiers kept when each is kept unless a smaller kept neighbour exists (lexicographically first independent set).
+    """Identifiers kept when each is kept unless a smaller kept neighbour exists (lexicographically first independent set)."""
+    pair = edges.select("a", "b").distinct().withColumn("bucket", F.struct("a", "b"))
+    return first_in_buckets(nodes, pair.select(F.explode(F.array("a", "b")).alias("doc_id"), "bucket"), rounds)
 
-    Per round, a node without undecided or kept smaller neighbours is kept, and one with a kept
-    smaller neighbour is dropped; the state of a round is written to the shared folder.
+
+def first_in_buckets(nodes: DataFrame, members: DataFrame, rounds: int = 100) -> DataFrame:
+    """Identifiers kept when each is kept unless a smaller kept one shares a bucket (doc_id, bucket) with it.
+
+    As if each bucket linked all its members, without making pairs: per round the smallest member left
+    in a bucket is its head. A node that heads all its buckets is kept and the others of these buckets are
+    dropped; both leave, and the rest elect new heads. What a round leaves is written to the shared folder.
     """
-    state = materialise(nodes.select("doc_id").withColumn("state", F.lit(0)), "first-wins")  # 0 open, 1 kept, 2 dropped
+
+    def shared(live: DataFrame) -> DataFrame:
+        heads = live.groupBy("bucket").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        return materialise(live.join(heads, "bucket"), "first-wins")
+
+    live = shared(members.select("doc_id", "bucket").distinct())
+    gone = live.select("doc_id").limit(0)
     for _ in range(rounds):
-        low = edges.join(state.toDF("a", "lower"), "a").groupBy(F.col("b").alias("doc_id")).agg(F.max((F.col("lower") == 1).cast("int")).alias("kept"), F.max((F.col("lower") == 0).cast("int")).alias("open"))
-        new = state.join(low, "doc_id", "left").select("doc_id", F.when(F.col("state") != 0, F.col("state")).when(F.col("kept") == 1, 2).when(F.coalesce("open", F.lit(0)) == 0, 1).otherwise(0).alias("state"))
-        state = materialise(new, "first-wins")
-        if state.where("state = 0").isEmpty():
+        if live.isEmpty():
             break
-    return state.where("state = 1").select("doc_id")
+        kept = live.groupBy("doc_id").agg(F.min("head").alias("least")).where("least = doc_id").select("doc_id")
+        kept = materialise(kept, "first-wins")
+        beaten = live.join(kept.withColumnRenamed("doc_id", "head"), "head", "left_semi").where("doc_id <> head").select("doc_id").distinct()
+        beaten = materialise(beaten, "first-wins")
+        gone = materialise(gone.union(beaten), "first-wins")
+        live = shared(live.drop("head").join(kept.union(beaten), "doc_id", "left_anti"))
+    open_ = live.select("doc_id").distinct()
+    return nodes.select("doc_id").join(gone.union(open_), "doc_id", "left_anti")

@@ -204,8 +204,8 @@ def near_dedup_lsh(spark, d):
     from millrace.session import materialise
 
     docs = dedup.exact_dedup(table(spark, d, "documents").select("doc_id", "text"))
-    pairs = materialise(dedup.lsh_pairs(docs), "lsh-pairs")
-    kept = dedup.first_wins(docs, pairs).withColumn("kept", F.lit(True))
+    buckets = materialise(dedup.lsh_buckets(docs), "lsh-buckets")
+    kept = dedup.first_in_buckets(docs, buckets).withColumn("kept", F.lit(True))
     return docs.select("doc_id").join(kept, "doc_id", "left").select("doc_id", F.coalesce("kept", F.lit(False)).alias("kept"))
 
 

@@ -59,6 +59,20 @@ def test_first_wins_is_the_lexicographically_first_independent_set(spark):
     assert sorted(r[0] for r in first_wins(nodes, edges).collect()) == [0, 2, 4]
 
 
+def test_near_dedup_elects_heads_again(spark, tmp_path, monkeypatch):
+    from millrace.operators import dedup
+
+    buckets = [(0, 1), (1, 2, 3), (3, 4), (5, 6, 7), (8,)]
+    sig = {d: [10 * d + b for b in range(16)] for d in range(9)}  # one number a band: equal where two share a bucket
+    for k, b in enumerate(buckets):
+        for d in b:
+            sig[d][k] = 1000 + k
+    monkeypatch.setattr(dedup, "signatures", lambda df, n=64: spark.createDataFrame([(d, [x for x in v for _ in range(4)]) for d, v in sig.items()], "doc_id long, sig array<long>"))
+    spark.createDataFrame([(d, f"text {d}") for d in range(9)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    kept = {r.doc_id for r in QUERIES["near_dedup_lsh"](spark, str(tmp_path)).collect() if r.kept}
+    assert kept == {0, 2, 4, 5, 8}
+
+
 def test_numeric_kernels():
     import numpy as np
 
