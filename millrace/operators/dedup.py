@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,18 +64,36 @@ def jaccard(df: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.select("a", "b", (c / (F.col("na") + F.col("nb") - c)).alias("similarity"))
 
 
-def first_wins(nodes: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFrame:
+def first_wins(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Identifiers kept when each is kept unless a smaller kept neighbour exists (lexicographically first independent set)."""
     pair = edges.select("a", "b").distinct().withColumn("bucket", F.struct("a", "b"))
-    return first_in_buckets(nodes, pair.select(F.explode(F.array("a", "b")).alias("doc_id"), "bucket"), rounds)
+    return first_in_buckets(nodes, pair.select(F.explode(F.array("a", "b")).alias("doc_id"), "bucket"))
+
+
+def _beaten_in_order(rows: DataFrame) -> DataFrame:
+    """Nodes of (bucket, doc_id) that share a bucket with a smaller kept one, walking through all in ascending order in one task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts, taken, beaten = list(batches), set(), []
+        for doc, own in (pd.concat(parts).groupby("doc_id", sort=True)["bucket"] if parts else ()):
+            if taken.isdisjoint(own):
+                taken.update(own)
+            else:
+                beaten.append(doc)
+        yield pd.DataFrame({"doc_id": pd.Series(beaten, dtype=parts[0]["doc_id"].dtype if parts else "int64")})
+
+    number = rows.select("doc_id", F.col("bucket").cast("string").alias("bucket")).coalesce(1)
+    return number.mapInPandas(run, rows.select("doc_id").schema)
 
 
-def first_in_buckets(nodes: DataFrame, members: DataFrame, rounds: int = 100) -> DataFrame:
+def first_in_buckets(nodes: DataFrame, members: DataFrame, rounds: int = 20, few_rows: int = 1_000_000) -> DataFrame:
     """Identifiers kept when each is kept unless a smaller kept one shares a bucket (doc_id, bucket) with it.
 
     As if each bucket linked all its members, without making pairs: per round the smallest member left
     in a bucket is its head. A node that heads all its buckets is kept and the others of these buckets are
-    dropped; both leave, and the rest elect new heads. What a round leaves is written to the shared folder.
+    dropped; both leave, and the rest elect new heads, until none is left. What a round leaves is written to the
+    shared folder. A chain in order of identifiers settles a node a round: after ``rounds``, a rest of at most
+    ``few_rows`` memberships is walked through in order, with the same result; a larger one goes on in rounds.
     """
 
     def shared(live: DataFrame) -> DataFrame:
@@ -81,14 +102,16 @@ def first_in_buckets(nodes: DataFrame, members: DataFrame, rounds: int = 100) ->
 
     live = shared(members.select("doc_id", "bucket").distinct())
     gone = live.select("doc_id").limit(0)
-    for _ in range(rounds):
-        if live.isEmpty():
+    done = 0
+    while not live.isEmpty():
+        if done >= rounds and live.count() <= few_rows:
+            gone = gone.union(materialise(_beaten_in_order(live), "first-wins"))
             break
+        done += 1
         kept = live.groupBy("doc_id").agg(F.min("head").alias("least")).where("least = doc_id").select("doc_id")
         kept = materialise(kept, "first-wins")
         beaten = live.join(kept.withColumnRenamed("doc_id", "head"), "head", "left_semi").where("doc_id <> head").select("doc_id").distinct()
         beaten = materialise(beaten, "first-wins")
         gone = materialise(gone.union(beaten), "first-wins")
         live = shared(live.drop("head").join(kept.union(beaten), "doc_id", "left_anti"))
-    open_ = live.select("doc_id").distinct()
-    return nodes.select("doc_id").join(gone.union(open_), "doc_id", "left_anti")
+    return nodes.select("doc_id").join(gone, "doc_id", "left_anti")

@@ -73,6 +73,17 @@ def test_near_dedup_elects_heads_again(spark, tmp_path, monkeypatch):
     assert kept == {0, 2, 4, 5, 8}
 
 
+def test_first_wins_settles_long_chains(spark):
+    from millrace.operators.dedup import first_in_buckets, first_wins
+
+    nodes = spark.range(250).toDF("doc_id")
+    edges = nodes.where("doc_id < 249").selectExpr("doc_id AS a", "doc_id + 1 AS b")
+    assert sorted(r[0] for r in first_wins(nodes, edges).collect()) == list(range(0, 250, 2))
+    few = spark.range(12).toDF("doc_id")  # the same where the rest is too large to walk through: rounds to the end
+    chain = few.where("doc_id < 11").selectExpr("explode(array(doc_id, doc_id + 1)) AS doc_id", "doc_id AS bucket")
+    assert sorted(r[0] for r in first_in_buckets(few, chain, rounds=1, few_rows=0).collect()) == list(range(0, 12, 2))
+
+
 def test_numeric_kernels():
     import numpy as np
 
