@@ -39,8 +39,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose fitted rate, at most one, rounds to one."""
-    return mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), WEIGHTS, anchor="clean", max_rate=1.0, draw=False, rows_out=True)
+    """Documents drawn by their fitted rates, at most one."""
+    return mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), WEIGHTS, anchor="clean", max_rate=1.0, rows_out=True)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

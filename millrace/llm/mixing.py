@@ -88,12 +88,13 @@ def posteriors(df: DataFrame, model: DataFrame, priors: list[float], absent: lis
     return out.select("__mr_id", "__mr_tokens", *((p / norm).alias(f"__mr_p_{d}") for d, p in zip(DOMAINS, parts)))
 
 
-def fit_rates(rows: DataFrame, targets: dict[str, float], max_rate: float, steps: int = 30, tolerance: float = 1e-4, every: int = 6) -> DataFrame:
+def fit_rates(rows: DataFrame, targets: dict[str, float], max_rate: float, steps: int = 30, tolerance: float = 1e-4, every: int = 6, whole: Column | None = None) -> DataFrame:
     """``rows`` (__mr_tokens, __mr_p_*) with __mr_rate in [0, max_rate]; ``targets`` are tokens by domain.
 
     Step: rate - (posterior . (domain tokens - target) / weight) / L, cut to the bounds. The
     rates are written out every few steps, so plans stay short. Stops after ``steps`` or when no
-    domain's tokens move by more than ``tolerance`` of the corpus.
+    domain's tokens move by more than ``tolerance`` of the corpus. Rows where ``whole`` holds stay at
+    ``max_rate``; the others are fitted around them.
     """
     p = [F.col(f"__mr_p_{d}") for d in DOMAINS]
     t = F.col("__mr_tokens")
@@ -105,7 +106,8 @@ def fit_rates(rows: DataFrame, targets: dict[str, float], max_rate: float, steps
         gram[i, j] = gram[j, i] = v
     weight = np.maximum(np.diag(gram), 1e-9 * max(total, 1.0))
     steepest = float(np.linalg.eigvalsh(gram / np.sqrt(np.outer(weight, weight)))[-1]) or 1.0
-    rows = rows.withColumn("__mr_rate", F.lit(min(1.0, max_rate)))
+    whole = F.lit(False) if whole is None else whole
+    rows = rows.withColumn("__mr_rate", F.when(whole, max_rate).otherwise(min(1.0, max_rate)))
     before = None
     for step in range(steps if total else 0):
         if step and step % every == 0:
@@ -116,7 +118,7 @@ def fit_rates(rows: DataFrame, targets: dict[str, float], max_rate: float, steps
         before = have
         pull = (have - np.array([targets[d] for d in DOMAINS])) / weight / steepest
         move = sum((x * float(g) for x, g in zip(p[1:], pull[1:])), p[0] * float(pull[0]))
-        rows = rows.withColumn("__mr_rate", F.least(F.greatest(F.col("__mr_rate") - move, F.lit(0.0)), F.lit(max_rate)))
+        rows = rows.withColumn("__mr_rate", F.when(whole, max_rate).otherwise(F.least(F.greatest(F.col("__mr_rate") - move, F.lit(0.0)), F.lit(max_rate))))
     return rows
 
 
@@ -136,7 +138,7 @@ def mix(
 
     Targets add up to ``total`` tokens; where it is None, to the corpus's own, or, with
     ``anchor``, to the total at which that domain's target is 2 % more than the corpus has of it, so
-    that its documents are taken as often as ``max_rate`` allows. Returns ``id_col``, n_tokens,
+    that its documents (it has their greatest posterior) are taken as often as ``max_rate`` allows. Returns ``id_col``, n_tokens,
     p_clean, p_low, p_toxic, rate, copies; or, with ``rows_out``, the rows of ``df`` as often as copies says,
     unchanged. Null and empty texts have no tokens and the prior as posterior. A null identifier draws
     its own fixed number; repeated rows draw alike. Without labels the priors are even and rates only
@@ -150,7 +152,7 @@ def mix(
     scale = sum(weights.values())
     if total is None:
         total = 1.02 * have[anchor] * scale / weights[anchor] if anchor else sum(have.values())
-    rates = fit_rates(rows, {d: total * weights[d] / scale for d in DOMAINS}, max_rate)
+    rates = fit_rates(rows, {d: total * weights[d] / scale for d in DOMAINS}, max_rate, whole=F.col(f"__mr_p_{anchor}") >= F.greatest(*(F.col(f"__mr_p_{d}") for d in DOMAINS)) if anchor else None)
     rates = rates.withColumn("__mr_copies", copies(F.col("__mr_rate"), F.col("__mr_id"), seed, draw))
     if not rows_out:
         return rates.select(F.col("__mr_id").alias(id_col), F.col("__mr_tokens").alias("n_tokens"), *(F.col(f"__mr_p_{d}").alias(f"p_{d}") for d in DOMAINS), F.col("__mr_rate").alias("rate"), F.col("__mr_copies").alias("copies"))

@@ -252,6 +252,20 @@ def test_mixing_reaches_targets(judged):
     assert mix(docs.limit(0), labels, want).count() == 0 and mix(docs, labels.limit(0), want).count() == docs.count()
 
 
+def test_mixing_stage_meets_its_weights(spark, tmp_path):
+    import corpus_pipeline as c
+
+    rng = random.Random(12)
+    good = [f"w{k}" for k in range(200)]
+    kinds = {i: i % 6 for i in range(2400)}
+    rows = [(i, " ".join(["SPAM!!"] * 60 * (k == 1) + ["scum"] * 20 * (k == 2) + [rng.choice(good) for _ in range(20 if k == 1 else 80)])) for i, k in kinds.items()]
+    spark.createDataFrame([(i, int(kinds[i] != 1), int(kinds[i] == 2)) for i in range(600)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    kept = [r.doc_id for r in c.mixed(spark, frame(spark, rows), str(tmp_path)).collect()]
+    low, clean = (80 * sum(kinds[i] in of for i in kept) for of in ((1,), (0, 3, 4, 5)))
+    assert clean == 80 * 1600  # whole; low documents hold 25 % of clean tokens, and about 3 % are to stay
+    assert low / (low + clean) == pytest.approx(c.WEIGHTS["low"], abs=0.012)
+
+
 def test_pipeline(spark):
     import corpus_pipeline as c
 
