@@ -30,7 +30,7 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
         if size >= n:
             return found
     _CACHE.clear()
-    n = max(n, 1 << 22)
+    n = 1 << max(20, (n - 1).bit_length())
     _CACHE[n] = _powers(_BASE, n), _powers(_INVERSE, n)
     return _CACHE[n]
 
