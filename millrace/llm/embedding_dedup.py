@@ -236,34 +236,40 @@ def embedding_dedup(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
 
     Vectors link when their cosine in double precision is at least ``threshold``; vectors of
     different length never do. Null, empty and zero vectors and those with null or non-finite
-    components link with nothing. n_links counts the other rows linked directly. A repeated
-    identifier is one node of the graph, its rows are counted each. Rows of null identifier
-    link with equal vectors only. An empty table gives no rows; further columns are ignored.
+    components link with nothing. n_links counts the other rows linked directly. Rows are
+    told apart by vector, not by identifier: rows that repeat an identifier with different vectors have
+    links and components of their own, and rows of null identifier link like any other. component_id is the
+    smallest identifier reachable (null where none is known), and every row that bears it is kept. An empty
+    table gives no rows; further columns are ignored.
     """
     bounded_batches(df.sparkSession)
     rows = materialise(df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).mapInArrow(_keys, "id long, key binary, vector binary"), "vectors")
-    classes = rows.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("many"), F.first("vector").alias("vector"))
-    classes = materialise(classes.mapInArrow(_codes(seed), "key binary, id long, many long, vector binary, code binary, factor double"), "codes")
-    known = classes.where("id IS NOT NULL")
+    classes = rows.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("many"), F.first("vector").alias("vector"))
+    classes = classes.mapInArrow(_codes(seed), "key binary, least long, many long, vector binary, code binary, factor double")
+    classes = materialise(classes.withColumn("id", F.monotonically_increasing_id()), "codes")  # numbers are as written
+    known = classes.drop("key", "least")
     bits, bands = plan_bands(known.count(), threshold)
     member = materialise(known.select("id", "vector").mapInArrow(_members(seed, bits, bands), "bucket long, id long"), "buckets")
     sizes = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = member.join(sizes, "bucket").withColumn("parts", F.ceil(F.col("size") / F.lit(block)).cast("int"))
     own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j"), (F.col("own") > k).cast("int").alias("side")))
-    full = shared.withColumn("own", own).join(known.drop("key"), "id")
+    full = shared.withColumn("own", own).join(known, "id")
     dealt = full.withColumn("cell", F.explode(cells)).select("bucket", "cell.i", "cell.j", "cell.side", "id", "many", "vector", "code", "factor")
     found = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_compare(threshold, seed, bits, bands), "id long, links long, b long")
     found = materialise(found, "embedding-links")
     counts = found.where("b IS NULL").groupBy("id").agg(F.sum("links").alias("links"))
     parts = components(found.where("b IS NOT NULL").select(F.col("id").alias("a"), "b"), "embedding-components")
     of_class = (
-        classes.select("key", "id", "many")
+        classes.select("key", "id", "many", "least")
         .join(counts, "id", "left")
         .join(parts, "id", "left")
-        .select("key", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
+        .select("key", "least", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
     )
-    component = F.when(F.col("key").isNotNull(), F.col("component")).otherwise(F.col("id"))
-    return rows.select("id", "key").join(of_class, "key", "left").select(
+    of_class = materialise(of_class, "embedding-classes")
+    heads = of_class.groupBy("component").agg(F.min("least").alias("head"))
+    found = of_class.join(heads, "component").select("key", "n_links", "head")
+    component = F.when(F.col("key").isNotNull(), F.col("head")).otherwise(F.col("id"))
+    return rows.select("id", "key").join(found, "key", "left").select(
         F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept")
     )
