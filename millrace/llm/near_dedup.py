@@ -130,15 +130,29 @@ def _profile(size: int):
 
 
 def _sets(size: int):
-    schema = pa.schema([("id", pa.int64()), ("shingles", pa.binary())])
+    schema = pa.schema([("set_key", pa.binary()), ("shingles", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owns("near")
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
-                sets = shingle_sets(part.column(1).cast(pa.binary()).to_pylist(), size)
-                yield pa.record_batch([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], schema=schema)
+                sets = [s.tobytes() for s in shingle_sets(part.column(1).cast(pa.binary()).to_pylist(), size)]
+                yield pa.record_batch([pa.array(list(map(xxhash.xxh3_128_digest, sets)), pa.binary()), pa.array(sets, pa.binary())], schema=schema)
+
+    return run
+
+
+def _with_key(size: int, text_col: str, names: list[str]):
+    """Rows with the key of their shingle set as __mr_key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owns("near")
+        for batch in batches:
+            for k in range(0, batch.num_rows, 512):
+                part = batch.slice(k, 512)
+                sets = shingle_sets(part.column(text_col).cast(pa.binary()).to_pylist(), size)
+                yield pa.record_batch([*part.columns, pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())], names=[*names, "__mr_key"])
 
     return run
 
@@ -241,30 +255,18 @@ def _verify(hundredths: int):
     return run
 
 
-def near_dedup(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hundredths: int = 75, shingle: int = 5, block: int = 512, broadcast_ids: int = 2_000_000
-) -> DataFrame:
-    """One row per input row: ``id_col``, n_shingles, component_id, kept.
-
-    Words are runs free of ASCII white space, A-Z lower-cased; a set holds the distinct shingles
-    of ``shingle`` words as 64-bit hashes; sets link where 100 * common >= ``hundredths`` *
-    union. With 32 bands of four registers a pair at 0.75 is missed with a chance below
-    one in 100,000. Null and empty texts have empty sets and link with nothing. A repeated
-    identifier is one node; rows of null identifier link with equal sets only, and component_id is
-    null where a class has no identifier. ``block``: size of blocks in buckets compared
-    between components. ``broadcast_ids``: up to so many identifiers (8 bytes each) are broadcast
-    to pick the documents whose sets are needed; beyond, a shuffle join does it. Further
-    columns are ignored.
-    """
+def _grouped(df: DataFrame, id_col: str, text_col: str, hundredths: int, shingle: int, block: int, broadcast_ids: int) -> DataFrame:
+    """Per input row: id, n, set_key; and of its component the smallest identifier (head) and the set that has it (head_key). Null heads and keys: an empty set, or no identifier known."""
     bounded_batches(df.sparkSession)
     threshold = hundredths / 100
     base = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
     profile = materialise(base.mapInArrow(_profile(shingle), "id long, n long, set_key binary, registers binary"), "profiles")
-    classes = materialise(profile.where("n > 0").groupBy("set_key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("registers").alias("registers")), "classes")
-    wide = classes.where("id IS NOT NULL").select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.substring(F.col("registers"), k * 8 + 1, F.lit(8)))).alias("band", "key"))
+    classes = profile.where("n > 0").groupBy("set_key").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("registers").alias("registers"))
+    classes = materialise(classes.withColumn("id", F.monotonically_increasing_id()), "classes")  # numbers are as written; two sets may share an identifier
+    wide = classes.select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.substring(F.col("registers"), k * 8 + 1, F.lit(8)))).alias("band", "key"))
     # the band in the low bits: a bucket tells its band
     member = wide.select((F.shiftleft(F.xxhash64("band", "key"), 5) + F.col("band")).alias("bucket"), "id")
-    buckets = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("center")).where("size > 1 AND center IS NOT NULL")
+    buckets = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("center")).where("size > 1")
     member = materialise(member.join(buckets, "bucket").where(F.col("id") != F.col("center")), "members")
 
     known = classes.select("id", "n", "registers")
@@ -278,9 +280,11 @@ def near_dedup(
         )
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        ids = materialise(ids.distinct(), "set-ids")
-        few = F.broadcast(ids) if ids.count() <= broadcast_ids else ids
-        return materialise(base.join(few, "id", "left_semi").mapInArrow(_sets(shingle), "id long, shingles binary"), "sets")
+        ids = materialise(ids.distinct().join(classes.select("id", "set_key", "least"), "id"), "set-ids")
+        docs = ids.select(F.col("least").alias("__mr_least")).distinct()
+        docs = F.broadcast(docs) if ids.count() <= broadcast_ids else docs
+        made = base.join(docs, F.col("id").eqNullSafe(F.col("__mr_least")), "left_semi").mapInArrow(_sets(shingle), "set_key binary, shingles binary")
+        return materialise(made.join(ids.select("id", "set_key"), "set_key").groupBy("id").agg(F.first("shingles").alias("shingles")), "sets")
 
     star = materialise(sized(member.select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()), "star-pairs")
     sets = sets_of(star.select(F.explode(F.array("a", "b")).alias("id")))
@@ -301,9 +305,54 @@ def near_dedup(
     if not second.isEmpty():
         found = materialise(components(links.union(second)), "components")
 
-    of_class = classes.select("set_key", F.col("id").alias("head")).join(found.withColumnRenamed("id", "head"), "head", "left").select("set_key", F.coalesce("component", "head").alias("component"))
-    return profile.select("id", "n", F.when(F.col("n") > 0, F.col("set_key")).alias("set_key")).join(of_class, "set_key", "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"),
-        F.col("id").eqNullSafe(F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))).alias("kept"),
+    of_class = materialise(classes.select("id", "set_key", "least").join(found, "id", "left").select("set_key", "least", F.coalesce("component", "id").alias("component")), "class-components")
+    # the head is the set that has the smallest identifier; the smallest key decides where sets share it
+    best = of_class.groupBy("component").agg(F.min("least").alias("head"), F.min(F.struct(F.col("least").isNull(), "least", "set_key")).alias("b"))
+    heads = of_class.join(best, "component").select("set_key", "head", F.col("b.set_key").alias("head_key"))
+    return profile.select("id", "n", F.when(F.col("n") > 0, F.col("set_key")).alias("set_key")).join(heads, "set_key", "left")
+
+
+def near_dedup(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hundredths: int = 75, shingle: int = 5, block: int = 512, broadcast_ids: int = 2_000_000
+) -> DataFrame:
+    """One row per input row: ``id_col``, n_shingles, component_id, kept.
+
+    Words are runs free of ASCII white space, A-Z lower-cased; a set holds the distinct shingles
+    of ``shingle`` words as 64-bit hashes; sets link where 100 * common >= ``hundredths`` *
+    union. With 32 bands of four registers a pair at 0.75 is missed with a chance below
+    one in 100,000. Null and empty texts have empty sets and link with nothing. Rows are told apart by
+    set, not by identifier: rows that repeat an identifier with different texts have components of their own,
+    and rows of null identifier link like any other. component_id is the smallest identifier reachable, null
+    where a component has none, and every row that bears it is kept. ``block``: size of blocks in buckets compared
+    between components. ``broadcast_ids``: up to so many identifiers (8 bytes each) are broadcast
+    to pick the documents whose sets are needed; beyond, a shuffle join does it. Further
+    columns are ignored; an empty table gives no rows.
+    """
+    component = F.when(F.col("n") > 0, F.col("head")).otherwise(F.col("id"))
+    return _grouped(df, id_col, text_col, hundredths, shingle, block, broadcast_ids).select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept")
     )
+
+
+def near_first(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hundredths: int = 75, shingle: int = 5, block: int = 512, broadcast_ids: int = 2_000_000
+) -> DataFrame:
+    """The rows of ``df`` with one row left of each component (see near_dedup), unchanged.
+
+    The row of the component's smallest identifier stays; of several rows with this identifier and the same set,
+    one of the smallest text. Decisions hold by row: where an identifier repeats with different texts, the
+    loss of one leaves the others alone. Rows with empty sets all stay.
+    """
+    rows = materialise(_grouped(df, id_col, text_col, hundredths, shingle, block, broadcast_ids).withColumn("stays", (F.col("n") == 0) | (F.col("id").eqNullSafe(F.col("head")) & (F.col("set_key") == F.col("head_key")))), "near-rows")
+    many = materialise(rows.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(F.col("id").alias("__mr_id")), "repeated-ids")
+    gone = rows.where(~F.col("stays")).select(F.col("id").alias("__mr_id")).union(many)
+    own = F.col(id_col).cast("long").eqNullSafe(F.col("__mr_id"))
+    single = df.join(gone, own, "left_anti")
+    if many.isEmpty():
+        return single
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", __mr_key binary"
+    keyed = df.join(many, own, "left_semi").mapInArrow(_with_key(shingle, text_col, df.columns), ddl)
+    decided = rows.where("stays AND n > 0").select(F.col("id").alias("__mr_id"), F.col("set_key").alias("__mr_set")).distinct()
+    held = keyed.join(decided, own & (F.col("__mr_key") == F.col("__mr_set"))).groupBy("__mr_id", "__mr_set").agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in df.columns)), F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("row")).select("row.*")
+    empty = keyed.where(F.col("__mr_key") == F.lit(xxhash.xxh3_128_digest(b""))).drop("__mr_key")
+    return single.unionByName(held).unionByName(empty)

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 
 import numpy as np
@@ -118,6 +119,35 @@ def test_near_dedup(docs):
     assert [tuple(r) for r in found.where("doc_id IS NULL").collect()] == [(None, 1, 2, False)]
 
 
+def test_near_dedup_tells_rows_apart_by_text(spark):
+    from millrace.llm.near_dedup import near_dedup, near_first
+
+    a = " ".join(f"a{k}" for k in range(40))
+    near_a = a + " more"
+    b, c = " ".join(f"b{k}" for k in range(40)), " ".join(f"c{k}" for k in range(40))
+    rows = [(2, a), (5, near_a), (5, b), (None, c), (None, c + " x"), (None, b.upper()), (9, None), (9, ""), (7, c), (7, c), (7, a.replace(" ", "  "))]
+    df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, __mr_key int").repartition(3)
+    found = sorted((repr((r.doc_id, r.n_shingles, r.component_id, r.kept)) for r in near_dedup(df).collect()))
+    want = [(2, 36, 2, True), (5, 37, 2, False), (5, 36, 5, True), (None, 36, 7, False), (None, 37, 7, False), (None, 36, 5, False), (9, 0, 9, True), (9, 0, 9, True), (7, 36, 7, True), (7, 36, 7, True), (7, 36, 2, False)]
+    assert found == sorted(map(repr, want))
+    left = near_first(df.drop("__mr_key"))
+    assert sorted(map(repr, map(tuple, left.collect()))) == sorted(map(repr, [(2, a), (5, b), (7, c), (9, None), (9, "")]))
+    only_null = spark.createDataFrame([(None, a), (None, near_a), (None, c)], "doc_id long, text string")
+    assert near_first(only_null).count() == 2
+
+
+def test_near_dedup_at_exactly_the_threshold(spark):
+    from millrace.llm.near_dedup import near_dedup
+
+    rows = []
+    for k in range(30):
+        words = [f"w{k}_{j}" for j in range(46)]
+        rows.append((2 * k, " ".join(words)))
+        rows.append((2 * k + 1, " ".join(words[:40] + [f"v{k}_{j}" for j in range(6)])))  # 42 shingles each, 36 shared of 48: 0.75
+    found = {r.doc_id: r.component_id for r in near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(found[2 * k + 1] == 2 * k for k in range(30))
+
+
 def test_sketch_estimates_follow_similarity():
     from millrace.llm.near_dedup import may_reach, set_sketches
 
@@ -173,6 +203,22 @@ def test_embedding_dedup(spark):
     assert embedding_dedup(df.limit(0)).count() == 0
 
 
+def test_embeddings_are_told_apart_by_vector(spark):
+    from millrace.llm.embedding_dedup import embedding_dedup
+
+    x, y = [1.0, 0.0, 0.1, 0.0], [0.0, 1.0, 0.0, 0.1]
+    near = lambda v, e: [v[0], v[1], v[2], v[3] + e]
+    rows = [(1, x), (1, y), (9, near(x, 0.05)), (None, near(x, 0.02)), (4, near(y, 0.05)), (6, near(y, -0.05)), (None, y)]
+    found = embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    want = [(1, 2, 1, True), (1, 3, 1, True), (9, 2, 1, False), (None, 2, 1, False), (4, 3, 1, False), (6, 3, 1, False), (None, 3, 1, False)]
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, want))
+    # a cosine of exactly 0.95 links: (20, 0) and (19, y) with 19 / 20, in numbers that leave no rounding
+    tie = [(0, [20.0, 0.0]), (1, [19.0, math.sqrt(39.0)])]
+    exact = np.dot(tie[0][1], tie[1][1]) / np.linalg.norm(tie[0][1]) / np.linalg.norm(tie[1][1])
+    out = embedding_dedup(spark.createDataFrame(tie, "vec_id long, embedding array<double>"), threshold=float(exact)).collect()
+    assert [r.n_links for r in out] == [1, 1]
+
+
 def test_code_estimates_are_unbiased_and_bounded():
     from millrace.llm.embedding_dedup import EPS, encode, quantised, upper_bound
 

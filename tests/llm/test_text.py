@@ -216,21 +216,187 @@ def judged(spark):
     return frame(spark, rows), spark.createDataFrame(labels + [(None, 1, 0), (5000, None, None), (0, 1, 0)], "doc_id long, quality int, toxic int")
 
 
+GRAM_TEXTS = [b"a b a b a", b"the The cat", b"", b"\t\n", b"x", b"yy zz yy yy yy zz\nqq", "é ü é".encode(), b"a b"]
+
+
+def own_grams(text):
+    """The n-grams of a text, one at a time: (kind, key)."""
+    low = bytes(c + 32 if 65 <= c <= 90 else c for c in text)
+    words = low.split()
+    kinds = []
+    for i, w in enumerate(words):
+        back = next((b for b in range(1, 9) if i >= b and words[i - b] == w), 0)
+        kinds.append(min(back, 3))
+    out = [("word", w) for w in words] + [("pair", p) for p in zip(words, words[1:])]
+    return out + [("byte", low[i : i + 3]) for i in range(len(low) - 2)] + [("rep", tuple(kinds[i : i + 3])) for i in range(len(kinds) - 2)]
+
+
+def test_ngrams_by_brute_force():
+    from millrace.llm.importance import STARTS, grams, log_ratios
+
+    found = grams(GRAM_TEXTS)
+    bucket = {}  # every n-gram has one bucket, wherever it stands
+    for k, text in enumerate(GRAM_TEXTS):
+        want = [[g for g in own_grams(text) if g[0] == kind] for kind in ("word", "pair", "byte", "rep")]
+        for (buckets, of), mine, lo, hi in zip(found, want, STARTS, STARTS[1:]):
+            own = buckets[of == k].tolist()
+            assert len(own) == len(mine) and all(lo <= b < hi for b in own)
+            for b, g in zip(own, mine):
+                assert bucket.setdefault(g, b) == b
+    raw, target = np.zeros(STARTS[-1]), np.zeros(STARTS[-1])
+    for k, text in enumerate(GRAM_TEXTS):
+        for g in own_grams(text):
+            raw[bucket[g]] += 1
+            target[bucket[g]] += k == 0
+    ratios = log_ratios(raw, target)
+    g = ("pair", (b"a", b"b"))
+    n_pairs, t_pairs, size = sum(x[0] == "pair" for t in GRAM_TEXTS for x in own_grams(t)), 4, STARTS[2] - STARTS[1]
+    want = math.log((target[bucket[g]] + 1) / (t_pairs + size)) - math.log((raw[bucket[g]] + 1) / (n_pairs + size))
+    assert ratios[bucket[g]] == pytest.approx(want)
+
+
 def test_importance_resampling(judged):
-    from millrace.llm.importance import gumbel_key, kth_largest, resample
+    from pyspark.sql import functions as F
+
+    from millrace.llm.importance import calibrate, fit, grams, gumbel_key, kth_largest, labelled, resample, with_weight
 
     docs, labels = judged
-    kept = {r.doc_id: r.kept for r in resample(docs, labels).collect()}
+    found = resample(docs, labels).collect()
+    kept = {r.doc_id: r.kept for r in found}
     new = [i for i in range(120, 240)]
-    assert sum(kept[i] for i in new if i % 6 != 1) >= 0.98 * 100 and not any(kept[i] for i in new if i % 6 == 1)
+    assert sum(kept[i] for i in new if i % 6 != 1) >= 0.97 * 100 and sum(kept[i] for i in new if i % 6 == 1) < 10
+    even = {r.doc_id: r.kept for r in resample(docs, labels, cost=1.0).collect()}  # no leaning towards keeping
+    assert sum(even[i] for i in new if i % 6 != 1) >= 0.97 * 100 and not any(even[i] for i in new if i % 6 == 1)
+    # weights of whole texts, log odds, keys and the choice, each by its definition
+    known = labelled(labels, 20_000)
+    ratios, texts = fit(docs, known), {}
+    for i, t in docs.select("doc_id", "text").collect():
+        texts.setdefault(i, (t or "").encode())
+    line = calibrate(with_weight(docs, ratios).select("doc_id", "__mr_weight", "__mr_grams"), known)
+    odds = []
+    for r in found:
+        own = np.concatenate([b for b, _ in grams([texts[r.doc_id]])])
+        assert r.log_weight == pytest.approx(ratios[own].sum(), abs=1e-6)
+        odds.append(line.slope * r.log_weight / max(1, len(own)) ** line.power + line.intercept)
+        assert r.log_odds == pytest.approx(odds[-1], abs=1e-6)
+    k = math.ceil(sum(20 * math.exp(min(x, 500)) / (1 + 20 * math.exp(min(x, 500))) for x in odds) - 1e-6)
+    cut = sorted((r.gumbel_key for r in found), reverse=True)[k - 1]
+    assert all(r.kept == (r.gumbel_key >= cut) for r in found)
+    # the noise decides: half of the documents drawn aren't those of the greatest weights
+    half = resample(docs, labels, keep=100).collect()
+    top = {r.doc_id for r in sorted(half, key=lambda r: -r.log_odds)[:100]}
+    assert len(top - {r.doc_id for r in half if r.kept}) > 10 and 100 <= sum(r.kept for r in half) <= 103
+    noise = [r.gumbel_key - r.log_odds for r in half]
+    assert abs(np.mean(noise) - 0.5772) < 0.3 and abs(np.std(noise) - 1.2825) < 0.4
     rows = resample(docs, labels, kept_only=True)
     assert rows.columns == docs.columns and {r.doc_id for r in rows.collect()} == {i for i, k in kept.items() if k}
     assert resample(docs.limit(0), labels).count() == 0
     assert resample(docs, labels.limit(0)).where("kept").count() == docs.count()
-    keys = docs.selectExpr("doc_id", "cast(doc_id % 50 as double) / 7 AS __mr_weight").where("doc_id IS NOT NULL").withColumn("k", gumbel_key("doc_id", 1))
+    keys = docs.selectExpr("doc_id", "cast(doc_id % 50 as double) / 7 AS odds").where("doc_id IS NOT NULL").withColumn("k", gumbel_key(F.col("odds"), "doc_id", 1))
+    keys = keys.union(keys.limit(30)).union(keys.selectExpr("doc_id", "odds", "1.5D"))  # ties
     values = sorted((r.k for r in keys.collect()), reverse=True)
-    for k in (1, 7, 100, len(values)):
-        assert kth_largest(keys, "k", k, few=5) == pytest.approx(values[k - 1])
+    for k in (1, 7, 100, 200, 300, len(values)):
+        assert kth_largest(keys, "k", k, few=5) == values[k - 1]
+
+
+def test_logistic_by_gradient():
+    from millrace.llm.logistic import logistic
+
+    rng = np.random.default_rng(3)
+    z = rng.standard_normal((500, 2))
+    label = (rng.random(500)[:, None] > np.cumsum(np.exp(np.c_[np.zeros(500), 1 + z[:, 0], z[:, 1] - z[:, 0]]) / np.exp(np.c_[np.zeros(500), 1 + z[:, 0], z[:, 1] - z[:, 0]]).sum(1, keepdims=True), 1)).sum(1)
+    lines, _ = logistic(z, label, 3)
+    x = np.c_[np.ones(503), np.r_[z, np.zeros((3, 2))]]
+    p = np.exp(np.c_[np.zeros(503), x @ lines.T])
+    p /= p.sum(1, keepdims=True)
+    slope = x.T @ (p - np.eye(3)[np.r_[label, 0, 1, 2]])
+    assert np.abs(slope).max() < 0.1 and np.abs(lines - [[1, 1, 0], [0, -1, 1]]).max() < 0.6
+    assert np.isfinite(logistic(np.r_[np.full(20, -5.0), np.full(20, 5.0)][:, None], np.repeat([0, 1], 20), 2)[0]).all()  # separable
+    assert np.isfinite(logistic(np.zeros((0, 2)), np.zeros(0, int), 3)[0]).all()
+
+
+def own_domain(q, t):
+    return 1 if q == 0 else 2 if t == 1 else 0 if q == 1 and t == 0 else None
+
+
+def test_mixing_by_brute_force(judged):
+    """Odds, posteriors and rates against the same definitions in plain Python."""
+    import re
+
+    from pyspark.sql import functions as F
+
+    from millrace.llm import mixing as M
+
+    docs, labels = judged
+    spark = docs.sparkSession
+    model = M.fit_classifier(docs, labels, "doc_id", "text", 20_000, 2.0, 30.0)
+    domain = {}
+    for i, q, t in labels.collect():
+        if i is not None and own_domain(q, t) is not None:
+            domain[i] = max(domain.get(i, 0), own_domain(q, t))
+    once = {}
+    for i, text in docs.select("doc_id", "text").collect():
+        if i in domain:
+            key = (text or "", domain[i])
+            once[key] = min(once.get(key, i), i)
+    hashed = spark.createDataFrame([(i,) for i in once.values()], "i long").select("i", F.pmod(F.xxhash64("i", F.lit(5)), F.lit(2)))
+    half = dict(map(tuple, hashed.collect()))
+
+    def features(text):
+        words = [w for w in re.split("[ \\t-\\r]+", text) if w]
+        same = ([False] + [a == b for a, b in zip(words, words[1:])])[: len(words)]
+        return [("w", w.lower()) for w in words] + [("s", re.sub("[A-Za-z]", "a", w[-3:])) for w in words] + [("r", s) for s in same]
+
+    # different words may share a bucket: the hashes of the words and endings themselves
+    texts = [(i, t or "") for i, t in docs.select("doc_id", "text").collect()]
+    every = sorted({g for _, t in texts for g in features(t) if g[0] != "r"})
+    sized = spark.createDataFrame(every, "kind string, v string").select("kind", "v", F.pmod(F.xxhash64("v"), F.when(F.col("kind") == "w", M.WORDS).otherwise(M.SHAPES)))
+    place = {(k, v): (k, b) for k, v, b in sized.collect()}
+    plain, features = features, lambda text: [place.get(g, g) for g in plain(text)]
+    count = [collections.Counter() for _ in range(3)]
+    for (text, d), i in once.items():
+        if half[i] == 0:
+            count[d].update(features(text))
+    n = [sum(c.values()) for c in count]
+
+    def odds(g, d):
+        share = n[d] / (n[0] + n[d])
+        e = (count[d][g] + count[0][g]) * share
+        z2 = (count[d][g] - e) ** 2 / (e * (1 - share) + 0.5)
+        floor = 2.0 / sum(n)
+        return math.log((count[d][g] / n[d] + floor) / (count[0][g] / n[0] + floor)) * z2 / (z2 + 30)
+
+    rows = M.posteriors(docs, model, "doc_id", "text").collect()
+    want = []
+    for i, t in texts:
+        f = features(t)
+        tokens = sum(g[0] == "w" for g in f)
+        z = [sum(odds(g, d) if any(c[g] for c in count) else 0.0 for g in f) / max(1, tokens) ** model.power for d in (1, 2)]
+        logits = np.r_[0.0, model.lines[:, 0] + model.lines[:, 1:] @ z]
+        p = np.exp(logits - logits.max())
+        want.append((i is None, i or 0, tokens, *(p / p.sum())))
+    got = sorted((r["__mr_id"] is None, r["__mr_id"] or 0, r["__mr_tokens"], r["__mr_p_clean"], r["__mr_p_low"], r["__mr_p_toxic"]) for r in rows)
+    bad = [(a, b) for a, b in zip(got, sorted(want)) if not np.allclose(np.array(a, float), np.array(b, float), atol=1e-6)]
+    assert not bad
+    assert len({round(r[3], 6) for r in got}) > 100
+
+    # the rates: the same steps on plain arrays, for bounds that bind and for none
+    p = np.array([r[3:] for r in got])
+    t = np.array([r[2] for r in got], float)
+    frame_ = spark.createDataFrame([(r[1], r[2], *map(float, r[3:])) for r in got], "__mr_id long, __mr_tokens long, __mr_p_clean double, __mr_p_low double, __mr_p_toxic double")
+    for targets, top in (((0.5, 0.3, 0.2), None), ((0.7, 0.02, 0.05), 1.0)):
+        goal = np.array(targets) * t.sum()
+        inverse = np.linalg.pinv((p * t[:, None]).T @ p, rcond=1e-9, hermitian=True)
+        r, last = np.ones(len(t)), None
+        while True:
+            have = (r * t) @ p
+            if np.abs(have - goal).max() <= 1e-4 * t.sum() or (last is not None and np.abs(have - last).max() <= 1e-5 * t.sum()):
+                break
+            last = have
+            r = np.clip(r - p @ inverse @ (have - goal), 0, top)
+        found = M.fit_rates(frame_, dict(zip(M.DOMAINS, goal)), top).select("__mr_id", "__mr_tokens", "__mr_p_clean", "__mr_rate").collect()
+        own = sorted((i, n_, c, x) for i, n_, c, x in zip([g[1] for g in got], t, p[:, 0], r))
+        assert np.allclose(np.array(sorted(map(tuple, found)))[:, 3], np.array(own)[:, 3], atol=1e-6)
 
 
 def test_mixing_reaches_targets(judged):
@@ -246,10 +412,11 @@ def test_mixing_reaches_targets(judged):
     assert all(r.rate >= 0 and r.copies in (math.floor(r.rate), math.floor(r.rate) + 1) for r in rows)
     new = {r.doc_id: r for r in rows if r.doc_id is not None and 120 <= r.doc_id < 240}
     assert sum(new[i].p_toxic > 0.5 for i in new if i % 6 == 2) >= 18 and sum(new[i].p_clean > 0.5 for i in new if i % 6 not in (1, 2)) >= 78
-    kept = mix(docs, labels, {"clean": 0.97, "low": 0.03, "toxic": 0.0}, anchor="clean", max_rate=1.0, rows_out=True)
-    ids = [r.doc_id for r in kept.collect()]
-    assert kept.columns == docs.columns and sum(i in ids for i in new if i % 6 == 2) <= 2 and sum(i in ids for i in new if i % 6 not in (1, 2)) >= 78
     assert mix(docs.limit(0), labels, want).count() == 0 and mix(docs, labels.limit(0), want).count() == docs.count()
+    # labels of one identifier that clash count as the last domain, however they are ordered
+    clash = labels.union(labels.selectExpr("doc_id", "1 - quality", "toxic").where("doc_id % 12 = 0"))
+    one, two = (sorted(map(tuple, mix(docs, x, want).select("doc_id", "n_tokens", "copies").fillna(-1).collect())) for x in (clash, clash.orderBy("quality")))
+    assert one == two
 
 
 def test_mixing_stage_meets_its_weights(spark, tmp_path):
@@ -261,9 +428,37 @@ def test_mixing_stage_meets_its_weights(spark, tmp_path):
     rows = [(i, " ".join(["SPAM!!"] * 60 * (k == 1) + ["scum"] * 20 * (k == 2) + [rng.choice(good) for _ in range(20 if k == 1 else 80)])) for i, k in kinds.items()]
     spark.createDataFrame([(i, int(kinds[i] != 1), int(kinds[i] == 2)) for i in range(600)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     kept = [r.doc_id for r in c.mixed(spark, frame(spark, rows), str(tmp_path)).collect()]
-    low, clean = (80 * sum(kinds[i] in of for i in kept) for of in ((1,), (0, 3, 4, 5)))
-    assert clean == 80 * 1600  # whole; low documents hold 25 % of clean tokens, and about 3 % are to stay
-    assert low / (low + clean) == pytest.approx(c.WEIGHTS["low"], abs=0.012)
+    tokens = [sum((100 if d == 2 else 80) for i in kept if d == {1: 1, 2: 2}.get(kinds[i], 0)) for d in range(3)]
+    assert tokens[0] >= 0.99 * 80 * 1600
+    for n, d in zip(tokens, ("clean", "low", "toxic")):
+        assert n / sum(tokens) == pytest.approx(c.WEIGHTS[d], abs=0.015)
+
+
+EDGE = [(1, None), (2, ""), (3, "a b c d e f"), (3, "a b c d e f"), (None, "a b c d e f"), (None, None), (4, "one line that is long enough\n" * 3), (3, "another text with the same identifier here"), (7, "z " * 40_000)]
+
+
+@pytest.mark.parametrize("name", ["quality", "lines", "near", "mixed", "tokens"])
+def test_stage_edges(spark, tmp_path, name):
+    """Nulls, repeated identifiers and rows, very long texts, empty tables and clashing columns in every stage."""
+    import corpus_pipeline as c
+
+    spark.createDataFrame([(3, 1, 0), (4, 0, 0), (None, 1, 0), (99, None, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "c", 1, 2) for i, t in EDGE], "doc_id long, text string, lang string, source string, n_chars long, kept string, rate int, id int")
+    stage = dict(c.STAGES)[name]
+    out = stage(spark, docs, str(tmp_path))
+    rows = out.collect()
+    if name == "tokens":
+        assert len(rows) == len(EDGE)
+    else:
+        assert out.columns == docs.columns
+        left = collections.Counter((r.doc_id, r.text) for r in rows)
+        if name in ("quality", "mixed"):
+            assert not left - collections.Counter(EDGE)
+        if name == "near":
+            assert left == collections.Counter([(1, None), (2, ""), (3, "a b c d e f"), (None, None), EDGE[6], EDGE[7], EDGE[8]])
+        if name == "lines":
+            assert len(rows) == len(EDGE)
+    assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
 
 
 def test_pipeline(spark):
