@@ -3,14 +3,19 @@
 Two tokens may stand side by side iff merging their bytes leaves the boundary between them
 alone; the BPE result of a byte string is its only tokenisation whose neighbours all may. The
 nondeterministic transducer guesses where tokens start. Its subset construction keeps, for
-each start that some token may still leave from, the token before it and the vocabulary-trie
-node reached since; what all guesses have in common is emitted. The lookahead is bounded by
-the longest token. States and transitions are made on first use.
+each start that some token may still leave from, the vocabulary-trie node reached since and the tokens
+before it that aren't out yet; the tokens that all guesses have in common are emitted with the
+move. A guess lives as long as some token still spells the bytes since its start, so the lookahead
+is bounded by the longest token. States and moves are made on first use.
+
+Decoding runs an incremental UTF-8 state machine over the tokens' bytes; its moves by token are
+made on first use too.
 """
 
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Iterable, Iterator
 from itertools import chain, islice
@@ -96,20 +101,33 @@ class Merges:
         return ok
 
 
+class State(dict):
+    """A state of the transducer: moves (next state, tokens emitted) by byte, made when first asked for."""
+
+    __slots__ = ("fst", "guesses")
+
+    def __init__(self, fst: Transducer, guesses: tuple):
+        self.fst, self.guesses = fst, guesses
+
+    def __missing__(self, byte: int) -> tuple[State, tuple[int, ...]]:
+        found = self[byte] = self.fst.move(self.guesses, byte)
+        return found
+
+
 class Transducer:
-    """Reads bytes, emits token ids; at most ``max_states`` states are kept, then all are made anew.
+    """Reads bytes, emits token ids with its moves; at most ``max_states`` states are kept, then all are made anew.
 
-    A state is the ordered guesses: for each start that a token may still leave from, the token
-    before it and the trie node reached since. Its move on a byte also gives the one token that
-    ends there in the BPE result of the prefix. Tokens are settled, and emitted, as far as the
-    chains of all guesses agree, so at most ``slab`` bytes and the longest token are held.
+    A state is the ordered guesses (tokens, node): ``tokens`` are the last token emitted (-1 at the start) and
+    those of the guess that wait for the others to agree, ``node`` is the trie node since its start. The last
+    guess always starts here, at the root; what it waits with comes out where the input ends.
     """
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 180_000, slab: int = 1 << 14):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 120_000):
         self.merges = Merges(ranks)
-        self.max_states, self.slab = max_states, slab
+        self.max_states = max_states
+        self.states: dict[tuple, State] = {}
         self.trie: list[dict[int, int]] = [{}]
-        self.ends, self.depth = [-1], [0]
+        self.ends = [-1]
         for token, rank in ranks.items():
             node = 0
             for byte in token:
@@ -118,129 +136,138 @@ class Transducer:
                     nxt = self.trie[node][byte] = len(self.trie)
                     self.trie.append({})
                     self.ends.append(-1)
-                    self.depth.append(self.depth[node] + 1)
                 node = nxt
             self.ends[node] = rank
-        self.length = {r: len(t) for t, r in ranks.items()}
         self._forget()
 
     def _forget(self) -> None:
-        self.ids: dict[tuple, int] = {}
-        self.live: list[tuple] = []
-        self.moves: list[dict[int, tuple[int, int]]] = []
-        self.start = self._state((-1, 0))
+        for state in self.states.values():
+            state.clear()  # moves lead in circles; without them the states go at once
+        self.states.clear()
+        self.start = self._state((((-1,), 0),))
 
-    def _state(self, key: tuple) -> int:
-        state = self.ids.get(key)
+    def _state(self, guesses: tuple) -> State:
+        state = self.states.get(guesses)
         if state is None:
-            state = self.ids[key] = len(self.live)
-            self.live.append(key)
-            self.moves.append({})
+            state = self.states[guesses] = State(self, guesses)
         return state
 
-    def _step(self, state: int, byte: int) -> tuple[int, int]:
-        key, kept, whole = self.live[state], [], -1
+    def move(self, guesses: tuple, byte: int) -> tuple[State, tuple[int, ...]]:
+        kept, done, short = [], None, 1 << 30
         trie, ends = self.trie, self.ends
-        for last, node in zip(key[::2], key[1::2]):
+        for guess in guesses:
+            tokens, node = guess
             node = trie[node].get(byte)
             if node is None:
                 continue
-            if whole < 0 and ends[node] >= 0 and self.merges.follows(last, ends[node]):
-                whole = ends[node]
+            if done is None and ends[node] >= 0 and self.merges.follows(tokens[-1], ends[node]):
+                done = (*tokens, ends[node])
             if trie[node]:
-                kept += (last, node)
-        if whole < 0:
+                kept.append((tokens, node))
+                if len(tokens) < short:
+                    short = len(tokens)
+        if done is None:
             raise ValueError("the ranks lack a byte")
-        move = self.moves[state][byte] = (self._state((*kept, whole, 0)), whole)
-        return move
-
-    def _chain(self, tokens: list[int], end: int) -> list[int]:
-        out = []
-        while end > 0:
-            token = tokens[end - 1]
-            out.append(token)
-            end -= self.length[token]
-        return out[::-1]
-
-    def _settled(self, tokens: list[int], state: int) -> int:
-        """The last position that the chains of all guesses pass."""
-        starts = {len(tokens) - self.depth[node] for node in self.live[state][1::2]}
-        while len(starts) > 1:
-            latest = max(starts)
-            starts.remove(latest)
-            starts.add(latest - self.length[tokens[latest - 1]])
-        return starts.pop()
+        if not kept:
+            return self._state(((done[-1:], 0),)), done[1:]
+        kept.append((done, 0))
+        # all guesses begin with the last token emitted; what they share beyond it goes out now
+        first, same = kept[0][0], 1
+        while same < short and all(tokens[same] == first[same] for tokens, _ in kept):
+            same += 1
+        if same > 1:
+            kept = [(tokens[same - 1 :], node) for tokens, node in kept]
+        return self._state(tuple(kept)), first[1:same]
 
     def encode(self, data: bytes) -> list[int]:
         """The BPE tokens of one pre-split match."""
-        if len(self.live) > self.max_states:
+        if len(self.states) > self.max_states:
             self._forget()
-        state, moves, tokens, out = self.start, self.moves, [], []
+        state, out = self.start, []
         for byte in data:
-            move = moves[state].get(byte)
-            if move is None:
-                move = self._step(state, byte)
-            state, token = move
-            tokens.append(token)
-            if len(tokens) > self.slab:
-                done = self._settled(tokens, state)
-                out += self._chain(tokens, done)
-                del tokens[:done]
-        return out + self._chain(tokens, len(tokens)) if out else self._chain(tokens, len(tokens))
-
-
-# UTF-8 after RFC 3629: from lead byte to (bytes to come, least and largest second byte).
-_LEAD = [(0, 0, 0)] * 128 + [None] * 66 + [(1, 0x80, 0xBF)] * 30 + [(2, 0xA0, 0xBF)] + [(2, 0x80, 0xBF)] * 12 + [(2, 0x80, 0x9F)] + [(2, 0x80, 0xBF)] * 2 + [(3, 0x90, 0xBF)] + [(3, 0x80, 0xBF)] * 3 + [(3, 0x80, 0x8F)] + [None] * 11
+            state, got = state[byte]
+            if got:
+                out += got
+        out += state.guesses[-1][0][1:]
+        return out
 
 
 class Utf8Stream:
-    """Incremental UTF-8: ``feed`` gives the text that is complete, ``finish`` the rest; bad bytes become U+FFFD.
+    """Incremental UTF-8 after RFC 3629, fed with bytes or with tokens: what is complete comes out at once, bad bytes become U+FFFD.
 
-    The machine only walks the last character that a chunk leaves open; what is before it is
-    whole and goes through the built-in decoder.
+    The state is the bytes of a character begun. A byte either goes on with it, ends it, or shows that
+    it was none: then one U+FFFD stands for it and the byte starts anew. ``by_token`` keeps, per state,
+    the text and the next state of a token; several streams may share it.
     """
 
-    def __init__(self):
-        self.held = b""
+    def __init__(self, bytes_of: dict[int, bytes] | None = None, by_token: dict[bytes, dict[int, tuple[bytes, str]]] | None = None):
+        self.bytes_of, self.by_token, self.held = bytes_of or {}, {b"": {}} if by_token is None else by_token, b""
 
     @staticmethod
-    def _open_tail(data: bytes) -> int:
-        """How many bytes at the end are a proper beginning of a character."""
-        for back in range(1, min(3, len(data)) + 1):
-            lead = _LEAD[data[-back]]
-            if data[-back] & 0xC0 == 0x80:
-                continue
-            if lead is None or lead[0] < back:
-                return 0
-            if back > 1 and not lead[1] <= data[-back + 1] <= lead[2]:
-                return 0
-            return back
-        return 0
+    def _more(held: bytes) -> tuple[int, int, int]:
+        """Bytes to come after a proper beginning, and the least and largest next one."""
+        lead, n = held[0], len(held)
+        size = 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
+        if n > 1:
+            return size - n, 0x80, 0xBF
+        low = {0xE0: 0xA0, 0xF0: 0x90}.get(lead, 0x80)
+        return size - 1, low, {0xED: 0x9F, 0xF4: 0x8F}.get(lead, 0xBF)
+
+    def _walk(self, held: bytes, data: bytes) -> tuple[bytes, str]:
+        out: list[str] = []
+        for byte in data:
+            if held:
+                to_come, low, high = self._more(held)
+                if low <= byte <= high:
+                    held += bytes((byte,))
+                    if to_come == 1:
+                        out.append(held.decode())
+                        held = b""
+                    continue
+                out.append("\ufffd")
+                held = b""
+            if byte < 0x80:
+                out.append(chr(byte))
+            elif 0xC2 <= byte <= 0xF4:
+                held = bytes((byte,))
+            else:
+                out.append("\ufffd")
+        return held, "".join(out)
 
     def feed(self, data: bytes) -> str:
-        data = self.held + data
-        n = len(data) - self._open_tail(data)
-        self.held = data[n:]
-        return data[:n].decode("utf-8", "replace")
+        self.held, text = self._walk(self.held, data)
+        return text
+
+    def feed_tokens(self, ids: Iterable[int]) -> str:
+        held, table, out = self.held, self.by_token, []
+        moves = table.setdefault(held, {})
+        for token in ids:
+            move = moves.get(token)
+            if move is None:
+                move = moves[token] = self._walk(held, self.bytes_of[token])
+            out.append(move[1])
+            if move[0] != held:
+                held = move[0]
+                moves = table.setdefault(held, {})
+        self.held = held
+        return "".join(out)
 
     def finish(self) -> str:
         rest, self.held = self.held, b""
-        return rest.decode("utf-8", "replace")
+        return "\ufffd" if rest else ""
 
 
 class _Memo(dict):
-    """Token ids of matches seen before, two generations of ``most`` each; a miss runs the transducer."""
+    """What the transducer gave for matches seen before, two generations of ``most`` each; a miss runs it."""
 
     def __init__(self, ranks: dict[bytes, int], most: int, states: int):
         super().__init__()
-        self.ranks, self.most, self.fst, self.old = ranks, most, Transducer(ranks, states), {}
+        self.most, self.fst, self.old = most, Transducer(ranks, states), {}
 
     def __missing__(self, match: str) -> tuple[int, ...]:
         ids = self.old.get(match)
         if ids is None:
-            data = match.encode()
-            whole = self.ranks.get(data)
-            ids = (whole,) if whole is not None else tuple(self.fst.encode(data))
+            ids = tuple(self.fst.encode(match.encode()))
             if len(match) > 64:
                 return ids
         if len(self) >= self.most:
@@ -253,11 +280,16 @@ class _Memo(dict):
 class ByteBPE:
     """Encoder and decoder of a rank file, each match of the pattern on its own, without special tokens."""
 
-    def __init__(self, path: str, pattern: str, memo: int = 150_000, states: int = 180_000):
+    def __init__(self, path: str, pattern: str, memo: int = 150_000, states: int = 120_000):
         ranks = load_ranks(path)
         self.pattern = regex.compile(pattern)
         self.memo = _Memo(ranks, memo, states)
         self.bytes_of = {r: t for t, r in ranks.items()}
+        self.by_token: dict[bytes, dict[int, tuple[bytes, str]]] = {}
+
+    def decoder(self) -> Utf8Stream:
+        """A new stream of tokens to text; the machine's moves are shared."""
+        return Utf8Stream(self.bytes_of, self.by_token)
 
     def encode_slabs(self, text: str, matches: int = 200_000) -> Iterator[list[int]]:
         """Ids of a whole text, some 200,000 matches at a time, so that one long text is never held as one list."""
@@ -272,20 +304,17 @@ class ByteBPE:
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(self.encode_slabs(text)))
 
-    def decode_bytes(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
-
     def decode_stream(self, slabs: Iterable[Iterable[int]]) -> Iterator[str]:
-        stream = Utf8Stream()
+        stream = self.decoder()
         for ids in slabs:
-            yield stream.feed(self.decode_bytes(ids))
+            yield stream.feed_tokens(ids)
         yield stream.finish()
 
 
 _LOADED: dict[tuple, ByteBPE] = cache()
 
 
-def loaded(path: str, pattern: str, memo: int = 150_000, states: int = 180_000) -> ByteBPE:
+def loaded(path: str, pattern: str, memo: int = 150_000, states: int = 120_000) -> ByteBPE:
     """One encoder per Python worker, kept between tasks."""
     key = (path, pattern, memo, states)
     if key not in _LOADED:
@@ -296,7 +325,7 @@ def loaded(path: str, pattern: str, memo: int = 150_000, states: int = 180_000)
 
 def encode_documents(
     df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, with_text: bool = False, batch_ids: int = 1 << 19,
-    memo: int = 150_000, states: int = 180_000,
+    memo: int = 150_000, states: int = 120_000,
 ) -> DataFrame:
     """One row per input row: ``id_col``, n_tokens, ids_sha256, decoded_sha256; ``with_ids`` adds ids, ``with_text`` the decoded text.
 
@@ -320,26 +349,35 @@ def encode_documents(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owns("bpe")
         bpe = loaded(path, pattern, memo, states)
+        gc.disable()  # nothing here waits for the collector, and it would walk all states time and again
+        try:
+            yield from encoded(bpe, batches)
+        finally:
+            gc.enable()
+
+    def encoded(bpe: ByteBPE, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decimal = [str(i) for i in range(max(bpe.bytes_of) + 1)].__getitem__
         rows, held = [], 0
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                n, ids_hash, text_hash, stream, ids, decoded = 0, hashlib.sha256(), hashlib.sha256(), Utf8Stream(), [], []
+                n, ids_hash, text_hash, stream, ids, decoded = 0, hashlib.sha256(), hashlib.sha256(), bpe.decoder(), [], []
                 for slab in bpe.encode_slabs(text):
                     if slab:
                         ids_hash.update((("," if n else "") + ",".join(map(decimal, slab))).encode())
                         n += len(slab)
-                    data = bpe.decode_bytes(slab)
-                    text_hash.update(data)
+                    out = stream.feed_tokens(slab)
+                    text_hash.update(out.encode())
                     if with_ids:
                         ids.append(np.array(slab, np.int32))
                     if with_text:
-                        decoded.append(stream.feed(data))
+                        decoded.append(out)
+                last = stream.finish()
+                text_hash.update(last.encode())
                 row = [doc, n, ids_hash.hexdigest(), text_hash.hexdigest()]
                 if with_ids:
                     row.append(np.concatenate(ids) if ids else np.zeros(0, np.int32))
                 if with_text:
-                    row.append("".join(decoded) + stream.finish())
+                    row.append("".join(decoded) + last)
                 rows.append(row)
                 held += n + 100
                 if held > batch_ids:
