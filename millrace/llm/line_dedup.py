@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.files import list_files, open_fs
+from millrace.llm.skew import lookup_join
 from millrace.session import bounded_batches, materialise, shared_path
 from millrace.llm.worker import cache, owns
 
@@ -200,8 +201,9 @@ def line_dedup(
     hashes = base.select("body").mapInArrow(_collect(least_chars), "segment int, seen binary, again binary")
     hashes.repartition("segment").sortWithinPartitions("segment").mapInArrow(_filters(bits), "segment int, filter binary").write.parquet(uri)
     suspects = materialise(base.mapInArrow(_suspects(least_chars, uri, bits), "id long, line binary"), "line-suspects")
-    owners = suspects.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("owner")).where(F.col("n") >= least_docs)
-    lost = suspects.join(owners, "line").where(~F.col("id").eqNullSafe(F.col("owner"))).select("id", "line")
+    owners = materialise(suspects.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("owner")).where(F.col("n") >= least_docs), "line-owners")
+    total = owners.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    lost = lookup_join(suspects, owners, "line", "n", total).where(~F.col("id").eqNullSafe(F.col("owner"))).select("id", "line")
     digests = lost.mapInArrow(_digest, "id long, digest binary")
     drops = digests.groupBy("id").agg(F.collect_set("digest").alias("__mr_drops")).withColumnRenamed("id", "__mr_id")
     joined = df.join(drops, F.col(id_col).cast("long").eqNullSafe(F.col("__mr_id")), "left").drop("__mr_id")
