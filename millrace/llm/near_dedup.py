@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.graph import components
+from millrace.llm.skew import lookup_join
 from millrace.session import bounded_batches, materialise
 from millrace.llm.worker import owns
 
@@ -267,13 +268,16 @@ def _grouped(df: DataFrame, id_col: str, text_col: str, hundredths: int, shingle
     # the band in the low bits: a bucket tells its band
     member = wide.select((F.shiftleft(F.xxhash64("band", "key"), 5) + F.col("band")).alias("bucket"), "id")
     buckets = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("center")).where("size > 1")
-    member = materialise(member.join(buckets, "bucket").where(F.col("id") != F.col("center")), "members")
+    buckets = materialise(buckets, "buckets")
+    total = buckets.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    member = materialise(lookup_join(member, buckets, "bucket", "size", total).where(F.col("id") != F.col("center")), "members")
 
     known = classes.select("id", "n", "registers")
 
     def sized(pairs: DataFrame) -> DataFrame:
+        centers = materialise(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("pairs")).join(known.toDF("a", "n_a", "ra"), "a"), "centers")
         return (
-            pairs.join(known.toDF("a", "n_a", "ra"), "a")
+            lookup_join(pairs, centers, "a", "pairs", total)
             .join(known.toDF("b", "n_b", "rb"), "b")
             .where(100 * F.least("n_a", "n_b") >= hundredths * F.greatest("n_a", "n_b"))
             .mapInArrow(_estimate(threshold), "a long, b long")
@@ -286,7 +290,7 @@ def _grouped(df: DataFrame, id_col: str, text_col: str, hundredths: int, shingle
         made = base.join(docs, F.col("id").eqNullSafe(F.col("__mr_least")), "left_semi").mapInArrow(_sets(shingle), "set_key binary, shingles binary")
         return materialise(made.join(ids.select("id", "set_key"), "set_key").groupBy("id").agg(F.first("shingles").alias("shingles")), "sets")
 
-    star = materialise(sized(member.select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()), "star-pairs")
+    star = materialise(sized(materialise(member.select(F.col("center").alias("a"), F.col("id").alias("b")).distinct(), "stars")), "star-pairs")
     sets = sets_of(star.select(F.explode(F.array("a", "b")).alias("id")))
     both = star.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a")
     links = materialise(both.mapInArrow(_verify(hundredths), "a long, b long"), "links")
