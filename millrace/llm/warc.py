@@ -1,16 +1,19 @@
 """WARC archives: a Spark data source that reads them, and a writer that dedups payloads into revisits.
 
-Each file is a series of gzip members, one per record. Reading plans a partition per file,
-takes record-type and header predicates from the query (=, IN, comparisons, null tests on
-header columns), parses a record's headers first, and decodes a payload only where the
-query asks for that column and the record passed; otherwise the compressed rest of the
-member is only inflated and thrown away in slices.
+Each file is a series of gzip members, one per record. A member says in its gzip header (extra
+field "sl", the format's own skip lengths) how long it is, packed and unpacked. Reading plans a
+partition per file, takes record-type and header predicates from the query (=, IN, comparisons,
+null tests on header columns), inflates no more than a record's headers first, and decodes a payload
+only where the query asks for that column and the record passed; otherwise it goes on at the next member,
+and what lies between is neither inflated nor, beyond a read-ahead, read. Members of other writers, without
+the field, are inflated and thrown away in slices. Responses carry an HTTP header block before the payload.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 import zlib
 from collections.abc import Iterator
 from typing import Any
@@ -22,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual
 
 from millrace.llm.files import list_files, open_fs, write_atomic
+from millrace.llm.skew import hot_limit
 from millrace.session import bounded_batches, materialise, shared_path
 from millrace.llm.worker import owns
 
@@ -37,36 +41,66 @@ COLUMN_HEADER = {
 WHOLE = ("payload_bytes", "content_length")
 
 
+SKIP = struct.Struct("<4BI2BH2sHII")  # gzip magic, method, flags, time, extra flags, system, extra bytes; sl: its bytes, packed and unpacked length
+SKIP_FIELD = (b"sl", 8)
+HTTP = "application/http"
+
+
+def member(record: bytes, level: int = 3) -> bytes:
+    """One gzip member whose header tells its packed and unpacked length (zero where a length takes more than 32 bits)."""
+    packer = zlib.compressobj(level, zlib.DEFLATED, -15)
+    body = packer.compress(record) + packer.flush() + struct.pack("<II", zlib.crc32(record), len(record) & 0xFFFFFFFF)
+    total = SKIP.size + len(body)
+    known = max(total, len(record)) < 1 << 32
+    return SKIP.pack(0x1F, 0x8B, 8, 4, 0, 0, 255, 12, *SKIP_FIELD, total if known else 0, len(record) if known else 0) + body
+
+
 class RecordStream:
-    """Records of one gzip-member file: ``headers`` of the next, then ``payload`` or ``skip`` for its rest."""
-
-    def __init__(self, stream, chunk: int = 1 << 18):
-        self.stream, self.chunk = stream, chunk
-        self.raw, self.text, self.inflate, self.ended = b"", b"", None, False
-
-    def _more(self) -> bool:
-        """Inflate some more of the current member; False at its end."""
-        while True:
-            if self.inflate.eof:
-                return False
-            if not self.raw:
-                self.raw = self.stream.read(self.chunk)
-                if not self.raw:
+    """Records of one gzip-member file: ``headers`` of the next, then ``payload`` or ``skip`` for its rest. ``inflated`` counts the bytes unpacked."""
+
+    def __init__(self, file, chunk: int = 1 << 18):
+        self.file, self.chunk, self.size = file, chunk, file.size()
+        self.at, self.raw, self.raw_at = 0, b"", 0  # start of the member; bytes read and where they lie in the file
+        self.inflated = 0
+
+    def _read(self, at: int, n: int) -> bytes:
+        """At least ``n`` bytes from ``at`` on where the file has them, and what was read beyond."""
+        lo = at - self.raw_at
+        if lo < 0 or lo + n > len(self.raw):
+            kept = self.raw[lo:] if 0 <= lo < len(self.raw) else b""
+            self.raw, self.raw_at = kept + self.file.read_at(max(n - len(kept), self.chunk), at + len(kept)), at
+            lo = 0
+        return self.raw[lo:]
+
+    def _more(self, most: int | None = None) -> bool:
+        """Inflate some more of the current member, ``most`` bytes at most; False at its end."""
+        while not self.inflate.eof:
+            rest = self.inflate.unconsumed_tail
+            if not rest:
+                rest = self._read(self.next, 1)
+                if not rest:
                     raise ValueError("a record ends early")
-            found = self.inflate.decompress(self.raw, self.chunk)
-            self.raw = self.inflate.unused_data if self.inflate.eof else self.inflate.unconsumed_tail
+                self.next += len(rest)
+            found = self.inflate.decompress(rest, most or self.chunk)
             if found:
+                self.inflated += len(found)
                 self.text += found
                 return True
+        return False
 
     def headers(self) -> dict[str, str] | None:
         """Headers by lower-case name, or None at the end of the file."""
-        self.raw = self.raw or self.stream.read(self.chunk)
-        if not self.raw:
+        if self.at >= self.size:
             return None
-        self.inflate, self.text = zlib.decompressobj(31), b""
+        head = self._read(self.at, SKIP.size)[: SKIP.size]
+        self.length = 0
+        if len(head) == SKIP.size:
+            *start, extra, kind, n, packed, _ = SKIP.unpack(head)
+            if start[3] & 4 and extra == 12 and (kind, n) == SKIP_FIELD:
+                self.length = packed
+        self.inflate, self.text, self.next = zlib.decompressobj(31), b"", self.at
         while b"\r\n\r\n" not in self.text:
-            if not self._more():
+            if not self._more(1024):
                 raise ValueError("no end of headers")
         head, self.text = self.text.split(b"\r\n\r\n", 1)
         lines = head.split(b"\r\n")
@@ -77,9 +111,11 @@ class RecordStream:
             name, _, value = line.decode("utf-8", "replace").partition(":")
             out[name.strip().lower()] = value.strip()
         self.left = int(out["content-length"])
+        self.http = out.get("content-type", "").startswith(HTTP)
         return out
 
     def payload(self) -> bytes:
+        """The record's block, without its HTTP headers."""
         parts, have = [self.text], len(self.text)
         while have < self.left:
             self.text = b""
@@ -87,15 +123,24 @@ class RecordStream:
                 raise ValueError("a payload ends early")
             parts.append(self.text)
             have += len(self.text)
-        body = b"".join(parts)
-        self.text = body[self.left :]
+        block = b"".join(parts)[: self.left]
         self.skip()
-        return body[: self.left]
+        if not self.http:
+            return block
+        _, mark, body = block.partition(b"\r\n\r\n")
+        if not mark:
+            raise ValueError("no end of HTTP headers")
+        return body
 
     def skip(self) -> None:
+        """On to the next member: by its length where that is known, else by inflating the rest."""
+        if self.length:
+            self.at += self.length
+            return
         self.text = b""
         while self._more():
             self.text = b""
+        self.at = self.next - len(self.inflate.unused_data)
 
 
 class _Whole(InputPartition):
@@ -149,8 +194,8 @@ class WarcReader(DataSourceReader):
         kinds = {"payload": pa.binary(), "headers": pa.map_(pa.string(), pa.string())} | dict.fromkeys(WHOLE, pa.int64())
         schema = pa.schema([(n, kinds.get(n, pa.string())) for n in self.names])
         system, path = open_fs(partition.path)
-        with system.open_input_stream(path, compression=None) as stream:
-            records, rows, size = RecordStream(stream), [], 0
+        with system.open_input_file(path) as file:
+            records, rows, size = RecordStream(file), [], 0
             while (headers := records.headers()) is not None:
                 if not all(_TESTS[kind](_value(headers, c), x) for c, kind, x in self.tests):
                     records.skip()
@@ -220,9 +265,9 @@ def record(page: int | None, url: str | None, body: bytes, owner: int | None, le
     if revisit:
         lines += [f"WARC-Refers-To: {page_urn(owner)}".encode(), f"WARC-Profile: {PROFILE}".encode()]
         body = b""
-    lines += [b"Content-Type: text/html; charset=utf-8", f"Content-Length: {len(body)}".encode()]
-    packer = zlib.compressobj(3, zlib.DEFLATED, 31)
-    return packer.compress(b"\r\n".join(lines) + b"\r\n\r\n" + body + b"\r\n\r\n") + packer.flush()
+    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n" + (b"" if revisit else f"Content-Length: {len(body)}\r\n".encode()) + b"\r\n" + body
+    lines += [f"Content-Type: {HTTP};msgtype=response".encode(), f"Content-Length: {len(block)}".encode()]
+    return member(b"\r\n".join(lines) + b"\r\n\r\n" + block + b"\r\n\r\n")
 
 
 WRITTEN_DDL = "path string, records long, bytes long"
@@ -240,8 +285,12 @@ def write_warc(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str
     bounded_batches(df.sparkSession)
     base = df.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("body"))
     keyed = base.withColumn("digest", F.unhex(F.sha2("body", 256)))
-    owners = base.select("id", F.unhex(F.sha2("body", 256)).alias("digest")).groupBy("digest").agg(F.min("id").alias("owner"))
-    rows = keyed.join(owners, "digest").select("id", "url", "body", "owner")
+    owners = materialise(base.select("id", F.unhex(F.sha2("body", 256)).alias("digest")).groupBy("digest").agg(F.min("id").alias("owner"), F.count(F.lit(1)).alias("n")), "warc-owners")
+    # a payload of very many pages is broadcast with its owner (fewer than 1,000 are), and its pages are dealt by identifier
+    limit = hot_limit(owners.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    hot = owners.where(F.col("n") > limit).select("digest", F.col("owner").alias("hot_owner"), F.lit(True).alias("hot"))
+    dealt = keyed.join(F.broadcast(hot), "digest", "left").withColumn("at", F.when(F.col("hot"), F.sha2(F.coalesce(F.col("id").cast("string"), F.lit("")), 256).cast("binary")).otherwise(F.col("digest")))
+    rows = dealt.join(owners.where(F.col("n") <= limit).select(F.col("digest").alias("at"), "owner"), "at", "left").select("id", "url", "body", F.when(F.col("hot"), F.col("hot_owner")).otherwise(F.col("owner")).alias("owner"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owns("warc")
@@ -267,9 +316,23 @@ def write_warc(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str
     return rows.mapInArrow(run, WRITTEN_DDL)
 
 
+def _read_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(record_id, payload_digest, payload_bytes, payload) -> record_id and, from the payload itself, payload_digest and payload_bytes; a header that says otherwise is an error."""
+    owns("warc")
+    for batch in batches:
+        found = [(sha1_base32(p), len(p)) for p in batch.column(3).to_pylist()]
+        for record_id, digest, n, own in zip(*(batch.column(i).to_pylist() for i in range(3)), found):
+            if (digest, n) != own:
+                raise ValueError(f"the payload of {record_id} is not what its headers say")
+        yield pa.record_batch([batch.column(0), pa.array([d for d, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], names=["record_id", "payload_digest", "payload_bytes"])
+
+
 def archive(df: DataFrame, folder: str | None = None, **columns) -> DataFrame:
-    """Write ``df`` as archives and read all records back, headers only."""
+    """Write ``df`` as archives and read all records back: responses with their payloads, from which digest and length are made anew, revisits by their headers only (both record types are predicates of the source)."""
     spark = df.sparkSession
     folder = folder or shared_path(spark, "warc")
     materialise(write_warc(df, folder, **columns), "warc-files")
-    return read_warc(spark, folder, "record_type string, record_id string, payload_digest string, payload_bytes long, refers_to string")
+    full = read_warc(spark, folder, "record_type string, record_id string, payload_digest string, payload_bytes long, payload binary").where("record_type = 'response'")
+    read = full.select("record_id", "payload_digest", "payload_bytes", "payload").mapInArrow(_read_digests, "record_id string, payload_digest string, payload_bytes long")
+    heads = read_warc(spark, folder, "record_type string, record_id string, payload_digest string, payload_bytes long, refers_to string").where("record_type = 'revisit'")
+    return read.select(F.lit("response").alias("record_type"), "record_id", "payload_digest", "payload_bytes", F.lit(None).cast("string").alias("refers_to")).unionByName(heads)

@@ -253,6 +253,54 @@ def test_warc(spark, tmp_path):
     assert archive(df.limit(0), "file://" + str(tmp_path / "none")).count() == 0
 
 
+def test_warc_skips_without_inflating(spark, tmp_path):
+    import gzip
+    import zlib
+
+    from pyarrow import fs
+
+    from millrace.llm.warc import RecordStream, read_warc, record
+
+    rng = random.Random(1)
+    bodies = [bytes(rng.randrange(256) for _ in range(200_000)), b"", b"short\r\n\r\nwith a gap", bytes(rng.randrange(256) for _ in range(300_000))]
+    parts = [record(k, f"http://x/{k}", b, None, 0) for k, b in enumerate(bodies)]
+    # a record of another writer: no skip lengths, no HTTP block
+    other = zlib.compressobj(6, zlib.DEFLATED, 31)
+    plain = b"WARC/1.0\r\nWARC-Type: resource\r\nContent-Type: text/plain\r\nContent-Length: 5000\r\n\r\n" + b"p" * 5000 + b"\r\n\r\n"
+    parts.insert(2, other.compress(plain) + other.flush())
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(parts))
+    assert len(gzip.decompress(b"".join(parts))) > 500_000  # any gzip reader reads it
+
+    def stream():
+        return RecordStream(fs.LocalFileSystem().open_input_file(str(tmp_path / "a.warc.gz")), 4096)
+
+    reader, kinds = stream(), []
+    while (head := reader.headers()) is not None:
+        kinds.append(head["warc-type"])
+        reader.skip()
+    assert kinds == ["response", "response", "resource", "response", "response"] and reader.inflated < 20_000
+    reader, found = stream(), []
+    while reader.headers() is not None:
+        found.append(reader.payload())
+    assert found == [*bodies[:2], b"p" * 5000, *bodies[2:]]
+    rows = read_warc(spark, "file://" + str(tmp_path)).where("record_type = 'resource'").collect()
+    assert [bytes(r.payload) for r in rows] == [b"p" * 5000]
+
+
+def test_hot_keys_are_joined_without_meeting(spark, docs, monkeypatch):
+    from millrace.llm import line_dedup as lines, near_dedup as near, skew, warc
+
+    plain = [sorted(map(repr, map(tuple, f(docs).collect()))) for f in (lines.line_dedup, near.near_dedup)]
+    pages = docs.selectExpr("doc_id AS page_id", "'u' AS url", "text AS html")
+    names = ("record_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    archived = sorted(map(repr, map(tuple, warc.archive(pages).select(*names).collect())))
+    monkeypatch.setattr(skew, "hot_limit", lambda total, *a: 1)
+    monkeypatch.setattr(warc, "hot_limit", lambda total, *a: 1)
+    assert plain == [sorted(map(repr, map(tuple, f(docs).collect()))) for f in (lines.line_dedup, near.near_dedup)]
+    assert archived == sorted(map(repr, map(tuple, warc.archive(pages).select(*names).collect())))
+    assert skew.hot_limit(10) == 1
+
+
 def test_components(spark):
     from millrace.llm.graph import components
 
