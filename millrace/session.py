@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,15 +28,22 @@ def get_session(app: str = "millrace", master: str | None = None, **conf: str) -
     return builder.getOrCreate()
 
 
+def _hadoop_path(spark: SparkSession, path: str):
+    made = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return made, made.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session, with its file system.
 
-    Where it is unset, a local session gets a temporary folder; any other is refused,
+    A folder without a scheme lies in the default file system, as Spark itself takes it. Where it is
+    unset, a local session gets a temporary folder; any other is refused,
     because a machine-local folder would be invisible to other executors.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
-        return found.rstrip("/")
+        path, system = _hadoop_path(spark, found)
+        return system.makeQualified(path).toString().rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     os.makedirs("/tmp/checkpoints", exist_ok=True)
@@ -43,9 +52,33 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+_SCRATCH: list[list[str]] = []
+
+
 def shared_path(spark: SparkSession, tag: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    """A new path below the shared folder; removed at the end of the innermost ``scratch``, if any."""
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    made, system = _hadoop_path(spark, path)
+    system.delete(made, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Intermediates written inside are removed at the end: results must be written or collected by then."""
+    held: list[str] = []
+    _SCRATCH.append(held)
+    try:
+        yield
+    finally:
+        _SCRATCH.pop()
+        for path in held:
+            remove(spark, path)
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:
