@@ -15,7 +15,7 @@ from millrace.llm.importance import resample
 from millrace.llm.line_dedup import line_dedup
 from millrace.llm.mixing import mix
 from millrace.llm.near_dedup import near_first
-from millrace.session import materialise
+from millrace.session import remove, scratch, shared_path
 
 #: Shares of tokens by domain; the total follows from the clean domain's tokens.
 WEIGHTS = {"clean": 0.92, "low": 0.01, "toxic": 0.07}
@@ -56,7 +56,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages; what a stage and its predecessor wrote is removed once its own result is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = shared_path(spark, f"stage-{name}")
+        with scratch(spark):
+            made = stage(spark, docs, sf_dir)
+            made.write.parquet(path)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.schema(made.schema).parquet(path), path
     return docs
