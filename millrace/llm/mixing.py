@@ -23,9 +23,8 @@ from millrace.session import materialise
 #: The domains of the labels table and how a labelled row falls into one.
 DOMAINS = ("clean", "low", "toxic")
 SPACE = " \t\n\x0b\x0c\r"
-LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Buckets of hashed words and of hashed word endings; two more tell whether a word repeats the one before.
-WORDS, SHAPES = 1 << 17, 1 << 12
+#: Buckets of hashed words and of their hashed last three characters; two more tell whether a word repeats the one before.
+WORDS, ENDINGS = 1 << 17, 1 << 14
 
 
 class Model(NamedTuple):
@@ -42,15 +41,15 @@ def domain_of_label() -> Column:
 
 
 def _tokens(df: DataFrame, *keep: str) -> DataFrame:
-    """A row per word of ``__mr_text``: word bucket, shape bucket and whether the word repeats the one before; a text without words has one row with null buckets."""
+    """A row per word of ``__mr_text``: word bucket, ending bucket and whether the word repeats the one before; a text without words has one row with null buckets."""
     words = F.split(F.btrim(F.coalesce(F.col("__mr_text").cast("string"), F.lit("")), F.lit(SPACE)), r"[\x20\x09-\x0D]+")
     cut = df.select(*keep, words.alias("ws"))
-    each = F.transform("ws", lambda w, i: F.struct(w.alias("w"), F.coalesce(w == F.get("ws", i - 1), F.lit(False)).alias("again")))
-    rows = cut.select(*keep, F.explode(each).alias("t"))
-    w, some = F.col("t.w"), F.col("t.w") != ""
-    shape = F.translate(F.right(w, F.lit(3)), LETTERS, "a" * len(LETTERS))
+    # the words beside those before them; the row that is left over at the end has a null word
+    rows = cut.select(*keep, F.inline(F.arrays_zip(F.col("ws").alias("w"), F.concat(F.array(F.lit("")), F.col("ws")).alias("before"))))
+    w, some = F.col("w"), F.col("w") != ""
+    low = F.lower(w)
     return rows.select(
-        *keep, F.when(some, F.pmod(F.xxhash64(F.lower(w)), F.lit(WORDS))).alias("word"), F.when(some, F.pmod(F.xxhash64(shape), F.lit(SHAPES)) + WORDS).alias("shape"), F.when(some, F.col("t.again")).alias("again")
+        *keep, F.when(some, F.pmod(F.xxhash64(low), F.lit(WORDS))).alias("word"), F.when(some, F.pmod(F.xxhash64(F.substring(low, -3, 3)), F.lit(ENDINGS)) + WORDS).alias("ending"), F.when(some, w == F.col("before")).alias("again")
     )
 
 
@@ -62,8 +61,8 @@ def _sums(df: DataFrame, model: DataFrame, again: list[tuple[float, float]], *ke
     """
     rest = DOMAINS[1:]
     words = model.where(F.col("bucket") < WORDS).select(F.col("bucket").alias("word"), *(F.col(d).alias(f"w_{d}") for d in rest))
-    shapes = model.where(F.col("bucket") >= WORDS).select(F.col("bucket").alias("shape"), *(F.col(d).alias(f"s_{d}") for d in rest))
-    rows = _tokens(df, *keep).join(F.broadcast(words), "word", "left").join(F.broadcast(shapes), "shape", "left")
+    endings = model.where(F.col("bucket") >= WORDS).select(F.col("bucket").alias("ending"), *(F.col(d).alias(f"s_{d}") for d in rest))
+    rows = _tokens(df, *keep).join(F.broadcast(words), "word", "left").join(F.broadcast(endings), "ending", "left")
     repeat = [F.when(F.col("again"), again[1][k]).when(~F.col("again"), again[0][k]).otherwise(0.0) for k in range(len(rest))]
     sums = [F.sum(F.coalesce(f"w_{d}", F.lit(0.0)) + F.coalesce(f"s_{d}", F.lit(0.0)) + repeat[k]).alias(f"__mr_z_{d}") for k, d in enumerate(rest)]
     return rows.groupBy(*keep).agg(F.count("word").alias("__mr_tokens"), *sums)
@@ -101,7 +100,7 @@ def fit_classifier(df: DataFrame, labels: DataFrame, id_col: str, text_col: str,
     once = materialise(once.select("__mr_id", "domain", "__mr_text", half.alias("half")), "mix-labelled")
     rest = range(1, len(DOMAINS))
     rows = _tokens(once.where("half = 0"), "domain").where("word IS NOT NULL")
-    each = rows.select("domain", F.explode(F.array("word", "shape", F.lit(WORDS + SHAPES) + F.col("again").cast("long"))).alias("bucket"))
+    each = rows.select("domain", F.explode(F.array("word", "ending", F.lit(WORDS + ENDINGS) + F.col("again").cast("long"))).alias("bucket"))
     counts = materialise(each.groupBy("bucket").agg(*(F.count_if(F.col("domain") == k).alias(f"c{k}") for k in range(len(DOMAINS)))), "mix-counts")
     n = [float(x or 0) for x in counts.agg(*(F.sum(f"c{k}") for k in range(len(DOMAINS)))).first()]
     floor = rate / max(1.0, sum(n))
@@ -115,8 +114,8 @@ def fit_classifier(df: DataFrame, labels: DataFrame, id_col: str, text_col: str,
         return F.log((F.col(f"c{k}") / n[k] + floor) / (F.col("c0") / n[0] + floor)) * z2 / (z2 + doubt)
 
     model = materialise(counts.select("bucket", *(odds(k).alias(DOMAINS[k]) for k in rest)), "mix-model")
-    found = {r[0]: tuple(r)[1:] for r in model.where(F.col("bucket") >= WORDS + SHAPES).collect()}  # two rows
-    again = [found.get(WORDS + SHAPES + k, (0.0,) * len(rest)) for k in range(2)]
+    found = {r[0]: tuple(r)[1:] for r in model.where(F.col("bucket") >= WORDS + ENDINGS).collect()}  # two rows
+    again = [found.get(WORDS + ENDINGS + k, (0.0,) * len(rest)) for k in range(2)]
 
     other = once.where("half = 1").withColumn("__mr_row", F.monotonically_increasing_id())
     sums = _sums(other, model, again, "__mr_row", "domain").drop("__mr_row").collect()  # at most ``sample`` rows of numbers

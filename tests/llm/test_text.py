@@ -345,12 +345,12 @@ def test_mixing_by_brute_force(judged):
     def features(text):
         words = [w for w in re.split("[ \\t-\\r]+", text) if w]
         same = ([False] + [a == b for a, b in zip(words, words[1:])])[: len(words)]
-        return [("w", w.lower()) for w in words] + [("s", re.sub("[A-Za-z]", "a", w[-3:])) for w in words] + [("r", s) for s in same]
+        return [("w", w.lower()) for w in words] + [("s", w.lower()[-3:]) for w in words] + [("r", s) for s in same]
 
     # different words may share a bucket: the hashes of the words and endings themselves
     texts = [(i, t or "") for i, t in docs.select("doc_id", "text").collect()]
     every = sorted({g for _, t in texts for g in features(t) if g[0] != "r"})
-    sized = spark.createDataFrame(every, "kind string, v string").select("kind", "v", F.pmod(F.xxhash64("v"), F.when(F.col("kind") == "w", M.WORDS).otherwise(M.SHAPES)))
+    sized = spark.createDataFrame(every, "kind string, v string").select("kind", "v", F.pmod(F.xxhash64("v"), F.when(F.col("kind") == "w", M.WORDS).otherwise(M.ENDINGS)))
     place = {(k, v): (k, b) for k, v, b in sized.collect()}
     plain, features = features, lambda text: [place.get(g, g) for g in plain(text)]
     count = [collections.Counter() for _ in range(3)]
