@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,15 +18,37 @@ def normalize(text: Column) -> Column:
     return F.lower(F.array_join(words(text), " "))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once: named columns are put back into lambdas by the optimizer, and computed anew for each element there."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def grams(ws: Column, n: int) -> Column:
     """All runs of ``n`` words, joined by spaces; none where there are fewer words."""
-    runs = F.transform(F.sequence(F.lit(1), F.size(ws) - n + 1), lambda i: F.array_join(F.slice(ws, i, F.lit(n)), " "))
-    return F.when(F.size(ws) >= n, runs).otherwise(F.array().cast("array<string>"))
+
+    def runs(w: Column) -> Column:
+        found = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))
+        return F.when(F.size(w) >= n, found).otherwise(F.array().cast("array<string>"))
+
+    return let(ws, runs)
 
 
 def shingles(ws: Column, n: int = 5) -> Column:
     """Runs of ``n`` words; a shorter text that has words is one shingle."""
-    return F.when(F.size(ws) > n, grams(ws, n)).when(F.size(ws) > 0, F.array(F.array_join(ws, " "))).otherwise(F.array().cast("array<string>"))
+    return let(ws, lambda w: F.when(F.size(w) > n, grams(w, n)).when(F.size(w) > 0, F.array(F.array_join(w, " "))).otherwise(F.array().cast("array<string>")))
+
+
+def run_hashes(ws: Column, n: int, short: bool = False) -> Column:
+    """64-bit hashes of all runs of ``n`` words, from hashes of the words: no string is made per run. With ``short`` a text of at most ``n`` words is one run."""
+
+    def runs(h: Column) -> Column:
+        found = F.transform(F.sequence(F.lit(1), F.size(h) - n + 1), lambda i: F.xxhash64(F.slice(h, i, F.lit(n))))
+        none = F.array().cast("array<bigint>")
+        if not short:
+            return F.when(F.size(h) >= n, found).otherwise(none)
+        return F.when(F.size(h) > n, found).when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(none)
+
+    return let(F.transform(ws, lambda w: F.xxhash64(w)), runs)
 
 
 def md5_int(text: Column, digits: int = 8) -> Column:

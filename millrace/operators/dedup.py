@@ -4,17 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.text import normalize, shingles, words
+from millrace.functions.text import normalize, run_hashes, words
 from millrace.session import materialise
 
 
-def few(df: DataFrame, most: int = 2_000_000) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``most`` rows; else as it is, for a shuffle join."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def few(df: DataFrame, most: int = 64 << 20) -> DataFrame:
+    """``df`` marked for broadcast if its values take at most ``most`` bytes; else as it is, for a shuffle join. ``df`` is read twice: hand in what is written."""
+    sizes = [F.octet_length(f.name) + 16 if f.dataType.typeName() in ("string", "binary") else F.lit(8) for f in df.schema.fields]
+    n = df.agg(F.coalesce(F.sum(sum((F.coalesce(x, F.lit(0)) for x in sizes), F.lit(16))), F.lit(0))).first()[0]
+    return F.broadcast(df) if n <= most else df
 
 
 def exact_dedup(df: DataFrame, group: Column | None = None) -> DataFrame:
@@ -28,40 +32,112 @@ def exact_dedup(df: DataFrame, group: Column | None = None) -> DataFrame:
     return df.join(first.select("doc_id"), "doc_id", "left_semi")
 
 
-def shingle_rows(df: DataFrame) -> DataFrame:
-    """(doc_id, g): the distinct shingles of each document, as 64-bit hashes."""
-    return df.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.explode(shingles(F.col("w"))).alias("s")).select("doc_id", F.xxhash64("s").alias("g")).distinct()
+def exact_dedup_reset(df: DataFrame, group: Column | None = None, reset: int = 2_000_000) -> DataFrame:
+    """As exact_dedup, but what a group has seen is forgotten after every ``reset`` documents kept.
 
+    What is kept depends on what was kept before, so a group is walked through in order of identifier; the
+    state is at most ``reset`` hashes a group, and only identifiers and hashes are dealt and sorted.
+    """
+    slim = df.select((group if group is not None else F.lit("")).alias("grp"), "doc_id", F.unhex(F.md5(normalize(F.col("text")))).alias("key"))
 
-def signatures(df: DataFrame, permutations: int = 64) -> DataFrame:
-    """doc_id and sig, minima of remixed shingle hashes; documents without words have none."""
-    flat = df.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.explode(shingles(F.col("w"))).alias("s")).select("doc_id", F.xxhash64("s").alias("g"))
-    minima = [F.min(F.xxhash64("g", F.lit(k))).alias(f"m{k}") for k in range(permutations)]
-    return flat.groupBy("doc_id").agg(*minima).select("doc_id", F.array(*(f"m{k}" for k in range(permutations))).alias("sig"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, seen = None, set()
+        for batch in batches:
+            kept = []
+            for grp, doc, key in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if grp != current:
+                    current, seen = grp, set()
+                if key in seen:
+                    continue
+                kept.append(doc)
+                seen.add(key)
+                if len(seen) >= reset:
+                    seen.clear()
+            yield pa.record_batch([pa.array(kept, pa.int64())], names=["doc_id"])
+
+    kept = slim.repartition("grp").sortWithinPartitions("grp", "doc_id").mapInArrow(run, "doc_id long")
+    return df.join(kept, "doc_id", "left_semi")
+
+
+def shingle_sets(df: DataFrame) -> DataFrame:
+    """doc_id and h: the distinct hashes of each document's shingles."""
+    cut = df.select("doc_id", words(F.col("text")).alias("w"))
+    return cut.select("doc_id", F.array_distinct(run_hashes(F.col("w"), 5, short=True)).alias("h"))
+
+
+def lsh_bands(threshold: float, permutations: int) -> tuple[int, int]:
+    """(bands, rows) with the least sum of false positives below the threshold and false negatives above it."""
+    s = (np.arange(1000) + 0.5) / 1000
+    best = None
+    for rows in range(1, permutations + 1):
+        for bands in range(1, permutations // rows + 1):
+            caught = 1 - (1 - s**rows) ** bands
+            wrong = np.where(s < threshold, caught, 1 - caught).sum()
+            if best is None or wrong < best[0] - 1e-12:
+                best = wrong, bands, rows
+    return best[1], best[2]
+
+
+_MULTIPLY, _ADD = (np.random.default_rng(11).integers(1, 1 << 62, 1024, dtype=np.uint64) | np.uint64(1) for _ in range(2))
 
 
-def lsh_buckets(df: DataFrame, bands: int = 16, rows: int = 4) -> DataFrame:
-    """(doc_id, bucket): a row per document and band."""
-    signed = signatures(df, bands * rows)
+def signatures(df: DataFrame, permutations: int = 64) -> DataFrame:
+    """doc_id and sig: for each permutation the smallest of the remixed shingle hashes; documents without words have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, a = _MULTIPLY[:permutations, None], _ADD[::-1][:permutations, None]
+        for batch in batches:
+            docs, sigs = [], []
+            for doc, h in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own = h.values.to_numpy().view(np.uint64)
+                low = np.full((permutations, 1), np.uint64((1 << 64) - 1))
+                for k in range(0, len(own), 4096):  # a long text in slices
+                    x = own[None, k : k + 4096] * m + a
+                    low = np.minimum(low, (x ^ (x >> np.uint64(29))).min(1, keepdims=True))
+                docs.append(doc)
+                sigs.append((low[:, 0] >> np.uint64(1)).astype(np.int64))
+            yield pa.record_batch([pa.array(docs, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))], names=["doc_id", "sig"])
+
+    return shingle_sets(df).where(F.size("h") > 0).mapInArrow(run, "doc_id long, sig array<long>")
+
+
+def lsh_buckets(df: DataFrame, threshold: float = 0.85, permutations: int = 64) -> DataFrame:
+    """(doc_id, bucket): a row per document and band, with the bands that suit the threshold."""
+    bands, rows = lsh_bands(threshold, permutations)
+    signed = signatures(df, permutations)
     return signed.select("doc_id", F.explode(F.array(*(F.xxhash64(F.lit(b), F.slice("sig", b * rows + 1, rows)) for b in range(bands)))).alias("bucket"))
 
 
-def lsh_pairs(df: DataFrame, bands: int = 16, rows: int = 4) -> DataFrame:
+def lsh_pairs(df: DataFrame, threshold: float = 0.85, permutations: int = 64) -> DataFrame:
     """(a, b) with a < b for each member of a band bucket and the bucket's smallest member: links, not all pairs."""
-    wide = lsh_buckets(df, bands, rows)
+    wide = materialise(lsh_buckets(df, threshold, permutations), "lsh-buckets")
     heads = wide.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     return wide.join(heads, "bucket").where(F.col("a") < F.col("doc_id")).select("a", F.col("doc_id").alias("b")).distinct()
 
 
-def jaccard(df: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) with the exact Jaccard similarity of their shingle sets."""
+def jaccard(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) with the exact Jaccard similarity of their sets (doc_id, h)."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    flat = shingle_rows(df.join(ids, "doc_id", "left_semi"))
-    size = flat.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    common = pairs.join(flat.toDF("a", "g"), "a").join(flat.toDF("b", "g"), ["b", "g"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
-    both = pairs.join(common, ["a", "b"], "left").join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b")
-    c = F.coalesce("c", F.lit(0))
-    return both.select("a", "b", (c / (F.col("na") + F.col("nb") - c)).alias("similarity"))
+    held = materialise(sets.join(ids, "doc_id", "left_semi"), "pair-sets")
+    both = pairs.join(held.toDF("a", "x"), "a").join(held.toDF("b", "y"), "b")
+    c = F.size(F.array_intersect("x", "y"))
+    return both.select("a", "b", (c / (F.size("x") + F.size("y") - c)).alias("similarity"))
+
+
+def similar_pairs(sets: DataFrame, threshold: float, often: int = 32, most_common: int = 2000) -> DataFrame:
+    """All pairs (a, b), a < b, of sets (doc_id, h) with a Jaccard similarity of at least ``threshold``, by prefix filter.
+
+    Such sets of sizes n share one of the first n - ceil(threshold * n) + 1 elements in any order that holds for
+    all. The order is by hash, with elements of more than ``often`` sets last (the ``most_common`` of them), so that
+    a common passage makes few pairs; it changes nothing in the result.
+    """
+    common = [r[0] for r in sets.select(F.explode("h").alias("g")).groupBy("g").count().where(F.col("count") > often).orderBy(F.desc("count"), "g").limit(most_common).collect()]
+    last = F.array(*(F.lit(x) for x in common)).cast("array<bigint>")
+    ordered = F.concat(F.sort_array(F.array_except("h", last)), F.sort_array(F.array_intersect("h", last))) if common else F.sort_array("h")
+    n = F.size("h")
+    prefix = materialise(sets.where(n > 0).select("doc_id", n.alias("n"), F.explode(F.slice(ordered, F.lit(1), n - F.ceil(n * F.lit(threshold) - F.lit(1e-9)).cast("int") + 1)).alias("g")), "prefixes")
+    pairs = prefix.toDF("a", "na", "g").join(prefix.toDF("b", "nb", "g"), "g").where(f"a < b AND least(na, nb) >= {threshold} * greatest(na, nb)").select("a", "b").distinct()
+    return jaccard(sets, materialise(pairs, "candidate-pairs")).where(F.col("similarity") >= threshold)
 
 
 def first_wins(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -115,3 +191,22 @@ def first_in_buckets(nodes: DataFrame, members: DataFrame, rounds: int = 20, few
         gone = materialise(gone.union(beaten), "first-wins")
         live = shared(live.drop("head").join(kept.union(beaten), "doc_id", "left_anti"))
     return nodes.select("doc_id").join(gone, "doc_id", "left_anti")
+
+
+def cascade(df: DataFrame, bad: DataFrame, group: Column, least: int = 200, threshold: float = 0.85, permutations: int = 64) -> DataFrame:
+    """doc_id, group and reason of every document: too_short, exact_dup, contaminated, near_dup or kept, in groups, by order of doc_id.
+
+    Only kept documents enter what later ones are held against: a contaminated document's copies count as
+    contaminated, and copies of a near duplicate as near duplicates. ``bad``: identifiers of contaminated documents.
+    """
+    marked = df.join(bad.select("doc_id").distinct().withColumn("bad", F.lit(True)), "doc_id", "left").select(
+        "doc_id", group.alias("grp"), "text", F.length("text").alias("n"), F.sha2(normalize(F.col("text")), 256).alias("k"), F.coalesce("bad", F.lit(False)).alias("bad")
+    )
+    open_ = marked.where((F.col("n") >= least) & ~F.col("bad"))
+    first = materialise(open_.groupBy("grp", "k").agg(F.min("doc_id").alias("first")), "firsts")
+    held = open_.join(first.select(F.col("first").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "grp", "text")
+    buckets = materialise(lsh_buckets(held, threshold, permutations).join(held.select("doc_id", "grp"), "doc_id").select("doc_id", F.xxhash64("grp", "bucket").alias("bucket")), "cascade-buckets")
+    kept = first_in_buckets(held, buckets).select(F.col("doc_id").alias("first"), F.lit(True).alias("stays"))
+    of = marked.select("doc_id", "grp", "n", "bad", "k").join(first, ["grp", "k"], "left").join(kept, "first", "left")
+    reason = F.when(F.col("n") < least, "too_short").when(F.col("bad"), "contaminated").when(F.col("stays").isNull(), "near_dup").when(F.col("doc_id") == F.col("first"), "kept").otherwise("exact_dup")
+    return of.select("doc_id", "grp", reason.alias("reason"))

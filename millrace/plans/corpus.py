@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.catalog import query
 from millrace.functions import text as T
 from millrace.functions.stats import r9, wilson_upper
 from millrace.operators import decontam, dedup
+from millrace.session import materialise
 
 WORDS = r"list_filter(regexp_split_to_array({0}, '\s+'), lambda x: x <> '')"
 W = WORDS.format("text")
@@ -110,7 +110,8 @@ def shingles(spark, d):
 
 @query(f"SELECT doc_id, count(*) AS n, count(DISTINCT g) AS n_distinct FROM {grams_sql(13, 'documents', 'doc_id')} GROUP BY doc_id")
 def ngrams_13(spark, d):
-    return decontam.document_grams(table(spark, d, "documents")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("g").alias("n_distinct"))
+    found = decontam.document_ngrams(table(spark, d, "documents")).where(F.size("h") > 0)
+    return found.select("doc_id", F.size("h").cast("long").alias("n"), F.size(F.array_distinct("h")).cast("long").alias("n_distinct"))
 
 
 @query(f"SELECT DISTINCT g FROM {grams_sql(13, 'benchmark', 'item_id')}")
@@ -167,14 +168,14 @@ def classify_documents(spark, d):
 def contam_examples(spark, d):
     docs = table(spark, d, "documents")
     index = decontam.ngram_index(table(spark, d, "benchmark"))
-    met = decontam.document_grams(docs).join(dedup.few(index), "g", "left_semi").groupBy("doc_id").agg(F.min("g").alias("g"), F.countDistinct("g").alias("n"))
+    met = decontam.hits(docs, index).groupBy("doc_id").agg(F.min("g").alias("g"), F.countDistinct("g").alias("n"))
     start = F.expr("greatest(1, locate(split_part(g, ' ', 1), text) - 120)")
     return met.join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "g", "n", F.replace(F.substring(F.col("text"), start, F.lit(440)), F.lit("\n"), F.lit(" ")).alias("excerpt"))
 
 
 @query(f"SELECT count(*) AS n FROM (SELECT g FROM {grams_sql(13, 'documents', 'doc_id')} INTERSECT SELECT g FROM {grams_sql(13, 'benchmark', 'item_id')})")
 def ngram_intersect(spark, d):
-    return decontam.document_grams(table(spark, d, "documents")).select("g").intersect(decontam.ngram_index(table(spark, d, "benchmark"))).agg(F.count(F.lit(1)).alias("n"))
+    return decontam.hits(table(spark, d, "documents"), decontam.ngram_index(table(spark, d, "benchmark"))).agg(F.countDistinct("g").alias("n"))
 
 
 @query(f"SELECT item_id, left(sha256(concat('eval', chr(1), len({W}), chr(1), text)), 16) AS digest FROM benchmark")
@@ -198,26 +199,54 @@ def dedup_counters(spark, d):
     return keyed.join(first, ["source", "k"], "left").groupBy("source", reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source, {NORM} ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1")
+def exact_dedup_reset(spark, d):
+    """With what was seen forgotten after 2,000,000 kept documents of a source."""
+    return dedup.exact_dedup_reset(table(spark, d, "documents"), F.col("source")).select("doc_id", "source")
+
+
 @query()
 def near_dedup_lsh(spark, d):
-    """First of each near group by band collision, exact copies aside: one flag per document."""
-    from millrace.session import materialise
-
+    """First of each near group by band collision at 0.85, exact copies aside: one flag per document."""
     docs = dedup.exact_dedup(table(spark, d, "documents").select("doc_id", "text"))
     buckets = materialise(dedup.lsh_buckets(docs), "lsh-buckets")
     kept = dedup.first_in_buckets(docs, buckets).withColumn("kept", F.lit(True))
     return docs.select("doc_id").join(kept, "doc_id", "left").select("doc_id", F.coalesce("kept", F.lit(False)).alias("kept"))
 
 
+@query()
+def near_cascade(spark, d):
+    """Reason of every document in the cascade with near duplicates, in shared groups of sources."""
+    docs = table(spark, d, "documents").select("doc_id", "source", "text")
+    bad = decontam.contaminated(docs, decontam.ngram_index(table(spark, d, "benchmark")))
+    return dedup.cascade(docs, bad, near_group())
+
+
+@query(
+    """WITH s AS (SELECT (i + 0.5) / 1000 AS s FROM range(1000) t(i)), g AS (SELECT b, r FROM range(1, 65) x(b), range(1, 65) y(r) WHERE b * r <= 64),
+        e AS (SELECT b, r, sum(CASE WHEN s < 0.85 THEN 1 - pow(1 - pow(s, r), b) ELSE pow(1 - pow(s, r), b) END) AS wrong FROM g, s GROUP BY b, r)
+        SELECT b AS bands, r AS rows_a_band, 64 AS permutations FROM e ORDER BY wrong LIMIT 1"""
+)
+def near_thresholds(spark, d):
+    """Bands and rows that the threshold 0.85 takes of 64 permutations."""
+    bands, rows = dedup.lsh_bands(0.85, 64)
+    return table(spark, d, "region").agg(F.lit(bands).alias("bands"), F.lit(rows).alias("rows_a_band"), F.lit(64).alias("permutations"))
+
+
 @query()
 def minhash_estimate(spark, d):
-    """Signature agreement next to the exact similarity for colliding pairs."""
+    """Agreement of 128 minima next to the exact similarity, for all pairs of different texts at 0.85 and more."""
     docs = table(spark, d, "documents").select("doc_id", "text")
-    sig = dedup.signatures(docs)
-    pairs = dedup.jaccard(docs, dedup.lsh_pairs(docs))
-    both = pairs.join(sig.toDF("a", "x"), "a").join(sig.toDF("b", "y"), "b")
+    sets = materialise(dedup.shingle_sets(docs.join(_first_texts(docs), "doc_id", "left_semi")), "shingle-sets")
+    sig = dedup.signatures(docs, 128)
+    both = dedup.similar_pairs(sets, 0.85).join(sig.toDF("a", "x"), "a").join(sig.toDF("b", "y"), "b")
     same = F.size(F.filter(F.zip_with("x", "y", lambda p, q: p == q), lambda e: e))
-    return both.select("a", "b", r9(F.col("similarity")).alias("similarity"), (same / 64.0).alias("estimate"))
+    return both.select("a", "b", r9(F.col("similarity")).alias("similarity"), (same / 128.0).alias("estimate"))
+
+
+def _first_texts(docs):
+    """The smallest identifier of each text, words compared."""
+    return docs.groupBy(F.sha2(F.array_join(T.words(F.col("text")), " "), 256)).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
 
 
 @query(
@@ -228,22 +257,10 @@ def minhash_estimate(spark, d):
         SELECT a, b, round(c / (na + nb - c), 9) AS similarity FROM p WHERE c / (na + nb - c) >= 0.85"""
 )
 def near_dup_pairs(spark, d):
-    """Pairs of different texts with Jaccard of 0.85 and more, by prefix filter: only the rarest shingles meet.
-
-    Sets of similarity t share one of their |s| - ceil(t |s|) + 1 rarest shingles, so common passages
-    never make pairs.
-    """
+    """Pairs of different texts with Jaccard of 0.85 and more; copies of a text are one."""
     docs = table(spark, d, "documents").select("doc_id", "text")
-    first = docs.groupBy(F.sha2(F.array_join(T.words(F.col("text")), " "), 256)).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    docs = docs.join(first, "doc_id", "left_semi")
-    flat = dedup.shingle_rows(docs)
-    common = flat.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-    own = Window.partitionBy("doc_id")
-    ranked = flat.join(common, "g").withColumns({"n": F.count(F.lit(1)).over(own), "r": F.row_number().over(own.orderBy("df", "g"))})
-    rare = ranked.where(F.col("r") <= F.col("n") - F.ceil(0.85 * F.col("n")) + 1).select("doc_id", "n", "g")
-    x, y = rare.toDF("a", "na", "g"), rare.toDF("b", "nb", "g")
-    pairs = x.join(y, "g").where("a < b AND least(na, nb) >= 0.85 * greatest(na, nb)").select("a", "b").distinct()
-    return dedup.jaccard(docs, pairs).select("a", "b", r9(F.col("similarity")).alias("similarity")).where("similarity >= 0.85")
+    sets = materialise(dedup.shingle_sets(docs.join(_first_texts(docs), "doc_id", "left_semi")), "shingle-sets")
+    return dedup.similar_pairs(sets, 0.85).select("a", "b", r9(F.col("similarity")).alias("similarity"))
 
 
 @query(
