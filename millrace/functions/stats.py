@@ -55,3 +55,21 @@ def wsd_lr(step: Column, warmup: int, total: int, decay_fraction: float) -> Colu
     """Warm up, stay, decay to zero: a multiplier of the learning rate."""
     start = int(total * (1 - decay_fraction))
     return F.when(step < warmup, (step + 1) / warmup).when(step < start, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), (total - step) / (total - start)))
+
+
+def masked_logprob(scores: Column, labels: Column, ignore: int = -100) -> Column:
+    """Sum of log-probabilities of the labels: scores (an array per position) are held against the label at the next position; ignored ones add nothing."""
+
+    def one(score: Column, label: Column) -> Column:
+        top = F.array_max(score)
+        total = F.aggregate(score, F.lit(0.0), lambda a, x: a + F.exp(x - top))
+        return F.when(label == ignore, F.lit(0.0)).otherwise(F.get(score, label.cast("int")) - top - F.log(total))
+
+    n = F.size(labels) - 1
+    paired = F.zip_with(F.slice(scores, F.lit(1), n), F.slice(labels, F.lit(2), n), one)
+    return F.aggregate(paired, F.lit(0.0), lambda a, x: a + x)
+
+
+def dpo_loss(margin: Column) -> Column:
+    """-log sigmoid(margin), without overflow."""
+    return F.greatest(-margin, F.lit(0.0)) + F.log1p(F.exp(-F.abs(margin)))

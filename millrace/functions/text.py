@@ -56,9 +56,14 @@ def md5_int(text: Column, digits: int = 8) -> Column:
     return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("long")
 
 
+def word_ids(text: Column, vocabulary: int = 49151) -> Column:
+    """A word-hash tokenizer: one id in 1..vocabulary per word."""
+    return F.transform(words(text), lambda w: (md5_int(w) % vocabulary + 1).cast("int"))
+
+
 def token_ids(text: Column, vocabulary: int = 49151, end_id: int = 0) -> Column:
-    """A word-hash tokenizer: one id in 1..vocabulary per word, then the end id."""
-    return F.concat(F.transform(words(text), lambda w: (md5_int(w) % vocabulary + 1).cast("int")), F.array(F.lit(end_id)))
+    """Word ids, then the end id."""
+    return F.concat(word_ids(text, vocabulary), F.array(F.lit(end_id)))
 
 
 def bracket_cleanup(text: Column) -> Column:

@@ -39,12 +39,13 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.inline(entries))
 
 
-def first_readable(spark: SparkSession, paths: list[str]) -> DataFrame:
+def first_readable(spark: SparkSession, paths: list[str], kind: str = "parquet", schema: str | None = None) -> DataFrame:
     """The first path that can be read; the last error if none can."""
     error: Exception | None = None
     for path in paths:
         try:
-            return spark.read.parquet(path)
+            reader = spark.read.format(kind)
+            return (reader.schema(schema) if schema else reader).load(path)
         except Exception as e:  # each candidate may fail in its own way
             error = e
     raise error or ValueError("no candidates")

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from millrace.functions.text import normalize
@@ -21,6 +22,20 @@ def drain(df: DataFrame, tag: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(df.schema).parquet(out)
 
 
+class Resumable:
+    """A stream of Parquet files with a checkpoint of its own: each ``drain`` takes what has come since the last one."""
+
+    def __init__(self, spark: SparkSession, schema: StructType, path: str, out: str, offsets: str, files: int = 4):
+        self.spark, self.schema, self.path, self.out, self.offsets, self.files = spark, schema, path, out, offsets, files
+
+    def drain(self) -> None:
+        rows = self.spark.readStream.schema(self.schema).option("maxFilesPerTrigger", self.files).parquet(self.path)
+        rows.writeStream.format("parquet").option("path", self.out).option("checkpointLocation", self.offsets).trigger(availableNow=True).start().awaitTermination()
+
+    def result(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.out)
+
+
 def source(spark: SparkSession, sf_dir: str, table: str, files: int = 4) -> DataFrame:
     """A table's files as a stream, at most ``files`` per pass."""
     schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
