@@ -106,7 +106,7 @@ class State(dict):
 
     __slots__ = ("fst", "guesses")
 
-    def __init__(self, fst: Transducer, guesses: tuple):
+    def __init__(self, fst: Transducer, guesses: tuple[int, ...]):
         self.fst, self.guesses = fst, guesses
 
     def __missing__(self, byte: int) -> tuple[State, tuple[int, ...]]:
@@ -117,25 +117,27 @@ class State(dict):
 class Transducer:
     """Reads bytes, emits token ids with its moves; at most ``max_states`` states are kept, then all are made anew.
 
-    A state is the ordered guesses (tokens, node): ``tokens`` are the last token emitted (-1 at the start) and
-    those of the guess that wait for the others to agree, ``node`` is the trie node since its start. The last
-    guess always starts here, at the root; what it waits with comes out where the input ends.
+    A state is the guesses, oldest first, as (chain, node) in one flat tuple: ``node`` is the trie node since the
+    guess's start, ``chain`` the tokens before it that aren't out yet. Chains form trees: a root is the
+    last token emitted (-1 at the start), each other adds a token to its parent. The last guess always starts
+    here, at the root of the trie; what its chain holds comes out where the input ends.
     """
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 120_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 150_000):
         self.merges = Merges(ranks)
         self.max_states = max_states
-        self.states: dict[tuple, State] = {}
-        self.trie: list[dict[int, int]] = [{}]
-        self.ends = [-1]
+        self.states: dict[tuple[int, ...], State] = {}
+        self.edges: dict[int, int] = {}  # node << 8 | byte to node
+        self.ends, self.open = [-1], [True]
         for token, rank in ranks.items():
             node = 0
             for byte in token:
-                nxt = self.trie[node].get(byte)
+                nxt = self.edges.get(node << 8 | byte)
                 if nxt is None:
-                    nxt = self.trie[node][byte] = len(self.trie)
-                    self.trie.append({})
+                    nxt = self.edges[node << 8 | byte] = len(self.ends)
                     self.ends.append(-1)
+                    self.open.append(False)
+                    self.open[node] = True
                 node = nxt
             self.ends[node] = rank
         self._forget()
@@ -144,40 +146,80 @@ class Transducer:
         for state in self.states.values():
             state.clear()  # moves lead in circles; without them the states go at once
         self.states.clear()
-        self.start = self._state((((-1,), 0),))
-
-    def _state(self, guesses: tuple) -> State:
+        self.token, self.parent, self.first = [], [], []  # of each chain; first: the chain of the first token that waits, or -1
+        self.chains: dict[int, int] = {}  # parent + 1 << 20 | token + 1 to chain
+        self.fits: dict[int, bool] = {}  # last token + 1 << 20 | token to whether it may follow
+        self.start = self._state((self._chain(-1, -1), 0))
+
+    def _chain(self, parent: int, token: int) -> int:
+        key = parent + 1 << 20 | token + 1
+        chain = self.chains.get(key)
+        if chain is None:
+            chain = self.chains[key] = len(self.token)
+            self.token.append(token)
+            self.parent.append(parent)
+            self.first.append(-1 if parent < 0 else chain if self.first[parent] < 0 else self.first[parent])
+        return chain
+
+    def _waiting(self, chain: int) -> list[int]:
+        """The tokens of a chain, without the one that is out."""
+        out = []
+        while self.first[chain] >= 0:
+            out.append(self.token[chain])
+            chain = self.parent[chain]
+        return out[::-1]
+
+    def _state(self, guesses: tuple[int, ...]) -> State:
         state = self.states.get(guesses)
         if state is None:
             state = self.states[guesses] = State(self, guesses)
         return state
 
-    def move(self, guesses: tuple, byte: int) -> tuple[State, tuple[int, ...]]:
-        kept, done, short = [], None, 1 << 30
-        trie, ends = self.trie, self.ends
-        for guess in guesses:
-            tokens, node = guess
-            node = trie[node].get(byte)
+    def move(self, guesses: tuple[int, ...], byte: int) -> tuple[State, tuple[int, ...]]:
+        edges, ends, open_, token, fits = self.edges, self.ends, self.open, self.token, self.fits
+        kept: list[int] = []
+        done = -1
+        flat = iter(guesses)
+        for chain, node in zip(flat, flat):
+            node = edges.get(node << 8 | byte)
             if node is None:
                 continue
-            if done is None and ends[node] >= 0 and self.merges.follows(tokens[-1], ends[node]):
-                done = (*tokens, ends[node])
-            if trie[node]:
-                kept.append((tokens, node))
-                if len(tokens) < short:
-                    short = len(tokens)
-        if done is None:
+            if done < 0:
+                end = ends[node]
+                if end >= 0:
+                    key = token[chain] + 1 << 20 | end
+                    fit = fits.get(key)
+                    if fit is None:
+                        fit = fits[key] = self.merges.follows(token[chain], end)
+                    if fit:
+                        done = self._chain(chain, end)
+            if open_[node]:
+                kept += (chain, node)
+        if done < 0:
             raise ValueError("the ranks lack a byte")
-        if not kept:
-            return self._state(((done[-1:], 0),)), done[1:]
-        kept.append((done, 0))
-        # all guesses begin with the last token emitted; what they share beyond it goes out now
-        first, same = kept[0][0], 1
-        while same < short and all(tokens[same] == first[same] for tokens, _ in kept):
+        kept += (done, 0)
+        first = self.first
+        one = first[kept[0]]
+        if one < 0:
+            return self._state(tuple(kept)), ()
+        for k in range(2, len(kept), 2):
+            if first[kept[k]] != one:
+                return self._state(tuple(kept)), ()
+        return self._emit(kept)
+
+    def _emit(self, kept: list[int]) -> tuple[State, tuple[int, ...]]:
+        """The state of these guesses, which wait with the same first token, without the tokens that all wait with, and these tokens."""
+        waiting = [self._waiting(chain) for chain in kept[::2]]
+        first, same, short = waiting[0], 1, min(map(len, waiting))
+        while same < short and all(w[same] == first[same] for w in waiting):
             same += 1
-        if same > 1:
-            kept = [(tokens[same - 1 :], node) for tokens, node in kept]
-        return self._state(tuple(kept)), first[1:same]
+        root = self._chain(-1, first[same - 1])
+        for k, w in enumerate(waiting):
+            chain = root
+            for t in w[same:]:
+                chain = self._chain(chain, t)
+            kept[2 * k] = chain
+        return self._state(tuple(kept)), tuple(first[:same])
 
     def encode(self, data: bytes) -> list[int]:
         """The BPE tokens of one pre-split match."""
@@ -188,8 +230,7 @@ class Transducer:
             state, got = state[byte]
             if got:
                 out += got
-        out += state.guesses[-1][0][1:]
-        return out
+        return out + self._waiting(state.guesses[-2])
 
 
 class Utf8Stream:
@@ -280,7 +321,7 @@ class _Memo(dict):
 class ByteBPE:
     """Encoder and decoder of a rank file, each match of the pattern on its own, without special tokens."""
 
-    def __init__(self, path: str, pattern: str, memo: int = 150_000, states: int = 120_000):
+    def __init__(self, path: str, pattern: str, memo: int = 400_000, states: int = 150_000):
         ranks = load_ranks(path)
         self.pattern = regex.compile(pattern)
         self.memo = _Memo(ranks, memo, states)
@@ -314,7 +355,7 @@ class ByteBPE:
 _LOADED: dict[tuple, ByteBPE] = cache()
 
 
-def loaded(path: str, pattern: str, memo: int = 150_000, states: int = 120_000) -> ByteBPE:
+def loaded(path: str, pattern: str, memo: int = 400_000, states: int = 150_000) -> ByteBPE:
     """One encoder per Python worker, kept between tasks."""
     key = (path, pattern, memo, states)
     if key not in _LOADED:
@@ -325,7 +366,7 @@ def loaded(path: str, pattern: str, memo: int = 150_000, states: int = 120_000)
 
 def encode_documents(
     df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, with_text: bool = False, batch_ids: int = 1 << 19,
-    memo: int = 150_000, states: int = 120_000,
+    memo: int = 400_000, states: int = 150_000,
 ) -> DataFrame:
     """One row per input row: ``id_col``, n_tokens, ids_sha256, decoded_sha256; ``with_ids`` adds ids, ``with_text`` the decoded text.
 

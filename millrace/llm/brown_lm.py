@@ -181,18 +181,24 @@ def exchange(pairs: np.ndarray, classes: int, sweeps: int = 12) -> np.ndarray:
     return cls
 
 
-def _neighbour_counts(units: Units, cls: np.ndarray, classes: int):
-    """(body) -> (h, at, cell, c) of each word in no unit of its own: at is the class of its ending, cell is the class before it, the class after it plus the number of classes, or twice that number where the word follows itself."""
+def _packed(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Binary values: the bytes of ``values`` between each two of ``cuts``."""
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
+
+
+def _neighbour_counts(units: Units, cls: np.ndarray, classes: int, most: int = 1_500_000):
+    """(body) -> (h, at, cells, counts), a row per word in no unit of its own and some ``most`` neighbours: at is the class of its ending; a cell is the class before it, the class after it plus the number of classes, or twice that number where the word follows itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owns("lm")
+        width = 2 * classes + 1
 
         def out(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
             every, own, cell = (np.concatenate(x) for x in zip(*held))
             h, first, at = np.unique(every, return_index=True, return_inverse=True)
-            keys, c = np.unique(at * (2 * classes + 1) + cell, return_counts=True)
-            word = keys // (2 * classes + 1)
-            return pa.record_batch([_signed(h[word]), pa.array(own[first][word].astype(np.int32)), pa.array((keys % (2 * classes + 1)).astype(np.int32)), pa.array(c.astype(np.int64))], names=["h", "at", "cell", "c"])
+            keys, c = np.unique(at * width + cell, return_counts=True)
+            cuts = np.searchsorted(keys, np.arange(len(h) + 1) * width)
+            return pa.record_batch([_signed(h), pa.array(own[first].astype(np.int32)), _packed((keys % width).astype(np.uint16), cuts), _packed(c.astype(np.uint32), cuts)], names=["h", "at", "cells", "counts"])
 
         held, size = [], 0
         for batch in batches:
@@ -202,10 +208,10 @@ def _neighbour_counts(units: Units, cls: np.ndarray, classes: int):
                 of, at = cls[unit], np.flatnonzero(unit > len(units.head))
                 before = np.where(at > 0, found[at - 1], END)
                 same, again = before == found[at], found[at + 1] == found[at]  # a text ends with an end, so there is a next one
-                held.append((found[at], of[at], np.where(same, 2 * classes, np.where(at > 0, of[at - 1], cls[0]))))
-                held.append((found[at[~again]], of[at[~again]], classes + of[at[~again] + 1]))
+                held.append((found[at], of[at].astype(np.int16), np.where(same, 2 * classes, np.where(at > 0, of[at - 1], cls[0])).astype(np.int16)))
+                held.append((found[at[~again]], of[at[~again]].astype(np.int16), (classes + of[at[~again] + 1]).astype(np.int16)))
                 size += 2 * len(at)
-                if size > 3_000_000:
+                if size > most:
                     yield out(held)
                     held, size = [], 0
         if size:
@@ -237,21 +243,42 @@ def likeliest(fwd: np.ndarray, back: np.ndarray, own: np.ndarray, at: np.ndarray
 
 
 def _assign(table: np.ndarray, weight: float):
-    """(h, at, cells, counts) -> (h, k): the class of each word by its neighbours."""
+    """(h, at, cells, counts) in order of h, any number of rows per word -> (h, k): the class of each word by its neighbours."""
     classes = len(table)
+    width = 2 * classes + 1
+
+    def unpacked(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+        """All values, and the row of each."""
+        parts = column.to_pylist()
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // np.dtype(kind).itemsize
+        return np.frombuffer(b"".join(parts), kind), np.repeat(np.arange(len(parts)), sizes)
+
+    def out(h: np.ndarray, at: np.ndarray, full: np.ndarray) -> pa.RecordBatch:
+        k = likeliest(full[:, classes : 2 * classes], full[:, :classes], full[:, -1], at, table, weight)
+        return pa.record_batch([pa.array(h), pa.array(k.astype(np.int32))], names=["h", "k"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owns("lm")
+        last = None  # the word at the end of what was read may go on
         for batch in batches:
-            for lo in range(0, batch.num_rows, 4096):
-                part = batch.slice(lo, 4096)
-                cells, counts = part.column(2), part.column(3)
-                n = len(part)
-                full = np.zeros((n, 2 * classes + 1))
-                word = np.repeat(np.arange(n), np.diff(cells.offsets.to_numpy()))
-                full[word, cells.flatten().to_numpy()] = counts.flatten().to_numpy()
-                k = likeliest(full[:, classes : 2 * classes], full[:, :classes], full[:, -1], part.column(1).to_numpy(), table, weight)
-                yield pa.record_batch([part.column(0), pa.array(k.astype(np.int32))], names=["h", "k"])
+            if not batch.num_rows:
+                continue
+            h, at = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            new = np.concatenate([[True], h[1:] != h[:-1]])
+            word, first = np.cumsum(new) - 1, np.flatnonzero(new)
+            cells, row = unpacked(batch.column(2), np.uint16)
+            counts, _ = unpacked(batch.column(3), np.uint32)
+            full = np.bincount(word[row] * width + cells, weights=counts, minlength=len(first) * width).reshape(len(first), width)
+            h, at = h[first], at[first]
+            if last is not None and last[0][0] == h[0]:
+                full[0] += last[2][0]
+            elif last is not None:
+                yield out(*last)
+            if len(h) > 1:
+                yield out(h[:-1], at[:-1], full[:-1])
+            last = h[-1:].copy(), at[-1:].copy(), full[-1:].copy()
+        if last is not None:
+            yield out(*last)
 
     return run
 
@@ -370,7 +397,7 @@ def _score(uri: str, units: Units, cls: np.ndarray, lift: np.ndarray, all_listed
 
 
 def lm_scores(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, head: int = 1535, groups: int = 512, classes: int = 64, frequent: int = 500_000, mix: float = 0.98, weight: float = 20.0
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, head: int = 1535, groups: int = 512, classes: int = 64, frequent: int = 1_000_000, mix: float = 0.98, weight: float = 20.0
 ) -> DataFrame:
     """One row per input row: ``id_col``, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -406,9 +433,8 @@ def lm_scores(
     # every other training word by its own neighbours; so far it has the class of its ending
     one = np.eye(classes)[cls]
     first = one.T @ pairs @ one
-    near = train.mapInArrow(_neighbour_counts(units, cls, classes), "h long, at int, cell int, c long").repartition("h")
-    near = near.groupBy("h", "cell").agg(F.max("at").alias("at"), F.sum("c").alias("c")).groupBy("h").agg(F.max("at").alias("at"), F.collect_list(F.struct("cell", "c")).alias("g"))
-    assigned = near.select("h", "at", F.col("g.cell").alias("cells"), F.col("g.c").alias("counts")).mapInArrow(_assign(first, weight), "h long, k int")
+    near = train.mapInArrow(_neighbour_counts(units, cls, classes), "h long, at int, cells binary, counts binary")
+    assigned = near.repartition("h").sortWithinPartitions("h").mapInArrow(_assign(first, weight), "h long, k int")
     counts = materialise(counts.join(assigned, "h", "left").select("h", "c", F.coalesce("k", F.lit(-1)).alias("k")), "word-classes")
     uri = shared_path(spark, "frequent-words")
     counts.where(bin_of >= (least if least is not None else 1 << 30)).write.parquet(uri)
