@@ -26,7 +26,7 @@ def query(sql: str | None = None, name: str | None = None):
 def _load() -> None:
     import importlib
 
-    for name in ("corpus", "build", "packing", "chat", "evals", "monitor", "streams"):
+    for name in ("corpus", "build", "models", "packing", "chat", "evals", "monitor", "streams"):
         importlib.import_module(f"millrace.plans.{name}")
 
 

@@ -73,3 +73,75 @@ def masked_logprob(scores: Column, labels: Column, ignore: int = -100) -> Column
 def dpo_loss(margin: Column) -> Column:
     """-log sigmoid(margin), without overflow."""
     return F.greatest(-margin, F.lit(0.0)) + F.log1p(F.exp(-F.abs(margin)))
+
+
+def momentum(step: Column, start: float, end: float, over: int) -> Column:
+    """Linear from start to end, then constant."""
+    return F.lit(start) + (end - start) * F.least(F.lit(1.0), step / over)
+
+
+def decay_start(total: int, decay_fraction: float) -> int:
+    return int(total * (1 - decay_fraction))
+
+
+def steps_until(total: Column, start: int, end: int, over: int) -> Column:
+    """Steps until ``total`` tokens are seen while batches grow from start to end: the ramp is walked once on the driver, what follows is a division."""
+    seen, marks = 0, [0]
+    while seen < over:
+        seen += int(start + (end - start) * min(1.0, seen / over))
+        marks.append(seen)
+    ahead = F.size(F.filter(F.array(*(F.lit(m) for m in marks)), lambda m: m < total))
+    return F.when(total <= marks[-1], ahead).otherwise(len(marks) - 1 + F.ceil((total - marks[-1]) / end)).cast("int")
+
+
+def relative_percent(value: Column, against: Column) -> Column:
+    return 100 * F.abs(value - against) / against
+
+
+def cost(hours: Column, rate: float) -> Column:
+    return hours * rate
+
+
+def backoff(attempt: Column, base: float, most: float) -> Column:
+    """Wait before an attempt: doubled each time, up to a greatest one."""
+    return F.least(base * F.pow(F.lit(2.0), attempt - 1), F.lit(float(most)))
+
+
+def kv_bytes(layers: Column, width: Column) -> Column:
+    """Bytes of keys and values a token, in 16 bits."""
+    return (2 * layers * width * 2).cast("long")
+
+
+def q4_bytes(weights: Column) -> Column:
+    """18 bytes for each 32 weights."""
+    return F.floor(weights * 18 / 32).cast("long")
+
+
+def batch_gb(rows: Column, length: Column, width: Column, vocabulary: Column) -> Column:
+    """Gigabytes of a batch: activations in 16 bits, scores in 32."""
+    return rows * length * (width * 2 + vocabulary * 4) / 1e9
+
+
+def margin(ordered: Column) -> Column:
+    """(second - first) / first of values in ascending order; null with fewer than two."""
+    return F.when(F.size(ordered) >= 2, (F.get(ordered, F.lit(1)) - F.get(ordered, F.lit(0))) / F.get(ordered, F.lit(0)))
+
+
+def lr_choice(explicit: Column, ahead: Column, tie: float = 0.005) -> Column:
+    return F.when(explicit, "explicit").when(ahead < tie, "default").otherwise("swept")
+
+
+def quality_gap(one: Column, two: Column) -> Column:
+    return (two - one) / one
+
+
+def verdict(one: Column, two: Column, floor: float = 0.005) -> Column:
+    gap = quality_gap(one, two)
+    return F.when(one.isNull() | two.isNull(), "unknown").when(F.abs(gap) < floor, "tie").when(two > one, "hybrid").otherwise("escalate")
+
+
+def separation(one: Column, two: Column, sd_one: Column, sd_two: Column) -> Column:
+    """Distance in standard deviations; without any, infinite for different values and 0 for equal ones."""
+    both = F.sqrt(sd_one * sd_one + sd_two * sd_two)
+    return F.when(both > 0, F.abs(one - two) / F.when(both > 0, both)).when(one != two, F.lit(float("inf"))).otherwise(0.0)
+

@@ -73,3 +73,32 @@ def bracket_cleanup(text: Column) -> Column:
 
 def capitalize(text: Column) -> Column:
     return F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substring(text, F.lit(2), F.length(text))))
+
+
+def final_estimate(said: Column) -> Column:
+    """The number after the tool's fixed words, or null."""
+    return F.nullif(F.regexp_extract(said, r"Final estimate: PPL = ([0-9.]+)", 1), F.lit("")).cast("double")
+
+
+def run_name(path: Column) -> Column:
+    """The second part of a path, or a default."""
+    second = F.split_part(path, F.lit("/"), F.lit(2))
+    return F.when(second == "", "run").otherwise(second)
+
+
+def plain_key(key: Column) -> Column:
+    """A weight's name without a compiler's prefix and a parametrisation's suffix."""
+    return F.regexp_replace(F.regexp_replace(key, r"^_orig_mod\.", ""), r"\.original$", "")
+
+
+def parse_pairs(line: Column) -> Column:
+    """KEY=VALUE pairs between commas, as a map."""
+    return F.str_to_map(line, F.lit(","), F.lit("="))
+
+
+def hub_uri(uri: Column) -> Column:
+    """repo, path and rev (main by default) of hub://owner/name/path?rev=...; null with fewer than three parts."""
+    pattern = r"^hub://([^/]+/[^/]+)/([^?]+)(?:\?rev=(.+))?$"
+    rev = F.regexp_extract(uri, pattern, 3)
+    return F.when(F.regexp_like(uri, F.lit(pattern)), F.struct(F.regexp_extract(uri, pattern, 1).alias("repo"), F.regexp_extract(uri, pattern, 2).alias("path"), F.when(rev == "", "main").otherwise(rev).alias("rev")))
+

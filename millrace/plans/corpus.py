@@ -24,6 +24,12 @@ def table(spark, d, name):
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def skip_first(df, n):
+    """``df`` without its first ``n`` rows by doc_id: only the identifiers skipped come together, never the rows that stay."""
+    last = df.select("doc_id").orderBy("doc_id").limit(n).agg(F.max("doc_id").alias("__last"))
+    return df.join(F.broadcast(last), F.col("__last").isNull() | (F.col("doc_id") > F.col("__last"))).drop("__last")
+
+
 @query("SELECT doc_id, source, text FROM documents WHERE text IS NOT NULL AND text <> ''")
 def scan_documents(spark, d):
     return table(spark, d, "documents").select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text")).where("text <> ''")
@@ -41,7 +47,7 @@ def scan_partition_pruned(spark, d):
 def document_stream(spark, d):
     """Filter, non-empty, truncate, skip: the order is part of the meaning."""
     docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").where((F.coalesce("quality", F.lit(0)) >= 1) & (F.col("text") != ""))
-    return docs.select("doc_id", F.substring("text", 1, 5000).alias("text")).orderBy("doc_id").offset(10)
+    return skip_first(docs.select("doc_id", F.substring("text", 1, 5000).alias("text")), 10)
 
 
 @query("SELECT d.doc_id, coalesce(l.quality, 0) AS quality FROM documents d LEFT JOIN labels l USING (doc_id) WHERE coalesce(l.quality, 0) >= 1")
@@ -58,7 +64,7 @@ def truncate_long_docs(spark, d):
 
 @query("SELECT doc_id FROM documents WHERE text <> '' ORDER BY doc_id OFFSET 100")
 def skip_replay(spark, d):
-    return table(spark, d, "documents").where("text <> ''").select("doc_id").orderBy("doc_id").offset(100)
+    return skip_first(table(spark, d, "documents").where("text <> ''").select("doc_id"), 100)
 
 
 @query("SELECT source, count(*) FILTER (length(text) >= 200) AS n_kept, count(*) FILTER (length(text) < 200) AS n_too_short FROM documents GROUP BY source")

@@ -129,89 +129,11 @@ def weighted_bpb(D):
     return f"SELECT round(sum(coalesce(w.weight, 0e0) * nats / (n_bytes * ln(2e0))) / sum(coalesce(w.weight, 0e0)), 9) AS bpb FROM ({bpb(D)}) b LEFT JOIN ({w}) w ON b.source = w.source"
 
 
-RESULTS = "(VALUES ('m1', 'acc', 40e0), ('m1', 'bpb', 0.91e0), ('m2', 'acc', 41e0), ('m2', 'bpb', NULL), ('m3', 'acc', 42e0), ('m3', 'loss', NULL)) AS r(model, metric, value)"
-
-
-@both
-def mean_over_checkpoints(D):
-    return f"SELECT metric, round(avg(value), 9) AS mean FROM {RESULTS} WHERE value IS NOT NULL GROUP BY metric"
-
-
-@both
-def peer_rows(D):
-    return f"SELECT model, max(CASE WHEN metric = 'acc' THEN value END) AS acc, max(CASE WHEN metric = 'bpb' THEN value END) AS bpb FROM {RESULTS} GROUP BY model"
-
-
 @both
 def peer_union(D):
-    return f"SELECT model, 'peer' AS kind, max(value) AS best FROM {RESULTS} WHERE metric = 'acc' GROUP BY model UNION ALL SELECT concat('task', task), 'ours', round(100 * acc, 9) FROM ({accuracy(D)}) a"
-
-
-@both
-def published_match(D):
-    k = "(VALUES (1, 'neo-125m'), (2, '125m'), (3, 'opt-125m')) AS k(o, name)"
-    return f"SELECT slug, coalesce(name, slug) AS name FROM (SELECT s.slug, k.name, row_number() OVER (PARTITION BY s.slug ORDER BY k.o) AS rn FROM (VALUES ('gpt-neo-125m'), ('opt-125m'), ('own')) AS s(slug) LEFT JOIN {k} ON s.slug = k.name OR s.slug LIKE concat('%-', k.name)) m WHERE rn = 1"
-
-
-@both
-def suffix_join(D):
-    k = "(VALUES ('a.parquet', 10), ('x/a.parquet', 20), ('b.parquet', 30)) AS k(name, bytes)"
-    return f"SELECT file, coalesce(bytes, 0) AS bytes FROM (SELECT f.file, k.bytes, row_number() OVER (PARTITION BY f.file ORDER BY CASE WHEN f.file = k.name THEN 0 ELSE 1 END, length(k.name) DESC) AS rn FROM (VALUES ('r/x/a.parquet'), ('b.parquet'), ('c.parquet'), ('y/a.parquet')) AS f(file) LEFT JOIN {k} ON f.file LIKE concat('%', k.name)) m WHERE rn = 1"
-
-
-RUNS = "(VALUES ('hybrid', 0, 1000e0), ('hybrid', 512, 900e0), ('hybrid', 2048, 700e0), ('dense', 0, 900e0), ('dense', 512, 600e0), ('dense', 2048, NULL)) AS r(arm, depth, rate)"
-
-
-@both
-def headline_depth(D):
-    return f"SELECT max(a.depth) AS depth FROM {RUNS.replace('AS r(', 'AS a(')} JOIN {RUNS.replace('AS r(', 'AS b(')} ON a.depth = b.depth WHERE a.arm = 'hybrid' AND b.arm = 'dense' AND a.rate IS NOT NULL AND b.rate IS NOT NULL"
-
-
-@both
-def depth_table(D):
-    return f"SELECT a.depth, a.rate AS hybrid, b.rate AS dense, round(a.rate / b.rate, 9) AS ratio FROM {RUNS.replace('AS r(', 'AS a(')} JOIN {RUNS.replace('AS r(', 'AS b(')} ON a.depth = b.depth WHERE a.arm = 'hybrid' AND b.arm = 'dense' AND b.rate IS NOT NULL"
-
-
-@both
-def apply_paired(D):
-    """Replace a depth's rates only where both arms were measured side by side."""
-    p = "(VALUES ('hybrid', 0, 1010e0), ('dense', 0, 910e0), ('hybrid', 512, 950e0)) AS p(arm, depth, rate)"
-    full = f"SELECT arm, depth, rate FROM (SELECT arm, depth, rate, count(*) OVER (PARTITION BY depth) AS arms FROM {p}) q WHERE arms = 2"
-    return f"SELECT r.arm, r.depth, coalesce(f.rate, r.rate) AS rate FROM {RUNS} LEFT JOIN ({full}) f ON r.arm = f.arm AND r.depth = f.depth"
-
-
-@both
-def bench_stats(D):
-    return f"SELECT arm, {D.even('avg(rate)', 2)} AS mean, CASE WHEN count(rate) > 1 THEN {D.even('stddev_samp(rate)', 2)} END AS sd FROM {RUNS} GROUP BY arm"
-
-
-@both
-def bench_row_select(D):
-    """The row of the wanted length, else the last."""
-    return f"SELECT arm, depth, rate FROM (SELECT *, row_number() OVER (PARTITION BY arm ORDER BY CASE WHEN depth = 512 THEN 0 ELSE 1 END, depth DESC) AS rn FROM {RUNS}) r WHERE rn = 1"
-
-
-@both
-def winner_margin(D):
-    v = "(VALUES ('a', 0.91e0), ('b', 0.92e0), ('c', -1e0), ('d', NULL)) AS v(arm, x)"
-    return f"SELECT CASE WHEN count(*) >= 2 THEN round((max(CASE WHEN r = 2 THEN x END) - max(CASE WHEN r = 1 THEN x END)) / max(CASE WHEN r = 1 THEN x END), 9) END AS margin FROM (SELECT x, row_number() OVER (ORDER BY x) AS r FROM {v} WHERE x > 0) q"
-
-
-@both
-def lr_decision(D):
-    return "SELECT o.name, CASE WHEN m < 0.005e0 THEN 'default' ELSE 'swept' END AS choice FROM (VALUES ('x', 0.0108e0), ('y', 0.004e0)) AS o(name, m)"
-
-
-@both
-def ablation_decision(D):
-    r = "(VALUES ('r1', 0.9104e0, 0.9178e0, 700e0, 420e0, 5e0, 6e0), ('r2', 0.92e0, 0.91e0, 500e0, 499e0, 0e0, 0e0), ('r3', NULL, 0.9e0, 1e0, 1e0, 0e0, 0e0)) AS r(run, hyb, dense, h, d, sh, sd)"
-    sep = "CASE WHEN sh * sh + sd * sd > 0 THEN abs(h - d) / sqrt(sh * sh + sd * sd) WHEN h <> d THEN 1e308 ELSE 0e0 END"
-    return f"SELECT run, round((dense - hyb) / hyb, 9) AS gap, round(h / d, 9) AS ratio, CASE WHEN hyb IS NULL THEN 'unknown' WHEN abs((dense - hyb) / hyb) < 0.005e0 THEN 'tie' WHEN dense > hyb THEN 'hybrid' ELSE 'escalate' END AS verdict, {sep} >= 2 AS separated FROM {r}"
-
-
-@both
-def flatten_runs(D):
-    return f"SELECT arm, CAST(count(*) AS BIGINT) AS depths, max(rate) AS best, min(depth) AS first_depth FROM {RUNS} GROUP BY arm"
+    """Published results of peers beside our own."""
+    peers = "SELECT lower(n.n_name) AS model, 'peer' AS kind, round(max(c.c_acctbal) / 100e0, 9) AS best FROM customer c JOIN nation n ON n.n_nationkey = c.c_nationkey GROUP BY lower(n.n_name)"
+    return f"{peers} UNION ALL SELECT concat('task', task), 'ours', round(100 * acc, 9) FROM ({accuracy(D)}) a"
 
 
 @both

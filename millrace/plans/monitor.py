@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from millrace.catalog import query
 from millrace.plans.dialect import both
 
 
@@ -25,11 +29,30 @@ def records_since_resume(D):
     return f"SELECT run, o, step FROM ({attempts(D)}) a WHERE attempt = last"
 
 
-@both
-def divergence(D):
-    """A loss above twice the mean of up to 20 before it in its attempt; at least 5 are needed."""
-    w = "OVER (PARTITION BY run ORDER BY o ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)"
-    return f"SELECT run, o FROM (SELECT run, o, loss, avg(loss) {w} AS m, count(loss) {w} AS n FROM ({log(D)}) l) x WHERE n >= 5 AND m > 0 AND loss > 2 * m"
+def records(spark, d):
+    """The metrics log with its attempts: a step that goes back begins a new one."""
+    own = Window.partitionBy("run").orderBy("o")
+    k = F.get_json_object("props", "$.k").cast("long")
+    rows = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("run"), F.col("event_id").alias("o"), k.alias("step"), F.col("value").alias("loss"), "ts")
+    back = rows.withColumn("back", F.coalesce((F.col("step") < F.lag("step").over(own)).cast("int"), F.lit(0)))
+    return back.withColumn("attempt", F.sum("back").over(own)).drop("back")
+
+
+ATTEMPTS = """(SELECT run, o, step, loss, sum(back) OVER (PARTITION BY run ORDER BY o) AS attempt FROM
+    (SELECT *, coalesce((step < lag(step) OVER (PARTITION BY run ORDER BY o))::INT, 0) AS back FROM (SELECT user_id AS run, event_id AS o, json_extract_string(props, '$.k')::BIGINT AS step, value AS loss FROM events)))"""
+
+
+@query(
+    f"""SELECT run, o FROM (SELECT run, o, loss, avg(loss) OVER w AS m, count(loss) OVER w AS n FROM {ATTEMPTS} WINDOW w AS (PARTITION BY run, attempt ORDER BY o ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))
+        WHERE isnan(loss) OR isinf(loss) OR (n >= 5 AND m > 0 AND loss > 2 * m)"""
+)
+def divergence(spark, d):
+    """A loss that is no number, or above twice the mean of up to 20 before it in its attempt, of which there must be 5."""
+    before = Window.partitionBy("run", "attempt").orderBy("o").rowsBetween(-20, -1)
+    known = F.when(~F.isnan("loss"), F.col("loss"))
+    rows = records(spark, d).withColumns({"m": F.avg(known).over(before), "n": F.count(known).over(before)})
+    odd = F.isnan("loss") | (F.abs("loss") == float("inf"))
+    return rows.where(odd | ((F.col("n") >= 5) & (F.col("m") > 0) & (F.col("loss") > 2 * F.col("m")))).select("run", "o")
 
 
 @both
@@ -56,14 +79,21 @@ def run_status(D):
     return f"SELECT run, CASE WHEN top >= 99 THEN 'complete' WHEN worst > 300 THEN 'diverged' WHEN n < 5 THEN 'crashed' WHEN n < 8 THEN 'stalled' ELSE 'running' END AS status FROM ({a}) a"
 
 
-@both
-def throughput_guard(D):
-    """Median of the last 8 under 0.9 of the median of the first 15, for three rows on end."""
-    b = f"SELECT run, o, loss, row_number() OVER (PARTITION BY run ORDER BY o) AS r FROM ({log(D)}) l"
-    base = f"SELECT run, median(loss) AS base FROM ({b}) b WHERE r <= 15 GROUP BY run"
-    med = f"SELECT x.run, x.o, x.r, median(y.loss) AS m FROM ({b}) x JOIN ({b}) y ON x.run = y.run AND y.r BETWEEN x.r - 7 AND x.r GROUP BY x.run, x.o, x.r"
-    low = f"SELECT m.run, m.o, m.r, CASE WHEN m.r >= 8 AND m.m < 0.9e0 * c.base THEN 1 ELSE 0 END AS low FROM ({med}) m JOIN ({base}) c ON m.run = c.run"
-    return f"SELECT run, o FROM (SELECT run, o, sum(low) OVER (PARTITION BY run ORDER BY r ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS s FROM ({low}) l) q WHERE s = 3"
+@query(
+    """WITH b AS (SELECT user_id AS run, event_id AS o, value AS loss, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events),
+        m AS (SELECT *, median(loss) OVER (PARTITION BY run ORDER BY r ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS m FROM b),
+        l AS (SELECT m.run, m.o, m.r, (m.r >= 8 AND m.m < 0.9 * c.base)::INT AS low FROM m JOIN (SELECT run, median(loss) AS base FROM b WHERE r <= 15 GROUP BY run) c USING (run))
+        SELECT run, o FROM (SELECT run, o, sum(low) OVER (PARTITION BY run ORDER BY r ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS s FROM l) WHERE s = 3"""
+)
+def throughput_guard(spark, d):
+    """Median of the last 8 under 0.9 of the median of the first 15, for three rows on end: frames of 8 rows, no self-join."""
+    run = Window.partitionBy("run").orderBy("o")
+    rows = records(spark, d).select("run", "o", "loss").withColumns({"r": F.row_number().over(run), "last": F.sort_array(F.collect_list("loss").over(run.rowsBetween(-7, 0)))})
+    n = F.size("last")
+    middle = (F.get("last", F.floor((n - 1) / 2).cast("int")) + F.get("last", F.floor(n / 2).cast("int"))) / 2
+    base = rows.where("r <= 15").groupBy("run").agg(F.median("loss").alias("base"))
+    low = rows.join(base, "run").withColumn("low", ((F.col("r") >= 8) & (middle < 0.9 * F.col("base"))).cast("int"))
+    return low.withColumn("s", F.sum("low").over(run.rowsBetween(-2, 0))).where("s = 3").select("run", "o")
 
 
 # an upload queue: slot = user and kind, staged at event order, size from value
@@ -119,97 +149,3 @@ def furthest_shard_idx(D):
 @both
 def topk_mask(D):
     return "SELECT user_id, event_id, value FROM (SELECT user_id, event_id, value, rank() OVER (PARTITION BY user_id ORDER BY value DESC) AS r FROM events) e WHERE r <= 3"
-
-
-@both
-def schedules(D):
-    t = "(VALUES (0e0), (1e6), (5e6), (1e7), (3e7)) AS t(tokens)"
-    ramp = "greatest(0e0, least(1e0, tokens / 1e7))"
-    seq = f"CAST(greatest(512, least(2048, {D.even(f'(512 + 1536 * {ramp}) / 128')} * 128)) AS BIGINT)"
-    return f"SELECT tokens, {ramp} AS ramp, {seq} AS seq_len, CAST(floor(65536 + 458752 * {ramp}) AS BIGINT) AS batch_tokens, CAST(greatest(1, {D.even(f'(65536 + 458752 * {ramp}) / (16 * {seq})')}) AS BIGINT) AS accum FROM {t}"
-
-
-@both
-def estimate_steps(D):
-    """Steps until the token count is reached while batches grow, for a small budget."""
-    return "WITH RECURSIVE s(step, seen) AS (SELECT 0, CAST(0 AS BIGINT) UNION ALL SELECT step + 1, seen + CAST(floor(65536 + 458752 * least(1e0, seen / 1e7)) AS BIGINT) FROM s WHERE seen < 12000000) SELECT CAST(max(step) AS BIGINT) AS steps FROM s"
-
-
-@both
-def wsd_lr(D):
-    return f"SELECT x.s AS step, round(CASE WHEN s < 10 THEN (s + 1) / 10e0 WHEN s < 80 THEN 1e0 ELSE greatest(0e0, (100 - s) / 20e0) END, 9) AS lr FROM (SELECT 1 AS one) o {D.explode(D.seq('0', '100'), 'x', 's')}".replace("x.s AS step", "CAST(x.s AS BIGINT) AS step")
-
-
-@both
-def wilson_upper(D):
-    t = "(VALUES (0e0, 174932e0), (1e0, 174932e0), (0e0, 0e0), (5e0, 10e0)) AS t(k, n)"
-    up = "(k / n + 3.8416e0 / (2 * n) + 1.96e0 * sqrt(k / n * (1 - k / n) / n + 3.8416e0 / (4 * n * n))) / (1 + 3.8416e0 / n)"
-    return f"SELECT k, n, CASE WHEN n <= 0 THEN 1e0 ELSE round(least(1e0, {up}), 12) END AS upper FROM {t}"
-
-
-@both
-def ppl_delta(D):
-    return "SELECT q, f, round(100 * abs(q - f) / f, 9) AS delta, 100 * abs(q - f) / f < 1 AS ok FROM (VALUES (7.8195e0, 7.6266e0), (8.0052e0, 7.8189e0), (7.63e0, 7.6266e0)) AS t(q, f)"
-
-
-@both
-def parse_ppl(D):
-    return "SELECT CAST(regexp_extract(s, 'Final estimate: PPL = ([0-9.]+)', 1) AS DOUBLE) AS ppl FROM (VALUES ('x Final estimate: PPL = 7.6266 +/- 0.1'), ('Final estimate: PPL = 8.1')) AS t(s)"
-
-
-@both
-def param_count(D):
-    layer = "CASE kind WHEN 'attn' THEN 4 * 768 * 768 ELSE 3 * 768 * 768 + 3 * 768 END + 3 * 768 * 2048 + 2 * 768"
-    return f"SELECT CAST(49152 * 768 + 768 + sum({layer}) AS BIGINT) AS params FROM (VALUES ('conv'), ('conv'), ('attn'), ('conv'), ('attn')) AS t(kind)"
-
-
-@both
-def layer_layout(D):
-    return "SELECT kind, CAST(count(*) AS BIGINT) AS n, min(i) AS first FROM (VALUES (0, 'conv'), (1, 'conv'), (2, 'attn'), (3, 'conv'), (4, 'attn')) AS t(i, kind) GROUP BY kind"
-
-
-@both
-def memory_estimates(D):
-    return "SELECT n, CAST(2 * n * 64 * 2 * 2 AS BIGINT) AS kv_bytes, CAST(n * 18 / 32 AS BIGINT) AS q4_bytes, round(n * 16 / 1e9, 6) AS train_gb FROM (VALUES (3200), (64000), (150016000)) AS t(n)".replace("2 * n * 64 * 2 * 2", "CAST(n AS BIGINT) * 512").replace("n * 18 / 32", "floor(CAST(n AS BIGINT) * 18 / 32)").replace("n * 16 / 1e9", "CAST(n AS BIGINT) * 16 / 1e9")
-
-
-@both
-def run_cost(D):
-    return "SELECT h, round(h * 0.449e0, 9) AS usd FROM (VALUES (91.9e0), (1e0), (0e0)) AS t(h)"
-
-
-@both
-def path_segments(D):
-    return "SELECT p, CASE WHEN split_part(p, '/', 2) = '' THEN 'run' ELSE split_part(p, '/', 2) END AS run, concat(CASE WHEN split_part(p, '/', 2) = '' THEN 'run' ELSE split_part(p, '/', 2) END, '-stable-end-step', '100') AS branch FROM (VALUES ('ckpt/hero/last.pt'), ('last.pt')) AS t(p)"
-
-
-@both
-def rename_keys(D):
-    return "SELECT regexp_replace(regexp_replace(k, '^_orig_mod\\.', ''), '\\.original$', '') AS k FROM (VALUES ('_orig_mod.a.weight'), ('b.weight.original'), ('c')) AS t(k)".replace("\\.", "[.]")
-
-
-@both
-def parse_kv(D):
-    p = D.explode(f"{'split' if D.nan[0] != chr(39) else 'string_split'}(s, ',')", "e", "kv")
-    return f"SELECT split_part(e.kv, '=', 1) AS k, CAST(split_part(e.kv, '=', 2) AS BIGINT) AS v FROM (SELECT 'web=100,code=20,wiki=5' AS s) t {p}"
-
-
-@both
-def parse_hub_uri(D):
-    r = "'^hub://([^/]+/[^/]+)/([^?]+)'"
-    return f"SELECT u, regexp_extract(u, {r}, 1) AS repo, regexp_extract(u, {r}, 2) AS path, CASE WHEN regexp_extract(u, 'rev=(.+)$', 1) = '' THEN 'main' ELSE regexp_extract(u, 'rev=(.+)$', 1) END AS rev FROM (VALUES ('hub://o/n/a/b.pt?rev=x'), ('hub://o/n/c.pt')) AS t(u)"
-
-
-@both
-def missing_required(D):
-    return "SELECT r.name FROM (VALUES ('config.json'), ('model.safetensors'), ('tokenizer.json')) AS r(name) LEFT JOIN (VALUES ('config.json'), ('x.gguf')) AS p(name) ON r.name = p.name WHERE p.name IS NULL"
-
-
-@both
-def dedup_by_name(D):
-    return "SELECT name, dir FROM (SELECT name, dir, row_number() OVER (PARTITION BY name ORDER BY dir) AS rn FROM (VALUES (0, 'a.gguf'), (1, 'a.gguf'), (1, 'b.gguf')) AS t(dir, name)) q WHERE rn = 1"
-
-
-@both
-def backoff_schedule(D):
-    return f"SELECT CAST(x.a AS BIGINT) AS attempt, CAST(least(60 * power(2, a - 1), 900) AS DOUBLE) AS wait FROM (SELECT 1 AS one) o {D.explode(D.seq('1', '10'), 'x', 'a')}"

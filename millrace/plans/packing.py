@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from millrace.catalog import query
+from millrace.functions import text as T
 from millrace.plans.dialect import both
+from millrace.sources.shards import by_bucket, running_sum
 
 # one id per word and an end id (0) per document
 TOK = "SELECT doc_id, source, {size}({words}) + 1 AS n FROM documents"
@@ -12,7 +18,7 @@ def tok(D):
     return TOK.format(size=D.size, words=D.words("text"))
 
 
-def running(D, over="source", block=256):
+def running(D, over="source", block=1 << 16):
     """Documents with lo and hi, the tokens of their source before and after them.
 
     Spark sums blocks of identifiers first and windows within a block, so that no task has to sort
@@ -92,26 +98,51 @@ def mixture_holdout(D):
     return f"SELECT source, CAST(sum(CASE WHEN held THEN tokens ELSE 0 END) AS BIGINT) AS val_tokens, CAST(sum(CASE WHEN held THEN 0 ELSE tokens END) AS BIGINT) AS train_tokens FROM ({held(D)}) x GROUP BY source HAVING count(*) >= 2"
 
 
-@both
-def packed_windows(D):
-    """Windows of 512 every 256 tokens in each shard, and their running start."""
-    return f"""SELECT source, shard, CAST(n AS BIGINT) AS n, CAST(sum(n) OVER (ORDER BY source, shard) - n AS BIGINT) AS lo FROM (SELECT source, shard, greatest(0, floor((tokens - 512) / 256e0) + 1) AS n FROM ({shards(D)}) s) w"""
+SHARDS = f"""(SELECT source, shard, least(2000, total - shard * 2000)::BIGINT AS tokens FROM (SELECT source, total, unnest(range((total + 1999) // 2000)) AS shard FROM
+    (SELECT source, sum(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) + 1)::BIGINT AS total FROM documents GROUP BY source)))"""
+WINDOWS = f"(SELECT source, shard, greatest(0, floor((tokens - 512) / 256.0) + 1)::BIGINT AS n FROM {SHARDS})"
+PLACED = "(SELECT *, sum(n) OVER (ORDER BY source, shard) - n AS lo FROM {0})"
 
 
-def located(D):
-    return f"SELECT source, shard, tokens, sum(tokens) OVER (ORDER BY source, shard) - tokens AS lo, sum(tokens) OVER (ORDER BY source, shard) AS hi FROM ({shards(D)}) s"
+def shard_rows(spark, d):
+    totals = spark.read.parquet(f"{d}/documents.parquet").groupBy("source").agg(F.sum(F.size(T.words(F.col("text"))) + 1).cast("long").alias("total"))
+    cut = totals.withColumn("shard", F.explode(F.sequence(F.lit(0), F.floor((F.col("total") - 1) / 2000))))
+    return cut.select("source", F.col("shard").cast("long").alias("shard"), F.least(F.lit(2000), F.col("total") - F.col("shard") * 2000).cast("long").alias("tokens"))
 
 
-@both
-def window_locate(D):
-    """Window numbers to shards: a range join on running counts skips shards without windows."""
-    w = f"SELECT source, shard, sum(n) OVER (ORDER BY source, shard) - n AS lo, sum(n) OVER (ORDER BY source, shard) AS hi FROM (SELECT source, shard, greatest(0, floor((tokens - 512) / 256e0) + 1) AS n FROM ({shards(D)}) s) w"
-    return f"SELECT q.i, w.source, w.shard, CAST((q.i - w.lo) * 256 AS BIGINT) AS start FROM (SELECT doc_id AS i FROM documents) q JOIN ({w}) w ON q.i >= w.lo AND q.i < w.hi"
+def window_rows(spark, d):
+    """Windows of 512 every 256 tokens in each shard."""
+    return shard_rows(spark, d).select("source", "shard", F.greatest(F.lit(0), F.floor((F.col("tokens") - 512) / 256) + 1).cast("long").alias("n"))
 
 
-@both
-def offset_locate(D):
-    return f"SELECT q.o, l.source, l.shard, CAST(q.o - l.lo AS BIGINT) AS at, CAST(l.hi - q.o AS BIGINT) AS remaining FROM (SELECT doc_id * 997 AS o FROM documents) q LEFT JOIN ({located(D)}) l ON q.o >= l.lo AND q.o < l.hi"
+def placed(rows, value):
+    """``rows`` (source, shard) with lo, the sum of ``value`` before each in order of source and shard: sums of sources first (a row each), then within a source."""
+    sources = rows.groupBy("source").agg(F.sum(value).alias("__all"))
+    before = sources.withColumn("__before", F.coalesce(F.sum("__all").over(Window.orderBy("source").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__all")
+    inside = running_sum(rows, ["source"], "shard", F.col(value))
+    return inside.join(before, "source").withColumn("lo", F.col("lo") + F.col("__before")).drop("__before")
+
+
+@query(f"SELECT source, shard, n, lo::BIGINT AS lo FROM {PLACED.format(WINDOWS)}")
+def packed_windows(spark, d):
+    """Windows of each shard and their running start."""
+    return placed(window_rows(spark, d), "n").select("source", "shard", "n", "lo")
+
+
+@query(f"SELECT doc_id AS i, source, shard, ((doc_id - lo) * 256)::BIGINT AS start FROM documents JOIN {PLACED.format(WINDOWS)} ON doc_id >= lo AND doc_id < lo + n".replace("SELECT doc_id AS i, source,", "SELECT doc_id AS i, w.source AS source,").replace(f"JOIN {PLACED.format(WINDOWS)} ON", f"JOIN {PLACED.format(WINDOWS)} w ON"))
+def window_locate(spark, d):
+    """Window numbers to shards: ranges and numbers meet in coarse buckets; shards without windows are skipped."""
+    ranges = placed(window_rows(spark, d), "n").withColumn("hi", F.col("lo") + F.col("n"))
+    found = by_bucket(ranges, spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("i")), "i", 64)
+    return found.select("i", "source", "shard", ((F.col("i") - F.col("lo")) * 256).alias("start"))
+
+
+@query(f"SELECT doc_id * 997 AS o, l.source AS source, l.shard, (doc_id * 997 - l.lo)::BIGINT AS at, (l.lo + l.n - doc_id * 997)::BIGINT AS remaining FROM documents d LEFT JOIN (SELECT source, shard, n, lo FROM {PLACED.format(f'(SELECT source, shard, tokens AS n FROM {SHARDS})')}) l ON doc_id * 997 >= l.lo AND doc_id * 997 < l.lo + l.n")
+def offset_locate(spark, d):
+    """Token offsets to shards; none beyond the end."""
+    ranges = placed(shard_rows(spark, d), "tokens").withColumn("hi", F.col("lo") + F.col("tokens"))
+    found = by_bucket(ranges, spark.read.parquet(f"{d}/documents.parquet").select((F.col("doc_id") * 997).alias("o")), "o", 2000, how="left")
+    return found.select("o", "source", "shard", (F.col("o") - F.col("lo")).alias("at"), (F.col("hi") - F.col("o")).alias("remaining"))
 
 
 @both
@@ -199,11 +230,6 @@ def source_budgets(D):
     return f"SELECT source, CAST({D.even('weight * 1000001')} AS BIGINT) AS budget FROM ({mixture(D)}) m"
 
 
-@both
-def budget_mixture(D):
-    return "SELECT k AS source, round(b / sum(b) OVER (), 9) AS share FROM (VALUES ('src0', 3e6), ('src1', 1e6), ('src2', 4e6)) AS t(k, b)"
-
-
 @both
 def source_status(D):
     return f"SELECT source, CASE WHEN tokens < 22000 THEN 'exhausted' ELSE 'met' END AS status FROM ({mixture(D)}) m"
@@ -268,9 +294,3 @@ def limit_per_group(D):
 @both
 def union_results(D):
     return "SELECT source, 'docs' AS kind, CAST(count(*) AS BIGINT) AS n FROM documents GROUP BY source UNION ALL SELECT lang, 'langs', CAST(count(*) AS BIGINT) FROM documents GROUP BY lang"
-
-
-@both
-def first_fitting_batch(D):
-    """Largest batch that passes in every configuration: relational division."""
-    return "SELECT max(b) AS batch FROM (SELECT b FROM (VALUES ('a', 8, true), ('a', 16, true), ('a', 32, false), ('b', 8, true), ('b', 16, true), ('b', 32, true)) AS t(c, b, ok) WHERE ok GROUP BY b HAVING count(DISTINCT c) = 2) q"
