@@ -46,9 +46,16 @@ def splitmix64(x):
 
 
 def vector_udf(kernel):
+    """A kernel over vectors as a column: those of one length go through it as one array."""
+
     @F.pandas_udf("array<float>")
     def run(v: pd.Series) -> pd.Series:
-        return v.map(lambda a: None if a is None else kernel(np.asarray(a, np.float32)))
+        out = pd.Series([None] * len(v), index=v.index, dtype=object)
+        sizes = v.map(lambda a: -1 if a is None else len(a))
+        for n, at in sizes.groupby(sizes).groups.items():
+            if n >= 0:
+                out.loc[at] = list(kernel(np.stack(v.loc[at].to_numpy()).astype(np.float32)))
+        return out
 
     return run
 

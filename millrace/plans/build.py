@@ -134,6 +134,60 @@ def task_examples(spark, d):
     return registry.load_tasks(spark, d, TASKS).select("task", "item_id", F.md5(F.concat("ctx", F.array_join("candidates", "|"))).alias("h"), "label")
 
 
+def digests(examples):
+    """(task, digest): which items a task holds, in order: label, number of candidates and first context of each."""
+    piece = F.concat(F.col("label").cast("string"), F.lit("\0"), F.size("candidates").cast("string"), F.lit("\0"), "ctx", F.lit("\x01"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_id", piece.alias("p")))), lambda x: x.p), "")
+    return examples.groupBy("task").agg(F.substring(F.sha2(whole, 256), 1, 16).alias("digest"))
+
+
+DIGESTS = "(SELECT task, left(sha256(string_agg(label || chr(0) || len(candidates) || chr(0) || ctx || chr(1), '' ORDER BY item_id)), 16) AS digest FROM {0} GROUP BY task)"
+
+
+@query(f"SELECT task, digest FROM {DIGESTS.format(EXAMPLES)}")
+def item_digest(spark, d):
+    return digests(registry.load_tasks(spark, d, TASKS))
+
+
+def outcomes(examples, salt):
+    """task and items (1 for right, in order) of a model that stands in for another by its salt."""
+    scored = registry.score_candidates(examples, lambda asked: scorer([(salt + c, k) for c, k in asked]))
+    right = ((F.array_position("scores", F.array_max("scores")) - 1) == F.col("label")).cast("int")
+    return scored.groupBy("task").agg(F.transform(F.array_sort(F.collect_list(F.struct("item_id", right.alias("r")))), lambda x: x.r).alias("items"))
+
+
+PAIRED = """(SELECT task, item_id, (list_position(sa, list_max(sa)) - 1 = label)::INT AS a, (list_position(sb, list_max(sb)) - 1 = label)::INT AS b
+    FROM (SELECT task, item_id, label, list_transform(candidates, lambda k: -(('0x' || substring(md5('a' || ctx || k), 1, 8))::BIGINT % 1000) / 10.0) AS sa,
+                 list_transform(candidates, lambda k: -(('0x' || substring(md5('b' || ctx || k), 1, 8))::BIGINT % 1000) / 10.0) AS sb FROM {0}))"""
+
+
+@query(f"SELECT task, sum((a = 1 AND b = 0)::INT)::BIGINT AS b01, sum((a = 0 AND b = 1)::INT)::BIGINT AS b10, count(*) AS n FROM {PAIRED.format(EXAMPLES)} WHERE task <> 'lettered' GROUP BY task")
+def paired_results(spark, d):
+    """Two models by task and position; a task whose digest or number of items differs is left out (the second saw one item less)."""
+    examples = materialise(registry.load_tasks(spark, d, TASKS), "examples")
+    less = examples.where((F.col("task") != "lettered") | (F.col("item_id") % 3 != 0))
+    sides = [outcomes(x, salt).join(digests(x), "task").select("task", F.col("items").alias(salt), F.col("digest").alias(f"digest_{salt}")) for x, salt in ((examples, "a"), (less, "b"))]
+    both = sides[0].join(sides[1], "task").where((F.col("digest_a") == F.col("digest_b")) & (F.size("a") == F.size("b")))
+    items = both.select("task", F.explode(F.arrays_zip("a", "b")).alias("x")).select("task", "x.a", "x.b")
+    return items.groupBy("task").agg(F.count_if((F.col("a") == 1) & (F.col("b") == 0)).alias("b01"), F.count_if((F.col("a") == 0) & (F.col("b") == 1)).alias("b10"), F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    f"""WITH p AS {PAIRED.format(EXAMPLES)}
+        SELECT '| ' || task || ' | ' || count(*) || ' | ' || printf('%.2f', 100 * avg(a)) || ' | ' || printf('%.2f', 100 * avg(b)) || ' | ' || printf('%+.2f', 100 * (avg(b) - avg(a))) || ' |' AS line FROM p GROUP BY task
+        UNION ALL SELECT '| task | n | a | b | diff |' UNION ALL SELECT '|---|---|---|---|---|'"""
+)
+def report_lines(spark, d):
+    """A table of results in Markdown, written as a file and read back: head, rule, a line per task."""
+    examples = registry.load_tasks(spark, d, TASKS)
+    both = outcomes(examples, "a").withColumnRenamed("items", "a").join(outcomes(examples, "b").withColumnRenamed("items", "b"), "task")
+    mean = lambda c: 100 * F.aggregate(c, F.lit(0.0), lambda x, y: x + y) / F.size(c)
+    rows = both.select("task", F.format_string("| %s | %d | %.2f | %.2f | %+.2f |", "task", F.size("a"), mean("a"), mean("b"), mean("b") - mean("a")).alias("line")).orderBy("task").collect()  # a row per task
+    path = shared_path(spark, "report")
+    write_atomic(path, "report.md", "0", ["\n".join(["| task | n | a | b | diff |", "|---|---|---|---|---|", *(r.line for r in rows)]).encode()])
+    return spark.read.text(f"{path}/report.md").withColumnRenamed("value", "line")
+
+
 def scorer(asked):
     """Stands in for a model: a score from the hash of context and continuation."""
     import hashlib

@@ -184,11 +184,6 @@ def ngram_intersect(spark, d):
     return decontam.hits(table(spark, d, "documents"), decontam.ngram_index(table(spark, d, "benchmark"))).agg(F.countDistinct("g").alias("n"))
 
 
-@query(f"SELECT item_id, left(sha256(concat('eval', chr(1), len({W}), chr(1), text)), 16) AS digest FROM benchmark")
-def item_digest(spark, d):
-    return table(spark, d, "benchmark").select("item_id", F.substring(F.sha2(F.concat_ws("\x01", F.lit("eval"), F.size(T.words(F.col("text"))).cast("string"), F.col("text")), 256), 1, 16).alias("digest"))
-
-
 @query(
     f"""WITH v AS (SELECT doc_id, source, length(text) AS n, {NORM} AS k, doc_id IN {CONTAM} AS bad FROM documents),
         f AS (SELECT source, k, min(doc_id) AS first FROM v WHERE n >= 200 AND NOT bad GROUP BY source, k)

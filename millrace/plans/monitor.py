@@ -42,10 +42,11 @@ ATTEMPTS = """(SELECT run, o, step, loss, sum(back) OVER (PARTITION BY run ORDER
     (SELECT *, coalesce((step < lag(step) OVER (PARTITION BY run ORDER BY o))::INT, 0) AS back FROM (SELECT user_id AS run, event_id AS o, json_extract_string(props, '$.k')::BIGINT AS step, value AS loss FROM events)))"""
 
 
-@query(
-    f"""SELECT run, o FROM (SELECT run, o, loss, avg(loss) OVER w AS m, count(loss) OVER w AS n FROM {ATTEMPTS} WINDOW w AS (PARTITION BY run, attempt ORDER BY o ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))
+DIVERGENCE = f"""SELECT run, o FROM (SELECT run, o, loss, avg(loss) OVER w AS m, count(loss) OVER w AS n FROM {ATTEMPTS} WINDOW w AS (PARTITION BY run, attempt ORDER BY o ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))
         WHERE isnan(loss) OR isinf(loss) OR (n >= 5 AND m > 0 AND loss > 2 * m)"""
-)
+
+
+@query(DIVERGENCE)
 def divergence(spark, d):
     """A loss that is no number, or above twice the mean of up to 20 before it in its attempt, of which there must be 5."""
     before = Window.partitionBy("run", "attempt").orderBy("o").rowsBetween(-20, -1)

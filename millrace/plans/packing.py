@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.catalog import query
 from millrace.functions import text as T
+from millrace.operators.headroom import assess
 from millrace.plans.dialect import both
 from millrace.sources.shards import by_bucket, running_sum
 
@@ -211,7 +212,9 @@ def cap_weights(D):
 
 @both
 def mixture_summary(D):
-    return f"SELECT round(100 * sum(abs(share - weight)), 6) AS skew, round(max(share * 900000e0 / tokens), 6) AS max_epochs FROM ({capped(D)}) c"
+    """Skew, most repetitions, and the source repeated most (the first by name)."""
+    most = f"SELECT source FROM ({capped(D)}) m ORDER BY round(share * 900000e0 / tokens, 6) DESC, source LIMIT 1"
+    return f"SELECT round(100 * sum(abs(share - weight)), 6) AS skew, round(max(share * 900000e0 / tokens), 6) AS max_epochs, max(most.source) AS most_repeated FROM ({capped(D)}) c CROSS JOIN ({most}) most"
 
 
 @both
@@ -235,11 +238,32 @@ def source_status(D):
     return f"SELECT source, CASE WHEN tokens < 22000 THEN 'exhausted' ELSE 'met' END AS status FROM ({mixture(D)}) m"
 
 
-@both
-def source_headroom(D):
-    """Verdict per source from tokens, budget, epochs and the share of files used."""
-    r = f"SELECT source, tokens, 10000e0 + 3000 * (CAST(substring(source, 4) AS INT) % 7) AS budget, 1 + CAST(substring(source, 4) AS INT) % 3 % 2 AS epochs, 0.5e0 + (CAST(substring(source, 4) AS INT) % 4) / 8e0 AS used FROM ({mixture(D)}) m"
-    return f"SELECT source, round(tokens / used, 6) AS reachable, CASE WHEN tokens >= budget THEN 'MET' WHEN epochs > 1 THEN 'SAFE' WHEN used >= 1 THEN 'EXHAUSTED' WHEN tokens = 0 THEN 'UNKNOWN' WHEN tokens / used >= 1.1e0 * budget THEN 'SAFE' ELSE 'AT_RISK' END AS verdict FROM ({r}) r"
+HEADROOM = r"""(WITH f AS (SELECT source, list(strlen(text) ORDER BY doc_id) AS sizes, count(*) AS n, sum(len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''))) FILTER (doc_id % 3 <> 0)::BIGINT AS tokens FROM documents WHERE text IS NOT NULL GROUP BY source),
+    b AS (SELECT 'src' || s_suppkey AS source, (100 * abs(s_acctbal))::BIGINT AS budget FROM supplier WHERE s_suppkey % 4 <> 0),
+    x AS (SELECT source, sizes, n, coalesce(tokens, 0) AS tokens, coalesce(budget, 0) AS budget, least((n * (hash_ % 5) // 4), n) AS furthest, 1 + hash_ % 3 // 2 AS epochs
+          FROM (SELECT f.*, b.budget, ('0x' || substring(md5(source), 1, 8))::BIGINT % 1000 AS hash_ FROM f LEFT JOIN b USING (source))),
+    y AS (SELECT *, greatest(0, budget - tokens) AS needed, CASE WHEN furthest < n THEN list_sum(sizes[1:furthest + 1]) ELSE list_sum(sizes) END AS touched, CASE WHEN furthest < n THEN coalesce(list_sum(sizes[furthest + 2:]), 0) ELSE 0 END AS remaining FROM x),
+    z AS (SELECT *, CASE WHEN tokens > 0 AND touched > 0 THEN floor(tokens / touched * remaining)::BIGINT END AS reachable FROM y)
+    SELECT *, CASE WHEN needed = 0 THEN 'MET' WHEN epochs > 1 THEN 'SAFE' WHEN furthest >= n THEN 'EXHAUSTED' WHEN reachable IS NULL THEN 'UNKNOWN' WHEN reachable >= needed * 1.1 THEN 'SAFE' ELSE 'AT_RISK' END AS verdict FROM z)"""
+
+
+@query(
+    f"""SELECT source, needed, furthest AS consumed, remaining::BIGINT AS remaining, reachable, verdict,
+        verdict || ' ' || furthest || '/' || n || ' ' || CASE WHEN needed > 0 THEN format('{{:,}}', needed) ELSE '-' END || ' ' || coalesce(format('{{:,}}', reachable), '-') || ' '
+        || CASE WHEN needed = 0 THEN 'inf' WHEN reachable IS NULL THEN '-' ELSE format('{{:,}}', round_even(reachable / needed, 0)::BIGINT) || 'x' END AS line FROM {HEADROOM}"""
+)
+def source_headroom(spark, d):
+    """Verdicts of sources whose documents are their files: sizes from the files, budgets where there are any, tokens of what was read."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").where("text IS NOT NULL")
+    words = F.when(F.col("doc_id") % 3 != 0, F.size(T.words(F.col("text"))))
+    files = docs.groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", F.octet_length("text").alias("n")))), lambda x: x.n.cast("long")).alias("sizes"), F.coalesce(F.sum(words), F.lit(0)).alias("tokens"))
+    suppliers = spark.read.parquet(f"{d}/supplier.parquet").where("s_suppkey % 4 <> 0")
+    budgets = suppliers.select(F.concat(F.lit("src"), F.col("s_suppkey").cast("string")).alias("source"), F.round(100 * F.abs("s_acctbal")).cast("long").alias("budget"))
+    h = T.md5_int(F.col("source")) % 1000
+    n = F.size("sizes")
+    joined = files.join(budgets, "source", "left").withColumns({"budget": F.coalesce("budget", F.lit(0)), "at": F.least(F.floor(n * (h % 5) / 4), n), "epochs": 1 + F.floor(h % 3 / 2)})
+    found = joined.select("source", assess(*(F.col(c) for c in ("tokens", "budget", "sizes", "at", "epochs"))).alias("a"))
+    return found.select("source", F.col("a.needed").cast("long").alias("needed"), F.col("a.consumed").cast("long").alias("consumed"), "a.remaining", "a.reachable", "a.verdict", "a.line")
 
 
 @both

@@ -135,9 +135,10 @@ def read_windows(manifests: DataFrame, windows: DataFrame, root: str, size: int,
     """
     ends = running_sum(manifests, ["source"], "shard", F.col("tokens"))
     ranges = ends.select("source", "file", "lo", (F.col("lo") + F.col("tokens")).alias("hi"))
-    # a window meets the shards of every bucket it touches
-    touched = windows.withColumn("point", F.explode(F.sequence(F.col("start"), F.col("start") + F.lit(size - 1), F.lit(width)))).union(windows.withColumn("point", F.col("start") + F.lit(size - 1)))
-    parts = by_bucket(ranges, touched, "point", width, ["source"]).select("source", "start", "file", "lo", "hi").distinct()
+    # windows and shards meet in the coarse buckets that both touch
+    near = ranges.where("hi > lo").withColumn("bucket", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))))
+    asked = windows.select("source", "start").distinct().withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("start") + F.lit(size - 1)) / width))))
+    parts = asked.join(near, ["source", "bucket"]).where((F.col("lo") < F.col("start") + size) & (F.col("hi") > F.col("start"))).select("source", "start", "file", "lo", "hi").distinct()
     schema = pa.schema([("source", pa.string()), ("start", pa.int64()), ("at", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

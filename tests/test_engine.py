@@ -10,9 +10,6 @@ import pytest
 from millrace.catalog import ORACLE_SQL, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SAMPLE = ["decontaminate", "exact_dedup", "dedup_counters", "classify_documents", "near_dup_pairs", "pack_shards", "holdout_split", "cap_weights", "split_documents", "keep_example", "render_chatml", "mcnemar", "divergence", "furthest_shard_idx", "schedules"]
-
-
 def rows(records):
     def norm(v):
         if v is None or v != v:
@@ -22,7 +19,7 @@ def rows(records):
     return sorted(map(repr, (tuple(norm(v) for v in r) for r in records)))
 
 
-@pytest.mark.parametrize("name", SAMPLE)
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_matches_oracle(spark, sf_dir, name):
     con = duckdb.connect()
     for t in TABLES:
@@ -59,18 +56,13 @@ def test_first_wins_is_the_lexicographically_first_independent_set(spark):
     assert sorted(r[0] for r in first_wins(nodes, edges).collect()) == [0, 2, 4]
 
 
-def test_near_dedup_elects_heads_again(spark, tmp_path, monkeypatch):
+def test_near_dedup_elects_heads_again(spark):
     from millrace.operators import dedup
 
     buckets = [(0, 1), (1, 2, 3), (3, 4), (5, 6, 7), (8,)]
-    sig = {d: [10 * d + b for b in range(16)] for d in range(9)}  # one number a band: equal where two share a bucket
-    for k, b in enumerate(buckets):
-        for d in b:
-            sig[d][k] = 1000 + k
-    monkeypatch.setattr(dedup, "signatures", lambda df, n=64: spark.createDataFrame([(d, [x for x in v for _ in range(4)]) for d, v in sig.items()], "doc_id long, sig array<long>"))
-    spark.createDataFrame([(d, f"text {d}") for d in range(9)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    kept = {r.doc_id for r in QUERIES["near_dedup_lsh"](spark, str(tmp_path)).collect() if r.kept}
-    assert kept == {0, 2, 4, 5, 8}
+    rows_ = [(d, k) for k, b in enumerate(buckets) for d in b]
+    kept = dedup.first_in_buckets(spark.range(9).toDF("doc_id"), spark.createDataFrame(rows_, "doc_id long, bucket long"))
+    assert sorted(r[0] for r in kept.collect()) == [0, 2, 4, 5, 8]
 
 
 def test_first_wins_settles_long_chains(spark):
@@ -129,3 +121,229 @@ def test_nothing_outside_imports_the_llm_subpackage():
         for n in names:
             if n.endswith(".py"):
                 assert "millrace.llm" not in open(os.path.join(d, n)).read(), n
+
+
+# ---- golden vectors and brute force ----
+
+
+def one(spark, column):
+    return spark.range(1).select(column.alias("v")).first()["v"]
+
+
+def test_layouts(spark):
+    from pyspark.sql import functions as F
+
+    from millrace.operators.layout import interleaved, is_all_attention
+
+    kinds = lambda n, k: one(spark, interleaved(F.lit(n), F.lit(k)))
+    assert "".join("A" if k == "full_attention" else "c" for k in kinds(18, 6)) == "ccccAccAcAcAcAccAc"
+    for n, k in [(24, 8), (16, 6), (20, 5), (8, 7), (7, 6), (6, 5), (3, 1)]:
+        found = kinds(n, k)
+        assert len(found) == n and found.count("full_attention") == k and (n <= 6 or k > n - 2 or "full_attention" not in found[:2])
+    assert kinds(24, 24) == ["full_attention"] * 24
+    assert one(spark, is_all_attention(interleaved(F.lit(5), F.lit(5)))) and not one(spark, is_all_attention(interleaved(F.lit(5), F.lit(2))))
+
+
+@pytest.mark.parametrize(
+    "tokens, budget, sizes, at, epochs, verdict, reachable, consumed",
+    [
+        (500, 10_000, [1000, 1000], 0, 1, "AT_RISK", 500, 0),
+        (200, 300, [100, 100, 105], 1, 1, "AT_RISK", 105, 1),
+        (100, 200, [100, 1000], 0, 1, "SAFE", 1000, 0),
+        (0, 1000, [100, 100], None, 1, "UNKNOWN", None, 0),
+        (10, 1000, [100], 99, 1, "EXHAUSTED", 0, 1),
+        (10, 0, [100], 0, 1, "MET", 0, 0),
+        (10, 1000, [100], 0, 20, "SAFE", 0, 0),
+        (2000, 1000, [100, 100], 1, 1, "MET", 0, 1),
+    ],
+)
+def test_headroom(spark, tokens, budget, sizes, at, epochs, verdict, reachable, consumed):
+    from pyspark.sql import functions as F
+
+    from millrace.operators.headroom import assess
+
+    found = one(spark, assess(F.lit(tokens), F.lit(budget), F.array(*map(F.lit, sizes)), F.lit(at).cast("int"), F.lit(epochs)))
+    assert (found.verdict, found.reachable, found.consumed) == (verdict, reachable, consumed)
+
+
+def test_chain_of_thought_markers_as_published(spark, tmp_path):
+    said = ["Step 1: do it", "reasoning: because", "Let me work through it", "go step by step", "First, let me see", "<THINK>x", "plain", "Step 1. Do it"]
+    rows_ = [(i, 0, "user", "step 1: is mine") for i in range(8)] + [(i, 1, "assistant", s) for i, s in enumerate(said)] + [(8, 0, "assistant", "  "), (9, 0, "assistant", "x" * 1201)]
+    spark.createDataFrame(rows_, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    marked = {r.conv_id for r in QUERIES["cot_filter"](spark, str(tmp_path)).collect() if r.has_marker}
+    assert marked == {0, 1, 2, 5, 7}
+    assert {r.conv_id for r in QUERIES["keep_example"](spark, str(tmp_path)).collect() if r.keep} == {3, 4, 6}
+    pairs = {(r.chosen, r.rejected) for r in QUERIES["preference_pairs"](spark, str(tmp_path)).collect()}
+    assert pairs == {(0, 1), (2, 3), (4, 5), (6, 7)}  # markers don't matter for preferences; 8 is blank
+
+
+def test_masked_logprob(spark):
+    import math
+
+    from pyspark.sql import functions as F
+
+    from millrace.functions.stats import dpo_loss, masked_logprob
+
+    scores = F.array(*(F.array(*map(F.lit, row)) for row in ([0.0, 1.0], [2.0, 2.0], [9.0, 9.0])))
+    got = one(spark, masked_logprob(scores, F.array(*map(F.lit, (1, 1, -100)))))
+    assert got == pytest.approx(1.0 - math.log(1 + math.e))  # the scores at a place go with the label at the next; the last scores with none
+    assert one(spark, masked_logprob(scores, F.array(*map(F.lit, (1, -100, -100))))) == 0
+    assert one(spark, dpo_loss(F.lit(0.0))) == pytest.approx(math.log(2)) and one(spark, dpo_loss(F.lit(-1000.0))) == pytest.approx(1000)
+
+
+def test_divergence_is_judged_within_an_attempt(spark, tmp_path):
+    import datetime
+
+    steps = list(range(1, 11)) + list(range(1, 9))
+    losses = [3.0] * 9 + [3.5] + [9.0] * 7 + [42.0]  # a restart at step 1 with its high loss is none
+    ts = datetime.datetime(2024, 1, 1)
+    rows_ = [(k, ts, 7, "e", v, json.dumps({"k": s})) for k, (s, v) in enumerate(zip(steps, losses))] + [(100, ts, 8, "e", float("nan"), json.dumps({"k": 1}))]
+    spark.createDataFrame(rows_, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    for name in ("divergence", "divergence_stream"):
+        assert sorted((r.run, r.o) for r in QUERIES[name](spark, str(tmp_path)).collect()) == [(7, 17), (8, 100)]
+
+
+def test_exact_dedup_forgets_after_so_many_kept(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from millrace.operators.dedup import exact_dedup_reset
+
+    rng = random.Random(4)
+    rows_ = [(i, f"Text  {rng.randrange(12)}", f"s{rng.randrange(2)}") for i in range(200)]
+    for reset in (3, 7, 1000):
+        want, seen = [], {}
+        for i, t, g in rows_:
+            own = seen.setdefault(g, set())
+            if t not in own:
+                want.append(i)
+                own.add(t)
+                if len(own) >= reset:
+                    own.clear()
+        found = exact_dedup_reset(spark.createDataFrame(rows_, "doc_id long, text string, g string"), F.col("g"), reset)
+        assert sorted(r.doc_id for r in found.collect()) == want
+
+
+def test_cascade_by_walking_through(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from millrace.operators.dedup import cascade, lsh_buckets
+
+    rng = random.Random(6)
+    base = [[f"w{rng.randrange(500)}" for _ in range(120)] for _ in range(6)]
+    rows_ = []
+    for i in range(120):
+        words = list(base[rng.randrange(6)])
+        for _ in range(rng.choice([0, 0, 1, 2, 30])):
+            words[rng.randrange(120)] = f"v{rng.randrange(10_000)}"
+        rows_.append((i, " ".join(words) if rng.random() < 0.95 else "short", f"s{i % 2}"))
+    rows_[7:9] = [(7, rows_[5][1], "s1"), (8, rows_[6][1].upper(), "s0")]
+    df = spark.createDataFrame(rows_, "doc_id long, text string, g string")
+    bad = spark.createDataFrame([(11,), (40,)], "doc_id long")
+    buckets = {}
+    for r in lsh_buckets(df).collect():
+        buckets.setdefault(r.doc_id, set()).add(r.bucket)
+    want, exact, taken = {}, set(), set()
+    for i, t, g in rows_:
+        key = (g, " ".join(t.split()).lower())
+        own = {(g, b) for b in buckets.get(i, ())}
+        if len(t) < 200:
+            want[i] = "too_short"
+        elif key in exact:
+            want[i] = "exact_dup"
+        elif i in (11, 40):
+            want[i] = "contaminated"
+        elif own & taken:
+            want[i] = "near_dup"
+        else:
+            want[i] = "kept"
+            exact.add(key)
+            taken |= own
+    found = {r.doc_id: r.reason for r in cascade(df, bad, F.col("g")).collect()}
+    assert found == want and len(set(want.values())) == 5
+
+
+def test_minhash_agreement_follows_similarity(spark):
+    from millrace.operators.dedup import jaccard, lsh_bands, shingle_sets, signatures
+
+    words = [f"w{k}" for k in range(2000)]
+    df = spark.createDataFrame([(0, " ".join(words)), (1, " ".join(words[:1800])), (2, " ".join(words[1000:])), (3, ""), (4, "a b")], "doc_id long, text string")
+    sig = {r.doc_id: r.sig for r in signatures(df, 512).collect()}
+    assert set(sig) == {0, 1, 2, 4}
+    exact = {(r.a, r.b): r.similarity for r in jaccard(shingle_sets(df), spark.createDataFrame([(0, 1), (0, 2), (1, 2)], "a long, b long")).collect()}
+    for (a, b), s in exact.items():
+        assert abs(sum(x == y for x, y in zip(sig[a], sig[b])) / 512 - s) < 0.09
+    bands, per = lsh_bands(0.85, 64)
+    assert 0.8 < (1 / bands) ** (1 / per) < 0.93
+
+
+def test_words_of_lambdas_are_computed_once(spark):
+    from pyspark.sql import functions as F
+
+    from millrace.functions.text import grams, run_hashes, shingles, words
+
+    text = " ".join(f"w{k}" for k in range(30_000))  # per element, this would take minutes
+    row = spark.createDataFrame([(text,)], "t string").select(words(F.col("t")).alias("w")).select(F.size(grams(F.col("w"), 13)).alias("g"), F.size(shingles(F.col("w"))).alias("s"), F.size(run_hashes(F.col("w"), 13)).alias("h")).first()
+    assert tuple(row) == (30_000 - 12, 30_000 - 4, 30_000 - 12)
+
+
+def test_shards_by_hand(spark, tmp_path):
+    import numpy as np
+
+    from millrace.sources import shards
+
+    root = "file://" + str(tmp_path)
+    tokens = spark.createDataFrame([("a", 1, list(range(1, 10)) + [0]), ("a", 2, list(range(11, 25)) + [0]), ("b", 3, [7, 0]), ("a", 9, [])], "source string, doc_id long, ids array<int>")
+    written = sorted((r.source, r.shard, r.tokens) for r in shards.write_shards(tokens, root, 10).collect())
+    assert written == [("a", 0, 10), ("a", 1, 10), ("a", 2, 5), ("b", 0, 2)]
+    whole = np.concatenate([np.fromfile(tmp_path / "a" / f"shard_0000{k}.bin", "<u2") for k in range(3)]).tolist()
+    assert whole == [*range(1, 10), 0, *range(11, 25), 0]
+    shards.write_manifests(shards.write_shards(tokens, root, 10), root).collect()
+    manifests = shards.read_manifests(spark, root)
+    starts = spark.createDataFrame([("a", 0), ("a", 8), ("a", 19), ("a", 24), ("b", 1)], "source string, start long")
+    found = {(r.source, r.start): r.ids for r in shards.read_windows(manifests, starts, root, 4, 10).collect()}
+    assert found == {("a", s): whole[s : s + 4] for s in (0, 8, 19, 24)} | {("b", 1): [0]}
+    (tmp_path / "a" / "shard_00001.bin").write_bytes(b"\0\0")
+    with pytest.raises(Exception, match="holds 1 tokens"):
+        shards.scan_shards(spark, root, manifests).collect()
+
+
+def test_muted_sink():
+    from millrace.streaming.monitors import MutedSink
+
+    now, sent = [0.0], []
+
+    def send(batch):
+        if batch < 0:
+            raise OSError("down")
+        sent.append(batch)
+
+    sink = MutedSink(send, mute=600, most=3, clock=lambda: now[0])
+    for at, batch in ((0, 1), (1, -1), (2, 2), (602, 3), (603, -1), (1300, -1), (2000, -1), (3000, 4)):
+        now[0] = at
+        sink(batch)
+    assert sent == [1, 3] and sink.dropped == 6 and sink.failures == 3
+
+
+def test_budgets_are_checked(spark):
+    from millrace.operators.results import budget_shares
+
+    have = spark.createDataFrame([("a", 3.0), ("b", 1.0), ("c", -1.0)], "source string, budget double")
+    assert {r.source: r.share for r in budget_shares(have, ["a", "b"]).collect()} == {"a": 0.75, "b": 0.25}
+    for listed in ([], ["a", "x"], ["a", "c"]):
+        with pytest.raises(ValueError):
+            budget_shares(have, listed)
+
+
+def test_scratch_removes_what_was_written(spark):
+    from millrace.session import materialise, scratch, shared_dir
+
+    root = shared_dir(spark).removeprefix("file:").replace("//", "/")
+    before = set(os.listdir(root))
+    with scratch(spark):
+        assert materialise(spark.range(3), "scratch-test").count() == 3
+        assert set(os.listdir(root)) - before
+    assert set(os.listdir(root)) == before
