@@ -123,7 +123,7 @@ class Transducer:
     here, at the root of the trie; what its chain holds comes out where the input ends.
     """
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 150_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 450_000):
         self.merges = Merges(ranks)
         self.max_states = max_states
         self.states: dict[tuple[int, ...], State] = {}
@@ -146,7 +146,7 @@ class Transducer:
         for state in self.states.values():
             state.clear()  # moves lead in circles; without them the states go at once
         self.states.clear()
-        self.token, self.parent, self.first = [], [], []  # of each chain; first: the chain of the first token that waits, or -1
+        self.token, self.parent, self.first, self.rest = [], [], [], []  # of each chain; first: the chain of the first token that waits, or -1; rest: see _rest
         self.chains: dict[int, int] = {}  # parent + 1 << 20 | token + 1 to chain
         self.fits: dict[int, bool] = {}  # last token + 1 << 20 | token to whether it may follow
         self.start = self._state((self._chain(-1, -1), 0))
@@ -158,6 +158,7 @@ class Transducer:
             chain = self.chains[key] = len(self.token)
             self.token.append(token)
             self.parent.append(parent)
+            self.rest.append(-1)
             self.first.append(-1 if parent < 0 else chain if self.first[parent] < 0 else self.first[parent])
         return chain
 
@@ -198,28 +199,24 @@ class Transducer:
         if done < 0:
             raise ValueError("the ranks lack a byte")
         kept += (done, 0)
-        first = self.first
-        one = first[kept[0]]
-        if one < 0:
-            return self._state(tuple(kept)), ()
-        for k in range(2, len(kept), 2):
-            if first[kept[k]] != one:
-                return self._state(tuple(kept)), ()
-        return self._emit(kept)
-
-    def _emit(self, kept: list[int]) -> tuple[State, tuple[int, ...]]:
-        """The state of these guesses, which wait with the same first token, without the tokens that all wait with, and these tokens."""
-        waiting = [self._waiting(chain) for chain in kept[::2]]
-        first, same, short = waiting[0], 1, min(map(len, waiting))
-        while same < short and all(w[same] == first[same] for w in waiting):
-            same += 1
-        root = self._chain(-1, first[same - 1])
-        for k, w in enumerate(waiting):
-            chain = root
-            for t in w[same:]:
-                chain = self._chain(chain, t)
-            kept[2 * k] = chain
-        return self._state(tuple(kept)), tuple(first[:same])
+        # the first token that waits goes out with this move where all guesses wait with the same
+        first, out = self.first, ()
+        while (one := first[kept[0]]) >= 0:
+            for k in range(2, len(kept), 2):
+                if first[kept[k]] != one:
+                    return self._state(tuple(kept)), out
+            out += (token[one],)
+            for k in range(0, len(kept), 2):
+                kept[k] = self._rest(kept[k])
+        return self._state(tuple(kept)), out
+
+    def _rest(self, chain: int) -> int:
+        """The chain without the first token that waits, which is then the last one emitted."""
+        found = self.rest[chain]
+        if found < 0:
+            one = self.first[chain]
+            found = self.rest[chain] = self._chain(-1, self.token[one]) if chain == one else self._chain(self._rest(self.parent[chain]), self.token[chain])
+        return found
 
     def encode(self, data: bytes) -> list[int]:
         """The BPE tokens of one pre-split match."""
@@ -238,11 +235,13 @@ class Utf8Stream:
 
     The state is the bytes of a character begun. A byte either goes on with it, ends it, or shows that
     it was none: then one U+FFFD stands for it and the byte starts anew. ``by_token`` keeps, per state,
-    the text and the next state of a token; several streams may share it.
+    the text and the next state of a token, ``whole`` the text of those that leave nothing open; several streams may
+    share them.
     """
 
-    def __init__(self, bytes_of: dict[int, bytes] | None = None, by_token: dict[bytes, dict[int, tuple[bytes, str]]] | None = None):
-        self.bytes_of, self.by_token, self.held = bytes_of or {}, {b"": {}} if by_token is None else by_token, b""
+    def __init__(self, bytes_of: dict[int, bytes] | None = None, by_token: dict[bytes, dict[int, tuple[bytes, str]]] | None = None, whole: dict[int, str] | None = None):
+        self.bytes_of, self.held = bytes_of or {}, b""
+        self.by_token, self.whole = {} if by_token is None else by_token, {} if whole is None else whole
 
     @staticmethod
     def _more(held: bytes) -> tuple[int, int, int]:
@@ -279,13 +278,19 @@ class Utf8Stream:
         self.held, text = self._walk(self.held, data)
         return text
 
-    def feed_tokens(self, ids: Iterable[int]) -> str:
+    def feed_tokens(self, ids: list[int]) -> str:
+        if not self.held:
+            whole = list(map(self.whole.get, ids))  # moves from the empty state to itself
+            if None not in whole:
+                return "".join(whole)
         held, table, out = self.held, self.by_token, []
         moves = table.setdefault(held, {})
         for token in ids:
             move = moves.get(token)
             if move is None:
                 move = moves[token] = self._walk(held, self.bytes_of[token])
+                if not held and not move[0]:
+                    self.whole[token] = move[1]
             out.append(move[1])
             if move[0] != held:
                 held = move[0]
@@ -321,16 +326,17 @@ class _Memo(dict):
 class ByteBPE:
     """Encoder and decoder of a rank file, each match of the pattern on its own, without special tokens."""
 
-    def __init__(self, path: str, pattern: str, memo: int = 400_000, states: int = 150_000):
+    def __init__(self, path: str, pattern: str, memo: int = 400_000, states: int = 450_000):
         ranks = load_ranks(path)
         self.pattern = regex.compile(pattern)
         self.memo = _Memo(ranks, memo, states)
         self.bytes_of = {r: t for t, r in ranks.items()}
         self.by_token: dict[bytes, dict[int, tuple[bytes, str]]] = {}
+        self.whole: dict[int, str] = {}
 
     def decoder(self) -> Utf8Stream:
         """A new stream of tokens to text; the machine's moves are shared."""
-        return Utf8Stream(self.bytes_of, self.by_token)
+        return Utf8Stream(self.bytes_of, self.by_token, self.whole)
 
     def encode_slabs(self, text: str, matches: int = 200_000) -> Iterator[list[int]]:
         """Ids of a whole text, some 200,000 matches at a time, so that one long text is never held as one list."""
@@ -355,7 +361,7 @@ class ByteBPE:
 _LOADED: dict[tuple, ByteBPE] = cache()
 
 
-def loaded(path: str, pattern: str, memo: int = 400_000, states: int = 150_000) -> ByteBPE:
+def loaded(path: str, pattern: str, memo: int = 400_000, states: int = 450_000) -> ByteBPE:
     """One encoder per Python worker, kept between tasks."""
     key = (path, pattern, memo, states)
     if key not in _LOADED:
@@ -366,7 +372,7 @@ def loaded(path: str, pattern: str, memo: int = 400_000, states: int = 150_000)
 
 def encode_documents(
     df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, with_text: bool = False, batch_ids: int = 1 << 19,
-    memo: int = 400_000, states: int = 150_000,
+    memo: int = 400_000, states: int = 450_000,
 ) -> DataFrame:
     """One row per input row: ``id_col``, n_tokens, ids_sha256, decoded_sha256; ``with_ids`` adds ids, ``with_text`` the decoded text.
 
