@@ -230,6 +230,14 @@ class Transducer:
         return out + self._waiting(state.guesses[-2])
 
 
+def _index(values: list, value: object, start: int) -> int:
+    """Where the value next stands, or -1."""
+    try:
+        return values.index(value, start)
+    except ValueError:
+        return -1
+
+
 class Utf8Stream:
     """Incremental UTF-8 after RFC 3629, fed with bytes or with tokens: what is complete comes out at once, bad bytes become U+FFFD.
 
@@ -279,24 +287,25 @@ class Utf8Stream:
         return text
 
     def feed_tokens(self, ids: list[int]) -> str:
-        if not self.held:
-            whole = list(map(self.whole.get, ids))  # moves from the empty state to itself
-            if None not in whole:
-                return "".join(whole)
-        held, table, out = self.held, self.by_token, []
-        moves = table.setdefault(held, {})
-        for token in ids:
-            move = moves.get(token)
-            if move is None:
-                move = moves[token] = self._walk(held, self.bytes_of[token])
-                if not held and not move[0]:
-                    self.whole[token] = move[1]
-            out.append(move[1])
-            if move[0] != held:
+        texts, at, n = list(map(self.whole.get, ids)), 0, len(ids)  # tokens that leave nothing open, from the empty state
+        if self.held:
+            texts[:1] = [None] * min(n, 1)
+        while (at := _index(texts, None, at)) >= 0:
+            held = self.held
+            while at < n:
+                token, moves = ids[at], self.by_token.setdefault(held, {})
+                move = moves.get(token)
+                if move is None:
+                    move = moves[token] = self._walk(held, self.bytes_of[token])
+                    if not held and not move[0]:
+                        self.whole[token] = move[1]
+                texts[at] = move[1]
                 held = move[0]
-                moves = table.setdefault(held, {})
-        self.held = held
-        return "".join(out)
+                at += 1
+                if not held:
+                    break
+            self.held = held
+        return "".join(texts)
 
     def finish(self) -> str:
         rest, self.held = self.held, b""

@@ -275,7 +275,7 @@ def _grouped(df: DataFrame, id_col: str, text_col: str, hundredths: int, shingle
     known = classes.select("id", "n", "registers")
 
     def sized(pairs: DataFrame) -> DataFrame:
-        centers = materialise(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("pairs")).join(known.toDF("a", "n_a", "ra"), "a"), "centers")
+        centers = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("pairs")).join(known.toDF("a", "n_a", "ra"), "a")
         return (
             lookup_join(pairs, centers, "a", "pairs", total)
             .join(known.toDF("b", "n_b", "rb"), "b")
@@ -300,7 +300,7 @@ def _grouped(df: DataFrame, id_col: str, text_col: str, hundredths: int, shingle
     labelled = member.where("size > 2").join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component")).join(classes.select("id", "n"), "id")
     open_ = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("all")).where("lo < hi")
     parts = F.greatest(F.ceil(F.col("size") / F.lit(block)), F.ceil(F.col("all") / F.lit(block * 2000))).cast("int")
-    rest = materialise(labelled.drop("n").join(open_.select("bucket", parts.alias("parts")), "bucket"), "open-members")
+    rest = materialise(lookup_join(labelled.drop("n"), open_.select("bucket", "size", parts.alias("parts")), "bucket", "size", total).drop("size"), "open-members")
     own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j"), (F.col("own") > k).cast("int").alias("side")))
     full = rest.withColumn("own", own).join(known, "id").join(sets_of(rest.select("id")), "id").withColumn("band", F.pmod("bucket", F.lit(BANDS)).cast("int"))

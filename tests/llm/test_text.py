@@ -51,6 +51,32 @@ def test_streaming_decode_at_every_cut():
             assert s.feed(data[:cut]) + s.feed(data[cut:]) + s.finish() == data.decode("utf-8", "replace")
 
 
+def test_streaming_decode_of_tokens():
+    from millrace.llm.bpe_fst import loaded
+
+    bpe, rng = loaded(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN), random.Random(8)
+    for _ in range(3000):
+        ids = [rng.choice([rng.randrange(256), rng.randrange(50_000)]) for _ in range(rng.randint(0, 12))]
+        ids = [i for i in ids if i in bpe.bytes_of]
+        stream, cut = bpe.decoder(), rng.randint(0, len(ids))
+        text = stream.feed_tokens(ids[:cut]) + stream.feed_tokens(ids[cut:]) + stream.finish()
+        assert text == b"".join(bpe.bytes_of[i] for i in ids).decode("utf-8", "replace")
+
+
+def test_tokens_leave_after_bounded_lookahead():
+    """What is held back never spans more bytes than the longest token."""
+    from millrace.llm.bpe_fst import loaded
+
+    bpe = loaded(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    longest, rng = max(map(len, bpe.bytes_of.values())), random.Random(9)
+    for text in ["a" * 3000, "ab" * 1500, "".join(rng.choice("theandingr ") for _ in range(3000))]:
+        state, out = bpe.memo.fst.start, 0
+        for n, byte in enumerate(text.encode(), 1):
+            state, got = state[byte]
+            out += sum(len(bpe.bytes_of[t]) for t in got)
+            assert n - out <= 2 * longest
+
+
 def test_encode_documents(spark):
     from millrace.llm.bpe_fst import encode_documents
 
@@ -185,6 +211,53 @@ def test_words_beyond_the_head_get_classes_from_their_own_neighbours(spark):
     assert min(right) > max(wrong)
 
 
+def test_scores_by_brute_force(spark):
+    """Transitions, emissions and mixture by their definitions, for classes that the exchange gives; probabilities sum to one."""
+    from millrace.llm import brown_lm as B
+    from millrace.llm.wordhash import words
+
+    rng = random.Random(11)
+    vocabulary = [f"w{k}{'ing' if k % 3 else 'ed'}" for k in range(30)]
+    rows = [(i, " ".join(rng.choice(vocabulary[(i % 2) * 10 :]) for _ in range(rng.randint(0, 25))) + (" unseen" if i % 7 == 0 else "")) for i in range(120)]
+    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in rows}
+    split = lambda t: t.encode().lower().split()
+    count = collections.Counter(w for i, t in rows if not held[i] for w in [*split(t), None])
+    hashed = {w: int(words([w])[0][0].view(np.int64)) for w in {w for _, t in rows for w in split(t)}}
+    ending = {w: words([w])[2] for w in hashed}
+    classes, groups, mix, weight = 6, 4, 0.98, 20.0
+    top = sorted((w for w in count if w), key=lambda w: (-count[w], hashed[w]))
+    units = B.Units([hashed[w] for w in top], groups)
+    unit = lambda w: 0 if w is None else int(units.of(np.array([hashed[w]]).view(np.uint64), ending[w])[0])
+    pairs = np.zeros((units.n, units.n), np.int64)
+    for i, t in rows:
+        if not held[i]:
+            seq = [None, *split(t), None]
+            for a, b in zip(seq, seq[1:]):
+                pairs[unit(a), unit(b)] += 1
+    cls = B.exchange(pairs, classes)
+    k = lambda w: int(cls[unit(w)])
+    table = np.zeros((classes, classes))
+    for a, b in np.argwhere(pairs):
+        table[cls[a], cls[b]] += pairs[a, b]
+    tokens = table.sum(0)
+    size = collections.Counter(k(w) for w in count)
+    total, distinct = sum(count.values()), len(count)
+    prior = (tokens + 0.5) / (tokens + 0.5).sum()
+
+    def emission(w, c):
+        return (count[w] + 0.1) / (tokens[c] + 0.1 * (size[c] + 1))
+
+    def p(w, before):
+        follows = (table[k(before), k(w)] + weight * prior[k(w)]) / (table[k(before)].sum() + weight)
+        return mix * follows * emission(w, k(w)) + (1 - mix) * (count[w] + 0.1) / (total + 0.1 * (distinct + 1))
+
+    for c in range(classes):  # the words of a class and one that was never seen
+        assert sum(emission(w, c) for w in count if k(w) == c) + 0.1 / (tokens[c] + 0.1 * (size[c] + 1)) == pytest.approx(1)
+    for r in B.lm_scores(frame(spark, rows), head=100, groups=groups, classes=classes).collect():
+        seq = [None, *split(dict(rows)[r.doc_id]), None]
+        assert r.score == pytest.approx(sum(math.log10(p(w, before)) for before, w in zip(seq, seq[1:])), rel=1e-9)
+
+
 def test_exchange_separates_two_languages():
     from millrace.llm.brown_lm import exchange
 
