@@ -80,7 +80,7 @@ def upper_bound(code: np.ndarray, factor: np.ndarray, planes: np.ndarray, low: n
 
 def plan_bands(n: int, threshold: float, miss: float = 1e-6) -> tuple[int, int]:
     """(bits of a band, bands) for ``n`` vectors: bits grow with log n, so random company in a bucket stays rare."""
-    bits = min(30, max(8, math.ceil(math.log2(max(2, n))) + 4))
+    bits = min(44, max(8, math.ceil(math.log2(max(2, n))) + 4))
     same = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, math.ceil(math.log(miss) / math.log1p(-same))
 

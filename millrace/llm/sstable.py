@@ -376,7 +376,7 @@ def write_shards(df: DataFrame, tokenizer: str, folder: str, id_col: str = "doc_
             yield head
             yield from ahead
 
-        path = write_atomic(folder, f"part-{context.partitionId():06d}{SUFFIX}", str(context.taskAttemptId()), whole())
+        path = write_atomic(folder, f"part-{context.partitionId():010d}{SUFFIX}", str(context.taskAttemptId()), whole())
         yield pa.record_batch([pa.array([path]), pa.array([seen[0]], pa.int64()), pa.array([seen[0] is None]), pa.array([totals[0]], pa.int64()), pa.array([totals[1]], pa.int64())], schema=WRITTEN)
 
     return dealt.mapInArrow(run, "path string, first long, empty_key boolean, docs long, tokens long")
