@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet in
 the shared folder and read again as the next stage's docs. All but the last return the
 columns of ``documents``; n_chars is brought up to date where the text changes.
+
+In every stage null and empty texts are texts without words: they weigh nothing, have no lines or shingles to
+lose, draw by the prior, and give no tokens. Stages decide by row: rows that repeat an identifier with different texts
+are judged on their own in ``quality`` and ``near``, share dropped lines in ``lines`` and draw alike in ``mixed``; of repeated
+rows ``near`` keeps one. Ties go to the smallest identifier, in ``lines`` to the largest. Empty tables give empty
+tables, and further columns pass unchanged whatever their names.
 """
 
 from __future__ import annotations
