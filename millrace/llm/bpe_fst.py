@@ -140,8 +140,38 @@ class Transducer:
                     self.open[node] = True
                 node = nxt
             self.ends[node] = rank
+        self._ranges(ranks)
         self._forget()
 
+    def _ranges(self, ranks: dict[bytes, int]) -> None:
+        """The tokens below each node are a range of all in order of bytes."""
+        self.low, self.high, self.ordered = [0] * len(self.ends), [0] * len(self.ends), []
+        for place, token in enumerate(sorted(ranks)):
+            self.ordered.append(ranks[token])
+            node = 0
+            for byte in token:
+                node = self.edges[node << 8 | byte]
+                if not self.high[node]:
+                    self.low[node] = place
+                self.high[node] = place + 1
+            if self.low[node] == place:
+                self.low[node] = place + 1  # the token that ends here isn't below
+
+    def _lives(self, last: int, node: int) -> bool:
+        """Whether some token below the node may follow ``last``; a guess without one can end nowhere. Nodes with many tokens below pass unasked."""
+        low, high = self.low[node], self.high[node]
+        if high - low > 24:
+            return True
+        fits, follows = self.fits, self.merges.follows
+        for token in self.ordered[low:high]:
+            key = last + 1 << 20 | token
+            fit = fits.get(key)
+            if fit is None:
+                fit = fits[key] = follows(last, token)
+            if fit:
+                return True
+        return False
+
     def _forget(self) -> None:
         for state in self.states.values():
             state.clear()  # moves lead in circles; without them the states go at once
@@ -149,6 +179,7 @@ class Transducer:
         self.token, self.parent, self.first, self.rest = [], [], [], []  # of each chain; first: the chain of the first token that waits, or -1; rest: see _rest
         self.chains: dict[int, int] = {}  # parent + 1 << 20 | token + 1 to chain
         self.fits: dict[int, bool] = {}  # last token + 1 << 20 | token to whether it may follow
+        self.lives: dict[int, bool] = {}  # last token + 1 << 20 | node to whether a token below it may follow
         self.start = self._state((self._chain(-1, -1), 0))
 
     def _chain(self, parent: int, token: int) -> int:
@@ -177,7 +208,7 @@ class Transducer:
         return state
 
     def move(self, guesses: tuple[int, ...], byte: int) -> tuple[State, tuple[int, ...]]:
-        edges, ends, open_, token, fits = self.edges, self.ends, self.open, self.token, self.fits
+        edges, ends, open_, token, fits, lives = self.edges, self.ends, self.open, self.token, self.fits, self.lives
         kept: list[int] = []
         done = -1
         flat = iter(guesses)
@@ -195,7 +226,12 @@ class Transducer:
                     if fit:
                         done = self._chain(chain, end)
             if open_[node]:
-                kept += (chain, node)
+                key = token[chain] + 1 << 20 | node
+                alive = lives.get(key)
+                if alive is None:
+                    alive = lives[key] = self._lives(token[chain], node)
+                if alive:
+                    kept += (chain, node)
         if done < 0:
             raise ValueError("the ranks lack a byte")
         kept += (done, 0)
