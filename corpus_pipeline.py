@@ -52,7 +52,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document; smaller caches, for the workers serve other stages too."""
     import public_tokenizers
 
-    return encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, memo=150_000, states=80_000)
+    return encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, memo=120_000, states=60_000)
 
 
 STAGES = [("quality", quality), ("lines", lines), ("near", near), ("mixed", mixed), ("tokens", tokens)]
