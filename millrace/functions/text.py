@@ -75,6 +75,29 @@ def capitalize(text: Column) -> Column:
     return F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substring(text, F.lit(2), F.length(text))))
 
 
+_SMALL, _LARGE, _NEWER = (
+    "".join(chr(c) for r in runs for c in r)
+    for runs in (
+        ([0xDF, 0x1FB3, 0x1FC3, 0x1FF3], range(0x1F80, 0x1F88), range(0x1F90, 0x1F98), range(0x1FA0, 0x1FA8)),
+        ([0x1E9E, 0x1FBC, 0x1FCC, 0x1FFC], range(0x1F88, 0x1F90), range(0x1F98, 0x1FA0), range(0x1FA8, 0x1FB0)),
+        ([0x19B, 0x264, 0x1C8A, 0xA7CD, 0xA7DB], range(0x10D70, 0x10D86)),  # of Unicode 16, which DuckDB leaves alone
+    )
+)
+
+
+def simple_upper(text: Column) -> Column:
+    """Upper case letter by letter, as DuckDB has it: Spark's own gives two letters for some, such as SS for \u00df, where this gives \u1e9e."""
+    one = lambda c: (F.length(F.upper(c)) == 1) & ~F.contains(F.lit(_NEWER), c)
+    each = F.transform(F.split(text, ""), lambda c: F.when(one(c), F.upper(c)).otherwise(c))
+    return F.translate(F.array_join(each, ""), _SMALL, _LARGE)
+
+
+def reverse_clusters(text: Column) -> Column:
+    """Reversed as DuckDB does it: marks stay behind their letter, except that a text of ASCII alone is reversed by character."""
+    clusters = F.regexp_extract_all(text, F.lit(r"\X"), F.lit(0))
+    return F.when(F.octet_length(text) == F.length(text), F.reverse(text)).otherwise(F.array_join(F.reverse(clusters), ""))
+
+
 def final_estimate(said: Column) -> Column:
     """The number after the tool's fixed words, or null."""
     return F.nullif(F.regexp_extract(said, r"Final estimate: PPL = ([0-9.]+)", 1), F.lit("")).cast("double")

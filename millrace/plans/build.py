@@ -114,7 +114,7 @@ def source_texts(spark, d):
 def _cloze(spark, d):
     items = table(spark, d, "benchmark").where("item_id % 2 = 0")
     tail = F.substring(F.col("text"), F.lit(41), F.lit(20))
-    return items.select("item_id", F.substring("text", 1, 40).alias("ctx"), F.array(F.upper(tail), tail, F.reverse(tail)).alias("candidates"), F.lit(1).alias("label"))
+    return items.select("item_id", F.substring("text", 1, 40).alias("ctx"), F.array(T.simple_upper(tail), tail, T.reverse_clusters(tail)).alias("candidates"), F.lit(1).alias("label"))
 
 
 def _lettered(spark, d):

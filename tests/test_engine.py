@@ -347,3 +347,12 @@ def test_scratch_removes_what_was_written(spark):
         assert materialise(spark.range(3), "scratch-test").count() == 3
         assert set(os.listdir(root)) - before
     assert set(os.listdir(root)) == before
+
+
+def test_examples_of_letters_without_a_simple_upper_case(spark, tmp_path):
+    texts = ["x" * 40 + tail for tail in ("tz\u00dfzu \u00dfung", "e\u0301a\u0308x", "\u0149\u01f0\ufb01\u1f80\u1fb3\u1f88", "a\r\nb", "\u00e9\r\nb", "\u019b\u0131\u017f", "", "\U0001f1e9\U0001f1eaa")] + [None]
+    spark.createDataFrame([(2 * i, t) for i, t in enumerate(texts)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW benchmark AS SELECT * FROM read_parquet('{tmp_path}/benchmark.parquet/*.parquet')")
+    found = QUERIES["task_examples"](spark, str(tmp_path)).select("task", "item_id", "h", "label")
+    assert rows(found.collect()) == rows(con.execute(ORACLE_SQL["task_examples"]).fetchall())
