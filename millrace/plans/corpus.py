@@ -238,18 +238,12 @@ def near_thresholds(spark, d):
 def minhash_estimate(spark, d):
     """Agreement of 128 minima next to the exact similarity, for all pairs of different texts at 0.85 and more."""
     docs = table(spark, d, "documents").select("doc_id", "text")
-    sets = materialise(dedup.shingle_sets(docs.join(_first_texts(docs), "doc_id", "left_semi")), "shingle-sets")
     sig = dedup.signatures(docs, 128)
-    both = dedup.similar_pairs(sets, 0.85).join(sig.toDF("a", "x"), "a").join(sig.toDF("b", "y"), "b")
+    both = dedup.similar_pairs(docs, 0.85).drop("estimate").join(sig.toDF("a", "x"), "a").join(sig.toDF("b", "y"), "b")
     same = F.size(F.filter(F.zip_with("x", "y", lambda p, q: p == q), lambda e: e))
     return both.select("a", "b", r9(F.col("similarity")).alias("similarity"), (same / 128.0).alias("estimate"))
 
 
-def _first_texts(docs):
-    """The smallest identifier of each text, words compared."""
-    return docs.groupBy(F.sha2(F.array_join(T.words(F.col("text")), " "), 256)).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-
-
 @query(
     f"""WITH s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) > 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
                FROM (SELECT min(doc_id) AS doc_id, {W} AS w FROM documents GROUP BY 2)),
@@ -260,8 +254,7 @@ def _first_texts(docs):
 def near_dup_pairs(spark, d):
     """Pairs of different texts with Jaccard of 0.85 and more; copies of a text are one."""
     docs = table(spark, d, "documents").select("doc_id", "text")
-    sets = materialise(dedup.shingle_sets(docs.join(_first_texts(docs), "doc_id", "left_semi")), "shingle-sets")
-    return dedup.similar_pairs(sets, 0.85).select("a", "b", r9(F.col("similarity")).alias("similarity"))
+    return dedup.similar_pairs(docs, 0.85).select("a", "b", r9(F.col("similarity")).alias("similarity"))
 
 
 @query(

@@ -356,3 +356,67 @@ def test_examples_of_letters_without_a_simple_upper_case(spark, tmp_path):
     con.execute(f"CREATE VIEW benchmark AS SELECT * FROM read_parquet('{tmp_path}/benchmark.parquet/*.parquet')")
     found = QUERIES["task_examples"](spark, str(tmp_path)).select("task", "item_id", "h", "label")
     assert rows(found.collect()) == rows(con.execute(ORACLE_SQL["task_examples"]).fetchall())
+
+
+def near_texts():
+    """Texts by identifier: near copies in chains and in a large group, copies, a common passage, short, empty and null ones."""
+    import random
+
+    rnd = random.Random(5)
+    text = lambda n: [f"w{rnd.randrange(5000)}" for _ in range(n)]
+    passage, texts = text(40), []
+    for _ in range(60):
+        own = text(rnd.choice((7, 20, 150, 400)))
+        texts.append(own + passage if rnd.random() < 0.5 else own)
+        for _ in range(rnd.choice((0, 0, 1, 3))):
+            own = list(own)
+            own[rnd.randrange(len(own))] = f"new{rnd.randrange(5000)}"
+            texts.append(own)
+    group = text(200)
+    for k in range(25):
+        texts.append([*group[: 90 + k % 3], f"at{k}", *group[90 + k % 3 :]])
+    texts += [texts[3], texts[-1], ["one"], ["one"], "a b c d e".split(), "a b c d e f".split(), []]
+    rnd.shuffle(texts)
+    return [(2 * i + 1, "  ".join(ws)) for i, ws in enumerate(texts)] + [(2, None), (4, "\n ")]
+
+
+def brute_pairs(texts, threshold):
+    first, out = {}, {}
+    for doc, text in sorted(texts):
+        first.setdefault(tuple((text or "").split()), doc)
+    sets = {d: {w[i : i + 5] for i in range(len(w) - 4)} if len(w) > 5 else {w} for w, d in first.items() if w}
+    for a in sets:
+        for b in sets:
+            if a < b and (c := len(sets[a] & sets[b])) / len(sets[a] | sets[b]) >= threshold:
+                out[a, b] = round(c / len(sets[a] | sets[b]), 9)
+    return out
+
+
+@pytest.mark.parametrize("most", [{}, {"slots": 1 << 12, "a_cell": 5, "broadcast_ids": 3}])
+def test_similar_pairs_by_brute_force(spark, most):
+    from millrace.operators.dedup import similar_pairs
+
+    texts = near_texts()
+    found = similar_pairs(spark.createDataFrame(texts, "doc_id int, text string").repartition(5), 0.85, **most).collect()
+    want = brute_pairs(texts, 0.85)
+    assert len(want) > 300
+    assert len(found) == len(want) and {(r.a, r.b): round(r.similarity, 9) for r in found} == want
+    assert similar_pairs(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string"), 0.85, **most).collect() == []
+
+
+@pytest.mark.parametrize("name", ["near_dup_pairs"])
+def test_pairs_write_no_sets_of_texts_without_pairs(spark, tmp_path, name):
+    import pathlib
+    import random
+
+    from millrace.session import shared_dir
+
+    rnd = random.Random(6)
+    texts = [(i, " ".join(f"w{rnd.randrange(10**6)}" for _ in range(1000))) for i in range(400)]
+    texts.append((400, texts[7][1] + " more"))
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    root = pathlib.Path(shared_dir(spark).removeprefix("file:"))
+    written = lambda: sum(p.stat().st_size for p in root.rglob("*.parquet"))
+    before = written()
+    assert [(r.a, r.b) for r in QUERIES[name](spark, str(tmp_path)).collect()] == [(7, 400)]
+    assert written() - before < 400 * 996 * 8 / 4
