@@ -238,10 +238,7 @@ def near_thresholds(spark, d):
 def minhash_estimate(spark, d):
     """Agreement of 128 minima next to the exact similarity, for all pairs of different texts at 0.85 and more."""
     docs = table(spark, d, "documents").select("doc_id", "text")
-    sig = dedup.signatures(docs, 128)
-    both = dedup.similar_pairs(docs, 0.85).drop("estimate").join(sig.toDF("a", "x"), "a").join(sig.toDF("b", "y"), "b")
-    same = F.size(F.filter(F.zip_with("x", "y", lambda p, q: p == q), lambda e: e))
-    return both.select("a", "b", r9(F.col("similarity")).alias("similarity"), (same / 128.0).alias("estimate"))
+    return dedup.similar_pairs(docs, 0.85, permutations=128).select("a", "b", r9(F.col("similarity")).alias("similarity"), "estimate")
 
 
 @query(

@@ -392,7 +392,7 @@ def brute_pairs(texts, threshold):
     return out
 
 
-@pytest.mark.parametrize("most", [{}, {"slots": 1 << 12, "a_cell": 5, "broadcast_ids": 3}])
+@pytest.mark.parametrize("most", [{}, {"slots": 1 << 12, "a_block": 5, "broadcast_ids": 3}])
 def test_similar_pairs_by_brute_force(spark, most):
     from millrace.operators.dedup import similar_pairs
 
@@ -404,7 +404,16 @@ def test_similar_pairs_by_brute_force(spark, most):
     assert similar_pairs(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string"), 0.85, **most).collect() == []
 
 
-@pytest.mark.parametrize("name", ["near_dup_pairs"])
+def test_estimates_are_the_agreement_of_signatures(spark):
+    from millrace.operators.dedup import signatures, similar_pairs
+
+    df = spark.createDataFrame(near_texts(), "doc_id long, text string")
+    sig = {r.doc_id: r.sig for r in signatures(df, 128).collect()}
+    found = similar_pairs(df, 0.85, permutations=128).collect()
+    assert {(r.a, r.b): r.estimate for r in found} == {p: sum(x == y for x, y in zip(sig[p[0]], sig[p[1]])) / 128 for p in brute_pairs(near_texts(), 0.85)}
+
+
+@pytest.mark.parametrize("name", ["near_dup_pairs", "minhash_estimate"])
 def test_pairs_write_no_sets_of_texts_without_pairs(spark, tmp_path, name):
     import pathlib
     import random
